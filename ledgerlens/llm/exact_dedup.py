@@ -12,9 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, fresh, materialize
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -78,6 +77,18 @@ def recipes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK, hash
     )
 
 
+def _normal(text: Column) -> Column:
+    return ascii_lower(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, least: int, most: int, hash_of: Hash) -> DataFrame:
+    """(id, text_sha256, n, keep_id, group_size): n rows repeat the id and text. What is written on the way is small."""
+    listed = recipes(docs.select(F.col(id_col).alias("id"), _normal(F.col(text_col)).alias("text")), least, most, hash_of)
+    rows = materialize(listed.groupBy("recipe", "id", "text_sha256").agg(F.count("*").alias("n")), "op2-recipes")
+    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n").cast("long").alias("group_size"))
+    return rows.join(groups, "recipe")
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -92,26 +103,25 @@ def exact_groups(
     text counts as empty. Null ids are below all others (a group of null ids alone keeps one row, its keep_id null).
     Of rows that repeat an id and text, one is kept. Other columns are ignored; an empty table gives no rows.
     """
-    plain = docs.select(
-        F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")
-    )
-    listed = recipes(plain, least, most, hash_of)
-    # Repeats of a row are counted and put back at the end; what is written here is small.
-    rows = materialize(
-        listed.groupBy("recipe", "id", "text_sha256").agg(F.count("*").alias("n")), "op2-recipes"
-    )
-    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return (
-        rows.join(groups, "recipe")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-        .select(
-            F.col("id").alias(id_col),
-            "keep_id",
-            F.col("group_size").cast(T.LongType()).alias("group_size"),
-            (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            "text_sha256",
-        )
-    )
+    grouped = _grouped(docs, id_col, text_col, least, most, hash_of)
+    each = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    return each.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that exact_groups() keeps. Of rows that repeat an id and text one stays,
+    whichever comes first."""
+    grouped = _grouped(docs, id_col, text_col, MIN_CHUNK, MAX_CHUNK, F.xxhash64)
+    kept = materialize(grouped.filter(F.col("id").eqNullSafe(F.col("keep_id"))), "op2-kept")
+    i, h = fresh(docs, "kept_id"), fresh(docs, "kept_sha256")
+    ids = kept.select(F.col("id").alias(i), F.col("text_sha256").alias(h)).hint("shuffle_hash")
+    own = F.sha2(_normal(F.col(text_col)).cast("binary"), 256)
+    if kept.filter("n > 1").isEmpty():
+        return docs.join(ids, F.col(id_col).eqNullSafe(F.col(i)) & (own == F.col(h)), "left_semi")
+    keyed = docs.withColumn(h, own)
+    found = keyed.join(ids.select(i, F.col(h).alias(f"{h}_")), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(f"{h}_")), "left_semi")
+    return found.dropDuplicates([id_col, h]).drop(h)
 
 
 ORACLE_SQL = """

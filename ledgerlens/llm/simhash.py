@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .components import components
 from .golay import keys as golay_keys
 from .words import shingle_hashes, word_hashes, words_of
@@ -24,6 +24,8 @@ from .words import shingle_hashes, word_hashes, words_of
 #: (shift, bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (1, 2), (2, 0))
+#: Groups of so many candidates are verified pair by pair; larger ones, along their minimum spanning forest.
+SMALL = 16
 #: Hashes summed at once, which bounds the memory for a very long text.
 BLOCK = 1 << 16
 
@@ -113,24 +115,29 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
     return nodes[child], nodes[by]
 
 
-def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int) -> pa.RecordBatch:
-    """Links of whole groups, the arrays sorted by key."""
+def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, small: int) -> pa.RecordBatch:
+    """Links of whole groups, the arrays sorted by key; all within the radius in groups of up to ``small``."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((start, [len(keys)])))
     two = start[size == 2]
     two = two[bits_apart(fps[two], fps[two + 1]) <= radius]
     a, b = [nodes[two]], [nodes[two + 1]]
     for s, n in zip(start[size > 2], size[size > 2], strict=True):
-        x, y = _forest(nodes[s : s + n], fps[s : s + n], radius)
+        if n <= small:
+            i, j = np.triu_indices(n, 1)
+            near = bits_apart(fps[s + i], fps[s + j]) <= radius
+            x, y = nodes[s + i[near]], nodes[s + j[near]]
+        else:
+            x, y = _forest(nodes[s : s + n], fps[s : s + n], radius)
         a.append(x)
         b.append(y)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def links(points: DataFrame, radius: int) -> DataFrame:
+def links(points: DataFrame, radius: int, small: int = 2) -> DataFrame:
     """points(node long, fp long) -> distinct (a, b): links within ``radius`` bits that join the same components as
-    all links do. For a radius up to 5 none is missed; beyond that those are found whose two segments differ in two
-    bits at most each."""
+    all links do, and of groups of up to ``small`` that share a key all links. For a radius up to 5 none is missed; beyond
+    that those are found whose two segments differ in two bits at most each."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,10 +154,10 @@ def links(points: DataFrame, radius: int) -> DataFrame:
             held = [np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("key", "node", "fp"), strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
-                yield _met(*(h[:last] for h in held), radius)
+                yield _met(*(h[:last] for h in held), radius, small)
                 held = [h[last:] for h in held]
         if len(held[0]):
-            yield _met(*held, radius)
+            yield _met(*held, radius, small)
 
     dealt = points.select("node", "fp").mapInArrow(deal, "key long, node long, fp long")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
@@ -213,7 +220,8 @@ def near_groups(
 ) -> DataFrame:
     """(node, root): the documents that are near copies of one with a smaller id, with the smallest id of their group.
 
-    Candidates are met through word fingerprints; links are kept where the Jaccard similarity of the sets of
+    Candidates are met through word fingerprints (all pairs of small groups, a minimum spanning forest of large ones, so
+    a large group of near copies gives a few links for each member); links are kept where the Jaccard similarity of the sets of
     ``shingle``-word shingles is at least ``similarity``. Rows without an id are in no group; rows that repeat an id
     count once, with the greatest text. A null text counts as empty: empty texts are equal.
     """
@@ -221,7 +229,7 @@ def near_groups(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).filter("id IS NOT NULL")
     points = prints(base, word_print).groupBy("id").agg(F.max("fp").alias("fp")).select(F.col("id").alias("node"), "fp")
-    met = materialize(links(points, radius), "near-links")
+    met = materialize(links(points, radius, SMALL), "near-links")
     nodes = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
     texts = base.join(nodes, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     sets = materialize(shingle_sets(texts, shingle), "near-shingles")
@@ -229,3 +237,12 @@ def near_groups(
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     sure = met.join(one, "a").join(two, "b").filter(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
     return components(sure)
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 12
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without the near copies of a document with a smaller id (near_groups())."""
+    node = fresh(docs, "near_copy")
+    gone = near_groups(docs, id_col, text_col, shingle, similarity, radius).select(F.col("node").alias(node))
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(node), "left_anti")
