@@ -35,6 +35,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def join_checked(left: DataFrame, right: DataFrame, on: Column | list[str], how: str, label: str, most_rows: int = 200_000) -> DataFrame:
+    """Joins a ``right`` that is written first and counted: up to ``most_rows`` (short) rows it is broadcast and ``left``
+    stays where it is; beyond that both are shuffled, and ``right`` is the hash table's side."""
+    right = materialize(right, label)
+    small = right.count() <= most_rows
+    return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column of ``df`` is called that (case-insensitive)."""
     taken = {c.lower() for c in df.columns}

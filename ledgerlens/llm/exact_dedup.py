@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, materialize
+from .common import ascii_lower, fresh, join_checked, materialize
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -112,16 +112,15 @@ def exact_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that exact_groups() keeps. Of rows that repeat an id and text one stays,
     whichever comes first."""
-    grouped = _grouped(docs, id_col, text_col, MIN_CHUNK, MAX_CHUNK, F.xxhash64)
-    kept = materialize(grouped.filter(F.col("id").eqNullSafe(F.col("keep_id"))), "op2-kept")
-    i, h = fresh(docs, "kept_id"), fresh(docs, "kept_sha256")
-    ids = kept.select(F.col("id").alias(i), F.col("text_sha256").alias(h)).hint("shuffle_hash")
+    grouped = materialize(_grouped(docs, id_col, text_col, MIN_CHUNK, MAX_CHUNK, F.xxhash64), "op2-groups")
+    i, h = fresh(docs, "dropped_id"), fresh(docs, "dropped_sha256")
     own = F.sha2(_normal(F.col(text_col)).cast("binary"), 256)
-    if kept.filter("n > 1").isEmpty():
-        return docs.join(ids, F.col(id_col).eqNullSafe(F.col(i)) & (own == F.col(h)), "left_semi")
-    keyed = docs.withColumn(h, own)
-    found = keyed.join(ids.select(i, F.col(h).alias(f"{h}_")), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(f"{h}_")), "left_semi")
-    return found.dropDuplicates([id_col, h]).drop(h)
+    # An id and the text's digest name a row; those to drop are the fewer ones.
+    dropped = grouped.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(i), F.col("text_sha256").alias(h))
+    left = join_checked(docs, dropped, F.col(id_col).eqNullSafe(F.col(i)) & (own == F.col(h)), "left_anti", "op2-dropped")
+    if grouped.filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") > 1)).isEmpty():
+        return left
+    return left.withColumn(h, own).dropDuplicates([id_col, h]).drop(h)
 
 
 ORACLE_SQL = """

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, join_checked, materialize
 
 #: Trigrams are hashed to so many classes.
 CLASSES = 1 << 15
@@ -28,6 +28,8 @@ TEMPER = 1 / 3
 #: Pseudo-counts: of trigram classes, of a host's prior, of a suffix's prior, of the confusion table.
 TRIGRAM_COUNT, HOST_COUNT, SUFFIX_COUNT, CONFUSION_COUNT = 0.5, 20.0, 20.0, 1.0
 BLOCK = 1 << 16
+#: Tables of up to so many hosts or declared values are broadcast.
+MOST_BROADCAST = 20_000
 UNKNOWN = "und"
 
 
@@ -148,6 +150,7 @@ def identify(
         .groupBy("host", "suffix", "declared", "best")
         .agg(F.count("*").alias("n"))
     )
+    counts = materialize(counts, "op8-counts")
     even = F.map_from_arrays(names, F.array_repeat(F.lit(1.0 / len(model.languages)), len(model.languages)))
     root = docs.sparkSession.range(1).select(even.alias("up"))
     corpus = _shares(counts.withColumn("all_rows", F.lit(1)), ["all_rows"], root, [], float(len(model.languages)))
@@ -172,9 +175,11 @@ def identify(
 
     h, d, s, up, told_at = (fresh(docs, x) for x in ("host_key", "declared_key", "text_scores", "prior", "told"))
     scored = docs.withColumn(h, host).withColumn(d, declared).withColumn(s, score(text))
-    by_host = by_host.select(F.col("host").alias(h), F.col("share").alias(up)).hint("shuffle_hash")
-    confusion = confusion.select(F.col("declared").alias(d), F.col("told").alias(told_at)).hint("shuffle_hash")
-    joined = scored.join(by_host, h, "left").join(confusion, d, "left")
+    by_host = by_host.select(F.col("host").alias(h), F.col("share").alias(up))
+    confusion = confusion.select(F.col("declared").alias(d), F.col("told").alias(told_at))
+    # A row for each host or declared value, with a number for each language.
+    joined = join_checked(scored, by_host, [h], "left", "op8-hosts", MOST_BROADCAST)
+    joined = join_checked(joined, confusion, [d], "left", "op8-declared", MOST_BROADCAST)
     logs = F.zip_with(
         F.zip_with(names, told_at, lambda x, t: F.ln(t) + F.ln(F.try_element_at(up, x))), s, lambda a, b: a + b
     )

@@ -33,6 +33,7 @@ LEAST_TOKEN = 20
 SAMPLE_DOCS = 20_000
 #: Natural-log ratio for each transition from which a token counts as random.
 THRESHOLD = 0.7
+BACK_OFF = 20.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 _CODE = np.full(128, len(ALPHABET), np.int64)
@@ -66,13 +67,15 @@ def transitions(token: str) -> np.ndarray:
 
 
 class Markov:
-    """Log-likelihood ratios of character pairs, random over ordinary; ``None`` rows when a class has no sample."""
+    """Log-likelihood ratios of character pairs, random over ordinary."""
 
     def __init__(self, random: np.ndarray, ordinary: np.ndarray):
         logs = []
         for counts in (random, ordinary):
-            smooth = counts.reshape(STATES, STATES) + 0.5
-            logs.append(np.log(smooth / smooth.sum(axis=1, keepdims=True)).ravel())
+            pairs = counts.reshape(STATES, STATES)
+            single = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * STATES)
+            # Pairs back off to single characters: a rare state says what its class says.
+            logs.append(np.log((pairs + BACK_OFF * single) / (pairs.sum(axis=1, keepdims=True) + BACK_OFF)).ravel())
         self.trained = bool(random.sum() and ordinary.sum())
         self.ratio = logs[0] - logs[1]
 

@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, join_checked, materialize
 from .components import components
 from .golay import keys as golay_keys
 from .words import shingle_hashes, word_hashes, words_of
@@ -57,7 +58,10 @@ def shingle_print(size: int) -> Callable[[str | None], int]:
 def word_print(text: str | None) -> int:
     """Weighs words by length, so that the short words that all texts of a language share count little: an
     edit that breaks five shingles of five words moves this fingerprint by one word's share only."""
-    words = words_of(text)
+    return words_fingerprint(words_of(text))
+
+
+def words_fingerprint(words: list[bytes]) -> int:
     return fingerprint(word_hashes(words), np.fromiter((min(len(w), 12) ** 2 for w in words), np.int64, len(words)))
 
 
@@ -210,6 +214,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole == 0, 1.0).otherwise(both / whole)
 
 
+def _sketched(docs: DataFrame, size: int) -> DataFrame:
+    """docs(id, text) -> (node, fp, sketch): the word fingerprint, and the shingles' hashes cut to 16 bits, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sketches = [], []
+            for t in b.column(1):
+                words = words_of(t.as_py())
+                fps.append(words_fingerprint(words))
+                sketches.append(np.unique(shingle_hashes(words, size).astype(np.uint16)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["node", "fp", "sketch"])
+
+    return docs.select("id", "text").mapInArrow(run, "node long, fp long, sketch binary")
+
+
+def _sketch_similarity() -> Callable[[Column, Column], Column]:
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(len(x) + len(y) - both, 1) if len(x) or len(y) else 1.0)
+        return pd.Series(out, dtype=float)
+
+    return run
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -221,21 +253,28 @@ def near_groups(
     """(node, root): the documents that are near copies of one with a smaller id, with the smallest id of their group.
 
     Candidates are met through word fingerprints (all pairs of small groups, a minimum spanning forest of large ones, so
-    a large group of near copies gives a few links for each member); links are kept where the Jaccard similarity of the sets of
-    ``shingle``-word shingles is at least ``similarity``. Rows without an id are in no group; rows that repeat an id
-    count once, with the greatest text. A null text counts as empty: empty texts are equal.
+    a large group of near copies gives a few links for each member). A sieve of 16-bit shingle hashes, whose similarity
+    is not below the true one but for chance, passes those within 0.02 of the threshold; links are kept where the Jaccard
+    similarity of the full sets of ``shingle``-word shingles is at least ``similarity``. Rows without an id are in no
+    group; of rows that repeat an id the greatest text counts. A null text counts as empty: empty texts are equal.
     """
     base = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).filter("id IS NOT NULL")
-    points = prints(base, word_print).groupBy("id").agg(F.max("fp").alias("fp")).select(F.col("id").alias("node"), "fp")
+    if not base.groupBy("id").count().filter("count > 1").isEmpty():
+        base = base.groupBy("id").agg(F.max("text").alias("text"))
+    points = materialize(_sketched(base, shingle), "near-prints")
     met = materialize(links(points, radius, SMALL), "near-links")
-    nodes = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
-    texts = base.join(nodes, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    one = points.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    two = points.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    likely = met.join(one, "a").join(two, "b").filter(_sketch_similarity()(F.col("x"), F.col("y")) >= similarity - 0.02)
+    likely = materialize(likely.select("a", "b"), "near-likely")
+    nodes = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    texts = join_checked(base, nodes, ["id"], "left_semi", "near-nodes")
     sets = materialize(shingle_sets(texts, shingle), "near-shingles")
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    sure = met.join(one, "a").join(two, "b").filter(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+    sure = likely.join(one, "a").join(two, "b").filter(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
     return components(sure)
 
 
@@ -245,4 +284,4 @@ def keep_first(
     """The rows of ``docs``, all columns, without the near copies of a document with a smaller id (near_groups())."""
     node = fresh(docs, "near_copy")
     gone = near_groups(docs, id_col, text_col, shingle, similarity, radius).select(F.col("node").alias(node))
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(node), "left_anti")
+    return join_checked(docs, gone, F.col(id_col) == F.col(node), "left_anti", "near-copies")
