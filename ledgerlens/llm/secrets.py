@@ -84,13 +84,14 @@ class Markov:
 
 
 def labelled_tokens(text: str) -> Iterator[tuple[bool, str]]:
-    """(random, token): the values in base spans are the random strings, tokens outside the ordinary ones."""
+    """(random, token): the values in base spans are the random strings, shorter tokens outside the ordinary ones. Long
+    tokens outside are what is to be judged: they have no label."""
     base = base_spans(text)
     for start, kind, end in base:
         value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
         yield True, "".join(c for c in value if c in ALPHABET)
     for m in WORD.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
+        if m.end() - m.start() < LEAST_TOKEN and not any(s < m.end() and m.start() < e for s, _, e in base):
             yield False, m[0]
 
 
