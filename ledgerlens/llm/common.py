@@ -43,6 +43,29 @@ def join_checked(left: DataFrame, right: DataFrame, on: Column | list[str], how:
     return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
 
 
+#: A group is large if it has over so many rows, and over one part in MOST_LARGE of all rows: so there are MOST_LARGE at most.
+LARGE_ROWS, MOST_LARGE = 1000, 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, values: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` with the ``values`` of their group; rows without a group go. ``groups`` has one row for each key and is
+    read three times: pass a written table.
+
+    The values of large groups, at most MOST_LARGE rows, are broadcast, and those groups' rows are dealt by ``spread``
+    and not by the key, so no task gets a large group. All other rows meet their group by a shuffle on the key.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > max(LARGE_ROWS, total // MOST_LARGE)
+    pack = F.struct(*values)
+    hot = groups.filter(large).select(F.col(key).alias("hot_key"), pack.alias("hot"))
+    cold = groups.filter(~large).select(F.col(key).alias("cold_key"), F.xxhash64(key).alias("cold_hash"), pack.alias("cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    dealt = marked.withColumn("row_hash", F.when(F.col("hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(*spread)))
+    met = dealt.join(cold, (F.col("row_hash") == F.col("cold_hash")) & (F.col(key) == F.col("cold_key")), "left")
+    found = met.withColumn("found", F.coalesce("hot", "cold")).filter("found IS NOT NULL")
+    return found.select(*rows.columns, *[F.col("found")[v].alias(v) for v in values])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column of ``df`` is called that (case-insensitive)."""
     taken = {c.lower() for c in df.columns}

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, join_checked, materialize
+from .common import ascii_lower, fresh, join_checked, join_groups, materialize
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -86,7 +86,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, least: int, most: int,
     listed = recipes(docs.select(F.col(id_col).alias("id"), _normal(F.col(text_col)).alias("text")), least, most, hash_of)
     rows = materialize(listed.groupBy("recipe", "id", "text_sha256").agg(F.count("*").alias("n")), "op2-recipes")
     groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n").cast("long").alias("group_size"))
-    return rows.join(groups, "recipe")
+    groups = materialize(groups, "op2-totals")
+    return join_groups(rows, groups, "recipe", "group_size", ["keep_id", "group_size"], ["id", "n"])
 
 
 def exact_groups(
