@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_groups, materialize
 from .exact_dedup import Hash, collisions
 
 #: One line in so many starts a chunk.
@@ -74,9 +74,10 @@ def dedup_lines(
             "id", "t", "pos", F.concat_ws(":", "h", F.coalesce("o", F.lit(0))).alias("v")
         )
     place = F.struct("id", "t", "pos")
-    first = named.groupBy("v").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = named.groupBy("v").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialize(first, "op9-repeats")
     removed = (
-        named.join(first, "v")
+        join_groups(named, first, "v", "n", ["first"], ["id", "t", "pos"])
         .filter(~place.eqNullSafe(F.col("first")))
         .groupBy("id", "t")
         .agg(F.collect_set("pos").alias("gone"))
