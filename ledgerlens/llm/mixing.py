@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, join_checked
 
 #: Rates from which exp(-rate) would leave the range of doubles.
 MOST_RATE = 700.0
+#: Rates of up to so many sources are broadcast.
+MOST_BROADCAST = 20_000
 
 
 def hashed(*parts: Column | str) -> Column:
@@ -78,7 +80,7 @@ def mix(
     copy_no, n_copies, key = (fresh(docs, x) for x in ("copy_no", "n_copies", "shuffle_key"))
     rates = source_rates(docs, source_col, weights, epochs).select(F.col("source").alias(k), F.col("steps").alias(steps))
     source = F.col(source_col).cast("string")
-    joined = docs.join(rates, source.eqNullSafe(F.col(k)))
+    joined = join_checked(docs, rates, source.eqNullSafe(F.col(k)), "inner", "op6-rates", MOST_BROADCAST)
     uniform = hashed(F.lit(seed), F.lit("count"), id_col).cast("double") / float(2**60)
     counted = joined.withColumn(u, uniform).withColumn(
         n_copies, F.size(F.filter(steps, lambda c: c <= F.col(u))).cast("long")
