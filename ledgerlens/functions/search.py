@@ -62,7 +62,7 @@ def snippet(text: Column, query: str, around: int = 5) -> Column:
         return F.lit(None).cast("string")
     tokens = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
     pattern = "^(?:" + "|".join([*wanted[:-1], wanted[-1] + ".*"]) + ")$"
-    hit = lambda x: folded_ascii(x).rlike(pattern)
+    hit = lambda x: F.lower(x).rlike(pattern)
     flags = F.transform(tokens, hit)
     first = F.array_position(flags, True)
     begin = F.greatest(first - around, F.lit(1))
@@ -71,10 +71,6 @@ def snippet(text: Column, query: str, around: int = 5) -> Column:
     return F.when(first > 0, body)
 
 
-def folded_ascii(text: Column) -> Column:
-    return F.lower(text)
-
-
 def highlight(text: Column, query: str) -> Column:
     """Each term's literal occurrences marked, in either case."""
     words = sorted((re.escape(t) for t in query.split()), key=len, reverse=True)
