@@ -217,8 +217,8 @@ def _elide(texts: pd.Series) -> pd.Series:
 
 
 def elided(text: Column) -> Column:
-    """JSON with long strings under ``data`` described; only rows that can hold one leave the JVM."""
-    return F.when((F.octet_length(text) > INLINE_BINARY) & text.contains('"data"'), _elide(text)).otherwise(text)
+    """JSON with long strings under ``data`` described; rows that can't hold one go to the UDF as nulls."""
+    return F.coalesce(_elide(F.when((F.octet_length(text) > INLINE_BINARY) & text.contains('"data"'), text)), text)
 
 
 def by_reference(text: Column) -> Column:

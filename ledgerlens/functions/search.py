@@ -27,8 +27,9 @@ def _fold(texts: pd.Series) -> pd.Series:
 
 
 def folded(text: Column) -> Column:
-    """Case and diacritics folded; ASCII text, the usual, stays in the JVM."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(_fold(text))
+    """Case and diacritics folded. A UDF is evaluated for every row, so ASCII texts, the usual, go to it as nulls."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(_fold(F.when(~ascii_only, text)))
 
 
 def token_text(text: Column, fold: bool = True) -> Column:
