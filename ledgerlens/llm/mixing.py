@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, join_checked
 
-#: Rates from which exp(-rate) would leave the range of doubles.
-MOST_RATE = 700.0
+#: A larger rate is split: a sum of independent Poisson counts is a Poisson count. (exp(-rate) must stay a double.)
+PART_RATE = 500.0
 #: Rates of up to so many sources are broadcast.
 MOST_BROADCAST = 20_000
 
@@ -43,9 +43,9 @@ def poisson_steps(rate: Column) -> Column:
 def source_rates(
     docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0
 ) -> DataFrame:
-    """(source, n, rate, steps): one row for each source. ``weights``: relative target shares by source; None gives
-    all sources the same share, and a source that isn't named gets none. ``epochs``: rows out for each row in, on
-    average. Rates above MOST_RATE raise an error: so small a source can't carry such a share."""
+    """(source, n, rate, parts, steps): one row for each source; steps are those of rate / parts. ``weights``: relative
+    target shares by source; None gives all sources the same share, and a source that isn't named gets none. ``epochs``:
+    rows out for each row in, on average."""
     counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         weight: Column = F.lit(1.0)
@@ -58,8 +58,8 @@ def source_rates(
     rated = counts.crossJoin(F.broadcast(totals)).withColumn(
         "rate", F.coalesce(F.col("w") / F.nullif("all_w", F.lit(0.0)) * F.col("all_n") * epochs / F.col("n"), F.lit(0.0))
     )
-    checked = F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit("a source's repetition rate is too large"))).otherwise(F.col("rate"))
-    return rated.withColumn("rate", checked).select("source", "n", "rate", poisson_steps(F.col("rate")).alias("steps"))
+    parts = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("long")
+    return rated.select("source", "n", "rate", parts.alias("parts"), poisson_steps(F.col("rate") / parts).alias("steps"))
 
 
 def mix(
@@ -76,19 +76,23 @@ def mix(
     A null source is a source of its own (weight key ``""``); a null id hashes as empty; rows that repeat an id get equal
     counts. Columns of ``docs`` called like an added one are kept and the added one gets underscores in front.
     """
-    k, u, steps = (fresh(docs, x) for x in ("source_key", "uniform", "steps"))
+    k, u, steps, parts = (fresh(docs, x) for x in ("source_key", "uniform", "steps", "parts"))
     copy_no, n_copies, key = (fresh(docs, x) for x in ("copy_no", "n_copies", "shuffle_key"))
-    rates = source_rates(docs, source_col, weights, epochs).select(F.col("source").alias(k), F.col("steps").alias(steps))
+    rates = source_rates(docs, source_col, weights, epochs).select(
+        F.col("source").alias(k), F.col("steps").alias(steps), F.col("parts").alias(parts)
+    )
     source = F.col(source_col).cast("string")
     joined = join_checked(docs, rates, source.eqNullSafe(F.col(k)), "inner", "op6-rates", MOST_BROADCAST)
-    uniform = hashed(F.lit(seed), F.lit("count"), id_col).cast("double") / float(2**60)
-    counted = joined.withColumn(u, uniform).withColumn(
-        n_copies, F.size(F.filter(steps, lambda c: c <= F.col(u))).cast("long")
-    )
+    uniform = lambda *more: hashed(F.lit(seed), F.lit("count"), id_col, *more).cast("double") / float(2**60)
+    below = lambda v: F.size(F.filter(steps, lambda c: c <= v)).cast("long")
+    # An array of one binds a part's number, so it is hashed once and not for each step.
+    part_count = lambda part: F.get(F.transform(F.array(uniform(part)), below), F.lit(0))
+    more = F.aggregate(F.sequence(F.lit(2).cast("long"), F.col(parts)), below(F.col(u)), lambda n, part: n + part_count(part))
+    counted = joined.withColumn(u, uniform()).withColumn(n_copies, F.when(F.col(parts) > 1, more).otherwise(below(F.col(u))))
     copies = counted.filter(F.col(n_copies) > 0).withColumn(
         copy_no, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_copies)))
     )
-    mixed = copies.withColumn(key, hashed(F.lit(seed), F.lit("order"), id_col, copy_no)).drop(k, u, steps)
+    mixed = copies.withColumn(key, hashed(F.lit(seed), F.lit("order"), id_col, copy_no)).drop(k, u, steps, parts)
     return mixed.repartitionByRange(key).sortWithinPartitions(key)
 
 

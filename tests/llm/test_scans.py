@@ -175,6 +175,20 @@ def test_mixing(spark):
     assert mixing.mix(df, weights={}).count() == 0
 
 
+def test_large_rates_are_split(spark, monkeypatch):
+    rows = [(i, "t", None, "s") for i in range(2000)]
+    monkeypatch.setattr(mixing, "PART_RATE", 0.7)
+    got = mixing.mix(docs(spark, rows), epochs=2.5).groupBy("doc_id").count().toPandas()["count"]
+    missing = 2000 - len(got)
+    mean = got.sum() / 2000
+    spread = ((got - mean) ** 2).sum() / 2000 + missing * mean**2 / 2000
+    assert abs(mean - 2.5) < 0.15 and abs(spread - 2.5) < 0.35 and abs(missing / 2000 - math.exp(-2.5)) < 0.03
+    tiny = docs(spark, [(k, "t", None, "big") for k in range(3000)] + [(9999, "t", None, "tiny")])
+    monkeypatch.setattr(mixing, "PART_RATE", 500.0)
+    n = mixing.mix(tiny).filter("source = 'tiny'").count()
+    assert 1300 < n < 1700
+
+
 # --- language
 
 
