@@ -45,6 +45,13 @@ def appending(store: str, lane: str, clock: Callable[[], int], after: Callable[[
     return run
 
 
+def observed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, with counters that every trigger reports (StreamingQueryProgress.observedMetrics): records, bytes and
+    records that aren't JSON."""
+    size = F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0))
+    return rows.observe(name, F.count(F.lit(1)).alias("records"), size.alias("bytes"), F.count_if(F.try_parse_json("body").isNull()).alias("unparsable"))
+
+
 def touched(added_facts: DataFrame, all_facts: DataFrame, key: str) -> DataFrame:
     """All facts of the keys that a batch touched: merging them again gives those keys' rows, in any order of arrival."""
     return all_facts.join(added_facts.select(key).distinct(), key, "left_semi")

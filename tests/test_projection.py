@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import redact
-from ledgerlens.plans import projection
+from ledgerlens.operators import chain
+from ledgerlens.plans import backfill, projection
 from ledgerlens.sources import evidence, telemetry, transcripts
 
 
@@ -174,3 +175,20 @@ def test_telemetry_requests(spark, tmp_path):
 def test_source_record(spark):
     found = evidence.source_record(store(spark), "u-t3", "t3").first()
     assert '"Edit"' in found["body"]
+
+
+def test_backfill_and_rebuild(spark, tmp_path):
+    root, store_at = tmp_path / "projects", str(tmp_path / "store")
+    (root / "-w").mkdir(parents=True)
+    (root / "-w" / "s.jsonl").write_text("\n".join(TRANSCRIPT[:6]) + "\n" + TRANSCRIPT[0] + "\n")
+    first = backfill.backfill(spark, str(root), store_at, 1, create=True).first()
+    assert (first["files"], first["lines"], first["stored"], first["duplicates"]) == (1, 7, 6, 1)
+    assert backfill.backfill(spark, str(root), store_at, 2).first()["stored"] == 0
+    with (root / "-w" / "s.jsonl").open("a") as f:
+        f.write(TRANSCRIPT[6] + "\n")
+    assert backfill.backfill(spark, str(root), store_at, 3).first()["stored"] == 1
+    kept = spark.read.parquet(store_at)
+    none = spark.createDataFrame([], "chain_before string")
+    assert kept.count() == 7 and chain.verify(kept, none).count() == 0 and chain.heads(kept).first()["unsealed"] == 0
+    backfill.rebuild(spark, store_at, str(tmp_path / "tables"))
+    assert spark.read.parquet(str(tmp_path / "tables/tool_call")).count() == 3

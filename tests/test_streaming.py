@@ -39,6 +39,17 @@ def test_telemetry_stream_and_dedup(spark, tmp_path):
     assert spark.table("otlp_rows").count() == 1
 
 
+def test_observed_metrics(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "a.jsonl").write_text('{"a":1}\nnope\n')
+    rows = live.observed(live.transcript_stream(spark, str(landing)), "ingest")
+    q = rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    seen = [p.observedMetrics["ingest"] for p in q.recentProgress if "ingest" in p.observedMetrics]
+    assert sum(m["records"] for m in seen) == 2 and sum(m["unparsable"] for m in seen) == 1
+
+
 def test_merge_and_histogram_streams(spark, tmp_path):
     src = str(tmp_path / "src")
     schema = "id long, tool_use_id string, bit int, called_at long, success boolean, decision string"
