@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_checked, materialize
+from .common import fresh, join_checked, join_groups, materialize
 from .components import components
 from .golay import keys as golay_keys
 from .words import shingle_hashes, word_hashes, words_of
@@ -25,8 +25,10 @@ from .words import shingle_hashes, word_hashes, words_of
 #: (shift, bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (1, 2), (2, 0))
-#: Groups of so many candidates are verified pair by pair; larger ones, along their minimum spanning forest.
+#: Groups of so many candidates are verified pair by pair; larger ones, along their minimum spanning forest and to hubs.
 SMALL = 16
+#: So many of a text's shingles, those with the smallest hashes, are looked at to find the hubs.
+LEAST = 64
 #: Hashes summed at once, which bounds the memory for a very long text.
 BLOCK = 1 << 16
 
@@ -120,7 +122,8 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, small: int) -> pa.RecordBatch:
-    """Links of whole groups, the arrays sorted by key; all within the radius in groups of up to ``small``."""
+    """Links of whole groups, the arrays sorted by key; all within the radius in groups of up to ``small``. A ``small`` over
+    2 also marks the nodes of larger groups, by a link to themselves."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((start, [len(keys)])))
     two = start[size == 2]
@@ -133,6 +136,8 @@ def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, smal
             x, y = nodes[s + i[near]], nodes[s + j[near]]
         else:
             x, y = _forest(nodes[s : s + n], fps[s : s + n], radius)
+            if small > 2:
+                x, y = np.concatenate((x, nodes[s : s + n])), np.concatenate((y, nodes[s : s + n]))
         a.append(x)
         b.append(y)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -140,7 +145,8 @@ def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, smal
 
 def links(points: DataFrame, radius: int, small: int = 2) -> DataFrame:
     """points(node long, fp long) -> distinct (a, b): links within ``radius`` bits that join the same components as
-    all links do, and of groups of up to ``small`` that share a key all links. For a radius up to 5 none is missed; beyond
+    all links do, of groups of up to ``small`` that share a key all links, and (for a ``small`` over 2) links from the nodes
+    of larger groups to themselves. For a radius up to 5 none is missed; beyond
     that those are found whose two segments differ in two bits at most each."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +170,7 @@ def links(points: DataFrame, radius: int, small: int = 2) -> DataFrame:
             yield _met(*held, radius, small)
 
     dealt = points.select("node", "fp").mapInArrow(deal, "key long, node long, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def fingerprint_components(
@@ -215,18 +221,39 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """docs(id, text) -> (node, fp, sketch): the word fingerprint, and the shingles' hashes cut to 16 bits, sorted."""
+    """docs(id, text) -> (node, fp, sketch, least): the word fingerprint, the shingles' hashes cut to 16 bits, sorted, and
+    the LEAST smallest of them in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sketches = [], []
+            fps, sketches, least = [], [], []
             for t in b.column(1):
                 words = words_of(t.as_py())
+                hashes = np.unique(shingle_hashes(words, size))
                 fps.append(words_fingerprint(words))
-                sketches.append(np.unique(shingle_hashes(words, size).astype(np.uint16)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["node", "fp", "sketch"])
-
-    return docs.select("id", "text").mapInArrow(run, "node long, fp long, sketch binary")
+                sketches.append(np.unique(hashes.astype(np.uint16)).tobytes())
+                least.append(hashes[:LEAST].view(np.int64))
+            columns = [b.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "sketch", "least"])
+
+    return docs.select("id", "text").mapInArrow(run, "node long, fp long, sketch binary, least array<long>")
+
+
+def _crowd_links(points: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b) for the nodes of large candidate groups: for each of a node's sampled shingles, the node that holds it and
+    whose own sampled shingles are the most widely shared. Copies of one text that were edited apart are like that text
+    and not like one another; it has no shingles of its own, so it is the one they all are linked to. A few links for
+    each node, whatever the group's size; the counts are combined before the shuffle."""
+    crowd = met.filter("a = b").select(F.col("a").alias("node"))
+    each = points.select("node", "least").join(crowd, "node", "left_semi").select("node", F.explode("least").alias("h"))
+    each = materialize(each, "near-crowd")
+    shared = materialize(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+    counted = join_groups(each, shared, "h", "n", ["n"], ["node"])
+    score = counted.groupBy("node").agg(F.sum("n").alias("score"))
+    best = each.join(score, "node").groupBy("h").agg(F.max(F.struct("score", "node")).alias("best"), F.count("*").alias("n"))
+    best = materialize(best.filter("n > 1").select("h", "n", F.col("best.node").alias("hub")), "near-hubs")
+    linked = join_groups(each, best, "h", "n", ["hub"], ["node"]).filter("node <> hub")
+    return linked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _sketch_similarity() -> Callable[[Column, Column], Column]:
@@ -252,8 +279,8 @@ def near_groups(
 ) -> DataFrame:
     """(node, root): the documents that are near copies of one with a smaller id, with the smallest id of their group.
 
-    Candidates are met through word fingerprints (all pairs of small groups, a minimum spanning forest of large ones, so
-    a large group of near copies gives a few links for each member). A sieve of 16-bit shingle hashes, whose similarity
+    Candidates are met through word fingerprints (all pairs of small groups; of large ones a minimum spanning forest and
+    links to hubs, _crowd_links(), so a large group of near copies gives a few links for each member). A sieve of 16-bit shingle hashes, whose similarity
     is not below the true one but for chance, passes those within 0.02 of the threshold; links are kept where the Jaccard
     similarity of the full sets of ``shingle``-word shingles is at least ``similarity``. Rows without an id are in no
     group; of rows that repeat an id the greatest text counts. A null text counts as empty: empty texts are equal.
@@ -265,6 +292,8 @@ def near_groups(
         base = base.groupBy("id").agg(F.max("text").alias("text"))
     points = materialize(_sketched(base, shingle), "near-prints")
     met = materialize(links(points, radius, SMALL), "near-links")
+    if not met.filter("a = b").isEmpty():
+        met = materialize(met.filter("a <> b").union(_crowd_links(points, met)).distinct(), "near-candidates")
     one = points.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
     two = points.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     likely = met.join(one, "a").join(two, "b").filter(_sketch_similarity()(F.col("x"), F.col("y")) >= similarity - 0.02)

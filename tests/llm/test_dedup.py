@@ -307,3 +307,22 @@ def test_near_groups(spark):
     assert got == want
     kept = simhash.keep_first(docs(spark, pairs))
     assert kept.columns == ["doc_id", "text", "ID", "h", "recipe"] and kept.count() == len(pairs) - len(want)
+
+
+def test_a_large_family_of_near_copies(spark):
+    """Copies edited apart: each is like the first text and hardly any like one another."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["er", "tion", "an", "th", "on", "re", "in", "es"]) for _ in range(rng.randrange(2, 5)))
+    base = [word() for _ in range(300)]
+    pairs = [(500, " ".join(base))]
+    for i in range(300):
+        words = list(base)
+        for _ in range(6):
+            words[rng.randrange(300)] = word()
+        pairs.append((1000 + i, " ".join(words)))
+    sets = [set(shingle_hashes(words_of(t), 5).tolist()) for _, t in pairs]
+    like = [len(s & sets[0]) / len(s | sets[0]) >= 0.8 for s in sets]
+    assert sum(like) > 200
+    got = {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()}
+    missed = [i for (i, _), near in zip(pairs[1:], like[1:], strict=True) if near and got.get(i) != 500]
+    assert len(missed) <= 3
