@@ -100,9 +100,12 @@ def _keys(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prim's minimum spanning forest of the links within ``radius``: at most one link for each node."""
+def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prim's minimum spanning forest of the links within ``radius``, at most one link for each node; and how many
+    others are within the radius of each node."""
     away = bits_apart(fps, fps[0]).astype(np.int16)
+    degree = np.zeros(len(nodes), np.int64)
+    degree[0] = (away <= radius).sum() - 1
     parent = np.zeros(len(nodes), np.int64)
     away[0] = 999
     out = np.ones(len(nodes), bool)
@@ -115,15 +118,16 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
             by.append(parent[k])
         out[k] = False
         now = bits_apart(fps, fps[k])
+        degree[k] = (now <= radius).sum() - 1
         closer = out & (now < away)
         away[closer] = now[closer]
         parent[closer] = k
-    return nodes[child], nodes[by]
+    return nodes[child], nodes[by], degree
 
 
 def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, small: int) -> pa.RecordBatch:
     """Links of whole groups, the arrays sorted by key; all within the radius in groups of up to ``small``. A ``small`` over
-    2 also marks the nodes of larger groups, by a link to themselves."""
+    2 also marks the nodes of larger groups with so many neighbours within the radius, by a link to themselves."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((start, [len(keys)])))
     two = start[size == 2]
@@ -135,9 +139,10 @@ def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, smal
             near = bits_apart(fps[s + i], fps[s + j]) <= radius
             x, y = nodes[s + i[near]], nodes[s + j[near]]
         else:
-            x, y = _forest(nodes[s : s + n], fps[s : s + n], radius)
+            x, y, degree = _forest(nodes[s : s + n], fps[s : s + n], radius)
             if small > 2:
-                x, y = np.concatenate((x, nodes[s : s + n])), np.concatenate((y, nodes[s : s + n]))
+                crowd = nodes[s : s + n][degree >= small]
+                x, y = np.concatenate((x, crowd)), np.concatenate((y, crowd))
         a.append(x)
         b.append(y)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -145,8 +150,8 @@ def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, smal
 
 def links(points: DataFrame, radius: int, small: int = 2) -> DataFrame:
     """points(node long, fp long) -> distinct (a, b): links within ``radius`` bits that join the same components as
-    all links do, of groups of up to ``small`` that share a key all links, and (for a ``small`` over 2) links from the nodes
-    of larger groups to themselves. For a radius up to 5 none is missed; beyond
+    all links do, of groups of up to ``small`` that share a key all links, and (for a ``small`` over 2) links to themselves
+    from nodes of larger groups with so many neighbours within the radius. For a radius up to 5 none is missed; beyond
     that those are found whose two segments differ in two bits at most each."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +280,7 @@ def near_groups(
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 12,
+    radius: int = 9,
 ) -> DataFrame:
     """(node, root): the documents that are near copies of one with a smaller id, with the smallest id of their group.
 
@@ -308,7 +313,7 @@ def near_groups(
 
 
 def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 12
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 9
 ) -> DataFrame:
     """The rows of ``docs``, all columns, without the near copies of a document with a smaller id (near_groups())."""
     node = fresh(docs, "near_copy")
