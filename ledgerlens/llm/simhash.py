@@ -9,6 +9,8 @@ within the radius: as many rows as fingerprints, the same components, and no pai
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,10 +27,13 @@ from .words import shingle_hashes, word_hashes, words_of
 #: (shift, bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (1, 2), (2, 0))
-#: Groups of so many candidates are verified pair by pair; larger ones, along their minimum spanning forest and to hubs.
-SMALL = 16
-#: So many of a text's shingles, those with the smallest hashes, are looked at to find the hubs.
-LEAST = 64
+#: Texts that share a shingle are listed pair by pair up to so many; larger groups are compared in blocks of CROWD_BLOCK.
+SMALL, CROWD_BLOCK = 16, 128
+#: Shingles in COMMON or more of a sample of about SAMPLE_DOCS texts come last in the order that prefixes are cut from.
+#: Any order finds every pair, so the sample changes the work and not the result.
+SAMPLE_DOCS, COMMON = 5_000, 4
+#: Columns of shingles multiplied at once when a block is compared.
+COLUMNS = 8192
 #: Hashes summed at once, which bounds the memory for a very long text.
 BLOCK = 1 << 16
 
@@ -100,12 +105,9 @@ def _keys(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prim's minimum spanning forest of the links within ``radius``, at most one link for each node; and how many
-    others are within the radius of each node."""
+def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prim's minimum spanning forest of the links within ``radius``, at most one link for each node."""
     away = bits_apart(fps, fps[0]).astype(np.int16)
-    degree = np.zeros(len(nodes), np.int64)
-    degree[0] = (away <= radius).sum() - 1
     parent = np.zeros(len(nodes), np.int64)
     away[0] = 999
     out = np.ones(len(nodes), bool)
@@ -118,41 +120,30 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
             by.append(parent[k])
         out[k] = False
         now = bits_apart(fps, fps[k])
-        degree[k] = (now <= radius).sum() - 1
         closer = out & (now < away)
         away[closer] = now[closer]
         parent[closer] = k
-    return nodes[child], nodes[by], degree
+    return nodes[child], nodes[by]
 
 
-def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, small: int) -> pa.RecordBatch:
-    """Links of whole groups, the arrays sorted by key; all within the radius in groups of up to ``small``. A ``small`` over
-    2 also marks the nodes of larger groups with so many neighbours within the radius, by a link to themselves."""
+def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int) -> pa.RecordBatch:
+    """The forests' links of whole groups, the arrays sorted by key."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((start, [len(keys)])))
     two = start[size == 2]
     two = two[bits_apart(fps[two], fps[two + 1]) <= radius]
     a, b = [nodes[two]], [nodes[two + 1]]
     for s, n in zip(start[size > 2], size[size > 2], strict=True):
-        if n <= small:
-            i, j = np.triu_indices(n, 1)
-            near = bits_apart(fps[s + i], fps[s + j]) <= radius
-            x, y = nodes[s + i[near]], nodes[s + j[near]]
-        else:
-            x, y, degree = _forest(nodes[s : s + n], fps[s : s + n], radius)
-            if small > 2:
-                crowd = nodes[s : s + n][degree >= small]
-                x, y = np.concatenate((x, crowd)), np.concatenate((y, crowd))
+        x, y = _forest(nodes[s : s + n], fps[s : s + n], radius)
         a.append(x)
         b.append(y)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def links(points: DataFrame, radius: int, small: int = 2) -> DataFrame:
+def links(points: DataFrame, radius: int) -> DataFrame:
     """points(node long, fp long) -> distinct (a, b): links within ``radius`` bits that join the same components as
-    all links do, of groups of up to ``small`` that share a key all links, and (for a ``small`` over 2) links to themselves
-    from nodes of larger groups with so many neighbours within the radius. For a radius up to 5 none is missed; beyond
-    that those are found whose two segments differ in two bits at most each."""
+    all links do. For a radius up to 5 none is missed; beyond that those are found whose two segments differ in two
+    bits at most each."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,10 +160,10 @@ def links(points: DataFrame, radius: int, small: int = 2) -> DataFrame:
             held = [np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("key", "node", "fp"), strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
-                yield _met(*(h[:last] for h in held), radius, small)
+                yield _met(*(h[:last] for h in held), radius)
                 held = [h[last:] for h in held]
         if len(held[0]):
-            yield _met(*held, radius, small)
+            yield _met(*held, radius)
 
     dealt = points.select("node", "fp").mapInArrow(deal, "key long, node long, fp long")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -225,53 +216,112 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole == 0, 1.0).otherwise(both / whole)
 
 
-def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """docs(id, text) -> (node, fp, sketch, least): the word fingerprint, the shingles' hashes cut to 16 bits, sorted, and
-    the LEAST smallest of them in full."""
+def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """docs(id, text) -> (node, n, same, prefix): how many distinct shingles a text has, a digest of them all, and so many of
+    the first in a fixed order that two texts of the similarity have one of them in common: their first common shingle
+    leaves no more than the dissimilar part before it. The order is by hash, with the common shingles last. A text
+    without words has the one shingle 0."""
+    n = docs.count()
+    some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(int(SAMPLE_DOCS / max(n, 1) * (1 << 30)), 1 << 30))
+    often = shingle_sets(some, size).select(F.explode("shingles").alias("h")).groupBy("h").count().filter(f"count >= {COMMON}")
+    found = np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for b in batches:
-            fps, sketches, least = [], [], []
+            counts, same, prefix = [], [], []
             for t in b.column(1):
-                words = words_of(t.as_py())
-                hashes = np.unique(shingle_hashes(words, size))
-                fps.append(words_fingerprint(words))
-                sketches.append(np.unique(hashes.astype(np.uint16)).tobytes())
-                least.append(hashes[:LEAST].view(np.int64))
-            columns = [b.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "sketch", "least"])
-
-    return docs.select("id", "text").mapInArrow(run, "node long, fp long, sketch binary, least array<long>")
-
-
-def _crowd_links(points: DataFrame, met: DataFrame) -> DataFrame:
-    """(a, b) for the nodes of large candidate groups: for each of a node's sampled shingles, the node that holds it and
-    whose own sampled shingles are the most widely shared. Copies of one text that were edited apart are like that text
-    and not like one another; it has no shingles of its own, so it is the one they all are linked to. A few links for
-    each node, whatever the group's size; the counts are combined before the shuffle."""
-    crowd = met.filter("a = b").select(F.col("a").alias("node"))
-    each = points.select("node", "least").join(crowd, "node", "left_semi").select("node", F.explode("least").alias("h"))
-    each = materialize(each, "near-crowd")
-    shared = materialize(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
-    counted = join_groups(each, shared, "h", "n", ["n"], ["node"])
-    score = counted.groupBy("node").agg(F.sum("n").alias("score"))
-    best = each.join(score, "node").groupBy("h").agg(F.max(F.struct("score", "node")).alias("best"), F.count("*").alias("n"))
-    best = materialize(best.filter("n > 1").select("h", "n", F.col("best.node").alias("hub")), "near-hubs")
-    linked = join_groups(each, best, "h", "n", ["hub"], ["node"]).filter("node <> hub")
-    return linked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def _sketch_similarity() -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(len(x) + len(y) - both, 1) if len(x) or len(y) else 1.0)
-        return pd.Series(out, dtype=float)
-
-    return run
+                hashes = np.unique(shingle_hashes(words_of(t.as_py()), size))
+                counts.append(len(hashes))
+                same.append(hashlib.md5(hashes.tobytes()).digest())
+                last = np.isin(hashes, common, assume_unique=True) if len(common) else np.zeros(len(hashes), bool)
+                # The small number keeps a product just above a whole one from cutting a shingle off.
+                most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+                ordered = np.concatenate((hashes[~last], hashes[last]))[:most] if len(hashes) else np.zeros(1, np.uint64)
+                prefix.append(ordered.view(np.int64))
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(same, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "same", "prefix"])
+
+    return docs.select("id", "text").mapInArrow(run, "node long, n long, same binary, prefix array<long>")
+
+
+def _block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all roots that near copies join, by the exact similarity of every pair of a block (sides all 0) or
+    of two blocks (sides 0 and 1)."""
+    sizes = np.array([len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    rank = np.cumsum(count > 1) - 1
+    row, column = row[count[at] > 1], rank[at[count[at] > 1]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+        part = (column >= k) & (column < k + COLUMNS)
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[part], column[part] - k] = 1
+        both += held @ held.T
+    whole = sizes[:, None] + sizes[None, :] - both.astype(np.int64)
+    near = (both.astype(np.float64) / np.maximum(whole, 1) >= similarity) & (roots[:, None] != roots[None, :])
+    if sides.any():
+        near &= sides[:, None] != sides[None, :]
+    top = {int(r): int(r) for r in roots}
+
+    def find(k: int) -> int:
+        while top[k] != k:
+            top[k] = k = top[top[k]]
+        return k
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        x, y = find(int(roots[i])), find(int(roots[j]))
+        if x != y:
+            top[x] = y
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def _verified(pairs: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' full sets of shingles have at least the similarity."""
+    pairs = materialize(pairs, "near-candidates")
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = join_checked(base, nodes, ["id"], "left_semi", "near-nodes")
+    sets = materialize(shingle_sets(texts, shingle), "near-shingles")
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(two, "b").filter(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+
+
+def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) for crowd(h, node), the texts of large groups: links that join all that near copies among them join.
+
+    Groups whose texts the links in ``sure`` have joined already are done. The texts of the others, by components of
+    shared shingles, are dealt out in blocks, and every two blocks of a component are compared in a task of their own.
+    """
+    roots = components(sure)
+    rows = crowd.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    rows = materialize(rows, "near-crowd")
+    split = rows.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("least"), F.count("*").alias("size"))
+    split = materialize(split.filter("r <> s").select("h", "least", "size"), "near-split")
+    left = materialize(join_groups(rows, split, "h", "size", ["least"], ["node"]).select("node", "root", "least").distinct(), "near-left")
+    parts = components(left.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    nodes = left.select("node", "root").distinct().join(parts.withColumnRenamed("root", "part"), "node", "left")
+    nodes = materialize(nodes.withColumn("part", F.coalesce("part", "node")), "near-parts")
+    sizes = materialize(nodes.groupBy("part").agg(F.count("*").alias("size"), F.expr(f"count(*) div {CROWD_BLOCK} + 1").alias("blocks")), "near-sizes")
+    placed = join_groups(nodes, sizes, "part", "size", ["blocks"], ["node"])
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = placed.select("node", "root", "part", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", "root", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    texts = join_checked(base, nodes.select(F.col("node").alias("id")), ["id"], "left_semi", "near-crowd-nodes")
+    sets = materialize(shingle_sets(texts, shingle), "near-crowd-shingles")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        sets = [np.asarray(x, np.int64) for x in pdf["shingles"]]
+        found = _block_links(pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["side"].to_numpy(), sets, similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    full = dealt.join(sets.withColumnRenamed("id", "node"), "node")
+    return full.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_groups(
@@ -284,31 +334,45 @@ def near_groups(
 ) -> DataFrame:
     """(node, root): the documents that are near copies of one with a smaller id, with the smallest id of their group.
 
-    Candidates are met through word fingerprints (all pairs of small groups; of large ones a minimum spanning forest and
-    links to hubs, _crowd_links(), so a large group of near copies gives a few links for each member). A sieve of 16-bit shingle hashes, whose similarity
-    is not below the true one but for chance, passes those within 0.02 of the threshold; links are kept where the Jaccard
-    similarity of the full sets of ``shingle``-word shingles is at least ``similarity``. Rows without an id are in no
-    group; of rows that repeat an id the greatest text counts. A null text counts as empty: empty texts are equal.
+    A link is a pair whose full sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``; groups
+    are the components of all links. Texts with equal sets are one from the start. No link is missed: the others are
+    found by a common shingle of their prefixes (_prefixes()), all pairs of groups of up to SMALL texts and, block by
+    block, those of larger ones (_crowd_links()). Word fingerprints within ``radius`` bits join texts of large groups
+    before that, which only saves comparisons. Rows without an id are in no group; of rows that repeat an id the
+    greatest text counts. A null text counts as empty: empty texts are equal.
     """
     base = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).filter("id IS NOT NULL")
     if not base.groupBy("id").count().filter("count > 1").isEmpty():
         base = base.groupBy("id").agg(F.max("text").alias("text"))
-    points = materialize(_sketched(base, shingle), "near-prints")
-    met = materialize(links(points, radius, SMALL), "near-links")
-    if not met.filter("a = b").isEmpty():
-        met = materialize(met.filter("a <> b").union(_crowd_links(points, met)).distinct(), "near-candidates")
-    one = points.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    two = points.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    likely = met.join(one, "a").join(two, "b").filter(_sketch_similarity()(F.col("x"), F.col("y")) >= similarity - 0.02)
-    likely = materialize(likely.select("a", "b"), "near-likely")
-    nodes = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    texts = join_checked(base, nodes, ["id"], "left_semi", "near-nodes")
-    sets = materialize(shingle_sets(texts, shingle), "near-shingles")
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    sure = likely.join(one, "a").join(two, "b").filter(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+    points = materialize(_prefixes(base, shingle, similarity), "near-prefixes")
+    groups = points.groupBy("same").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    equal = join_groups(points.select("node", "same"), materialize(groups, "near-same"), "same", "size", ["least"], ["node"])
+    equal = materialize(equal.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")), "near-equal")
+    single = join_checked(points.drop("same"), equal.select(F.col("a").alias("node")), ["node"], "left_anti", "near-others")
+    each = single.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = materialize(each.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "near-shared")
+    held = materialize(join_groups(each, shared, "h", "size", ["size"], ["node"]), "near-held")
+    few = held.filter(F.col("size") <= SMALL)
+    one = few.select("h", F.col("node").alias("a"), F.col("n").alias("n1"), (F.col("n") - F.col("pos")).alias("left1"))
+    two = few.select("h", F.col("node").alias("b"), F.col("n").alias("n2"), (F.col("n") - F.col("pos")).alias("left2"))
+    # From the first common shingle on, what is left of either text bounds what they have in common.
+    enough = F.least("left1", "left2") >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6
+    pairs = one.join(two, "h").filter((F.col("a") < F.col("b")) & enough).select("a", "b")
+    crowd = materialize(held.filter(F.col("size") > SMALL).select("h", "node"), "near-crowd-rows")
+    crowded = not crowd.isEmpty()
+    if crowded:
+        texts = join_checked(base, crowd.select(F.col("node").alias("id")).distinct(), ["id"], "left_semi", "near-crowd-ids")
+        printed = materialize(prints(texts, word_print).withColumnRenamed("id", "node"), "near-prints")
+        # Equal fingerprints are one node, however many texts have them.
+        nodes = materialize(printed.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "near-points")
+        met = links(nodes.select(F.col("least").alias("node"), "fp"), radius)
+        alike = join_groups(printed, nodes.filter("size > 1"), "fp", "size", ["least"], ["node"]).filter("node <> least")
+        pairs = pairs.union(met).union(alike.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    sure = materialize(_verified(pairs.distinct(), base, shingle, similarity).union(equal), "near-sure")
+    if crowded:
+        sure = sure.union(_crowd_links(crowd, sure, base, shingle, similarity))
     return components(sure)
 
 

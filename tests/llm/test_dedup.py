@@ -326,3 +326,59 @@ def test_a_large_family_of_near_copies(spark):
     got = {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()}
     missed = [i for (i, _), near in zip(pairs[1:], like[1:], strict=True) if near and got.get(i) != 500]
     assert len(missed) <= 3
+
+
+def brute_near(pairs, similarity=0.8):
+    """(node, root) of the components of all pairs at the similarity."""
+    sets = {i: set(shingle_hashes(words_of(t), 5).tolist()) for i, t in pairs}
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k, b in enumerate(ids):
+        for a in ids[:k]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and (len(x & y) / len(x | y) if x | y else 1.0) >= similarity:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: find(i) for i in ids if find(i) != i}
+
+
+def test_near_copies_far_apart_in_bits(spark):
+    """A notice in front of a short text moves many bits of the fingerprint and few of the shingles."""
+    rng = random.Random(6)
+    pairs = [(1, ""), (2, " \n"), (3, "one two"), (4, "One  two")]
+    for i in range(10, 90):
+        words = [f"{rng.choice(['er', 'tion', 'an', 'in'])}{rng.randrange(10**6)}" for _ in range(50)]
+        notice = [f"notice{rng.randrange(10**6)}" * 2 for _ in range(5)]
+        pairs += [(i, " ".join(words)), (1000 + i, " ".join(notice + words))]
+    apart = [bin((simhash.word_print(x[1]) ^ simhash.word_print(y[1])) & (2**64 - 1)).count("1") for x, y in zip(pairs[4::2], pairs[5::2], strict=True)]
+    assert max(apart) > 9
+    want = brute_near(pairs)
+    assert len(want) == 82
+    assert {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()} == want
+
+
+def test_crowds_lose_no_link(spark):
+    """A chain of versions edited one after the other, and copies edited apart without their first text: both over the
+    size of a block."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["er", "tion", "an", "th", "on", "re", "in", "es"]) for _ in range(rng.randrange(2, 5)))
+    pairs, words = [], [word() for _ in range(200)]
+    for i in range(200):
+        for _ in range(rng.choice([3, 4, 8])):
+            words[rng.randrange(150)] = word()
+        pairs.append((5000 - i, " ".join(words)))
+    base = [word() for _ in range(200)]
+    for i in range(200):
+        words = list(base)
+        for _ in range(4):
+            words[rng.randrange(200)] = word()
+        pairs.append((i, " ".join(words)))
+    want = brute_near(pairs)
+    assert 50 < len(want) < 395
+    assert {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()} == want
