@@ -20,9 +20,9 @@ from .common import fresh, join_checked, materialize
 
 #: Trigrams are hashed to so many classes.
 CLASSES = 1 << 15
-#: The text model is fitted on a sample of about so many labelled documents, in at most so many languages of so many
-#: sampled documents each; everything else counts all documents.
-SAMPLE_DOCS, MOST_LANGUAGES, LEAST_DOCS = 20_000, 64, 5
+#: The text model has every label of so many documents in the whole table. It is fitted on distinct texts: about so many
+#: in all, shared out evenly among the labels, but about LABEL_DOCS of each at least. Everything else counts all documents.
+LEAST_DOCS, SAMPLE_DOCS, LABEL_DOCS = 5, 20_000, 200
 #: Neighbouring trigrams overlap, so their log-likelihoods are not independent evidence.
 TEMPER = 1 / 3
 #: Pseudo-counts: of trigram classes, of a host's prior, of a suffix's prior, of the confusion table.
@@ -66,34 +66,39 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, text: Column, label: Column, sample_docs: int = SAMPLE_DOCS) -> TextModel:
-    """Fitted on a sample of about ``sample_docs`` labelled documents, picked by a hash of the text."""
+    """Fitted on distinct texts of every label with LEAST_DOCS documents: all of them in tables of up to ``sample_docs``
+    labelled documents, beyond that each label's share of ``sample_docs`` (LABEL_DOCS at least), picked by a hash of the
+    text."""
     labelled = docs.select(label.alias("label"), text.alias("text")).filter("label IS NOT NULL AND text IS NOT NULL")
-    n = labelled.count()
-    if n > sample_docs:
-        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample_docs / n * (1 << 30)))
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()
+    often = sorted((r for r in sizes if r["n"] >= LEAST_DOCS), key=lambda r: r["label"])
+    languages = [r["label"] for r in often]
+    share = max(LABEL_DOCS, sample_docs // max(len(often), 1)) if sum(r["n"] for r in sizes) > sample_docs else float("inf")
+    rates = [(r["label"], int(min(1.0, share / max(r["texts"], 1)) * (1 << 30))) for r in often]
+    rates = docs.sparkSession.createDataFrame(rates, "label string, below long")
+    picked = labelled.join(F.broadcast(rates), "label").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("below"))
+    picked = picked.select("label", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        n_docs: dict[str, int] = {}
         for b in batches:
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(name, np.zeros(CLASSES, np.int64))
-                n_docs[name] = n_docs.get(name, 0) + 1
                 for classes in trigram_classes(body):
                     own += np.bincount(classes, minlength=CLASSES)
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(at) + 1)), pa.array([-1, *at.tolist()]), pa.array([n_docs[name], *own[at].tolist()])],
+                [pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(own[at])],
                 ["label", "class", "n"],
             )
 
-    rows = labelled.mapInArrow(count, "label string, class long, n long").groupBy("label", "class").agg(F.sum("n").alias("n"))
-    often = rows.filter(f"class = -1 AND n >= {LEAST_DOCS}").orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES)
-    languages = sorted(r["label"] for r in often.collect())
+    rows = picked.mapInArrow(count, "label string, class long, n long").groupBy("label", "class").agg(F.sum("n").alias("n"))
+    rows = rows.toArrow()
     counts = np.zeros((len(languages), CLASSES))
-    for r in rows.filter(F.col("label").isin(languages) & (F.col("class") >= 0)).collect():
-        counts[languages.index(r["label"]), r["class"]] = r["n"]
+    place = {x: k for k, x in enumerate(languages)}
+    at = np.array([place[x] for x in rows["label"].to_pylist()], np.int64)
+    counts[at, rows["class"].to_numpy().astype(np.int64)] = rows["n"].to_numpy()
     return TextModel(languages, counts)
 
 

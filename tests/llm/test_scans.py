@@ -210,6 +210,20 @@ def test_language_accuracy_and_rejects(spark, small):
     assert language.identify(docs(spark, [])).count() == 0
 
 
+def test_every_label_of_the_table_has_a_class(spark):
+    """Labels that a sample of all documents would pass over, labels of one text that many rows repeat, and many labels."""
+    rows = [(i, f"the text number {i} of the common language", "en") for i in range(2000)]
+    rows += [(3000 + i, f"zuxo vaki {i} wopu", "xx") for i in range(language.LEAST_DOCS)]
+    rows += [(4000 + i, "ever the same words", "yy") for i in range(500)]
+    rows += [(5000 + i, f"label {i % 80} text {i}", f"l{i % 80}") for i in range(80 * language.LEAST_DOCS)]
+    rows += [(7000 + i, "too few", "zz") for i in range(language.LEAST_DOCS - 1)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_text_model(given, F.col("text"), F.col("lang"), sample_docs=100)
+    assert model.languages == [*sorted(["en", "xx", "yy", *(f"l{k}" for k in range(80))]), "und"]
+    known = model.table[:-1]
+    assert (known.max(axis=1) > known.min(axis=1)).all()  # each has seen a text
+
+
 def test_metadata_decide_for_short_texts(spark, small):
     given = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", F.concat(F.lit("h."), F.col("lang")).alias("source"))
     short = spark.createDataFrame([(9001, "7.", "fr", "h.fr"), (9002, "7.", "de", "new.de")], given.schema)
