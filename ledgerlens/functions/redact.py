@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+#: Characters of a text shown on each side of a hit.
+AROUND = 100
 _MARKER = re.compile(r"\[redacted: [a-z0-9-]+\]")
 
 
@@ -98,19 +100,23 @@ def redacted_json(text: Column, patterns: list[Pattern]) -> Column:
 
 
 def redaction_report(frame: DataFrame, columns: tuple[str, ...], patterns: list[Pattern], examples: int = 4) -> DataFrame:
-    """(field, pattern, rows, examples): rows that would change, with the least few of the affected texts."""
+    """(field, pattern, rows, examples): rows that would change, with the least few of the places: the pattern's first span in
+    a text, with up to AROUND characters before and after."""
     redactor = Redactor(patterns)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(f, i, t) for f, t in zip(pdf["field"], pdf["text"], strict=True) for i in sorted({s[2] for s in redactor.spans(t)})]
+            rows = []
+            for f, t in zip(pdf["field"], pdf["text"], strict=True):
+                first = {i: (s, e) for s, e, i in reversed(redactor.spans(t))}
+                rows += [(f, i, t[max(0, s - AROUND) : e + AROUND]) for i, (s, e) in sorted(first.items())]
             yield pd.DataFrame(rows, columns=["field", "pattern", "text"])
 
     long = frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("x"))
     found = long.select("x.field", "x.text").filter("text IS NOT NULL").mapInPandas(hits, "field string, pattern string, text string")
     # A grouped count, and a top-k of each group that keeps k rows on the map side too.
     counted = found.groupBy("field", "pattern").agg(F.count("*").alias("rows"))
-    distinct = found.select("field", "pattern", F.left("text", F.lit(200)).alias("text")).distinct()
+    distinct = found.select("field", "pattern", "text").distinct()
     ranked = distinct.withColumn("n", F.row_number().over(W.partitionBy("field", "pattern").orderBy("text"))).filter(F.col("n") <= examples)
     shown = ranked.groupBy("field", "pattern").agg(F.array_sort(F.collect_list("text")).alias("examples"))
     return counted.join(shown, ["field", "pattern"]).orderBy("field", F.desc("rows"), "pattern")

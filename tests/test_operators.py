@@ -139,6 +139,15 @@ def test_redaction(spark):
     assert redact.redaction_report(df, ("t",), redact.load_patterns()[0]).count() == 3
 
 
+def test_report_shows_the_hit(spark):
+    """Texts with one long beginning and different hits far behind it."""
+    front = "word " * 200
+    df = spark.createDataFrame([(f"{front}pwd=secret{k} and what follows",) for k in range(3)], "t string")
+    got = redact.redaction_report(df, ("t",), redact.load_patterns()[0]).collect()
+    assert [r["rows"] for r in got] == [3] and len(got[0]["examples"]) == 3
+    assert all(f"pwd=secret{k} and what follows" in x and "word word" in x for k, x in enumerate(got[0]["examples"]))
+
+
 def evidence_rows(spark):
     rows = [(i, "transcript", f"f{i % 2}", i, f"b{i}", 1) for i in range(1, 9)]
     df = spark.createDataFrame(rows, "id long, lane string, source_ref string, source_offset long, body string, ingested_at long")
