@@ -27,8 +27,9 @@ from .words import shingle_hashes, word_hashes, words_of
 #: (shift, bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (1, 2), (2, 0))
-#: Texts that share a shingle are listed pair by pair up to so many; larger groups are compared in blocks of CROWD_BLOCK.
-SMALL, CROWD_BLOCK = 16, 128
+#: Of up to SMALL texts that share a shingle all pairs are listed; of up to LISTED, those of texts that are not joined yet;
+#: larger groups are compared in blocks of CROWD_BLOCK.
+SMALL, LISTED, CROWD_BLOCK = 16, 256, 128
 #: Shingles in COMMON or more of a sample of about SAMPLE_DOCS texts come last in the order that prefixes are cut from.
 #: Any order finds every pair, so the sample changes the work and not the result.
 SAMPLE_DOCS, COMMON = 5_000, 4
@@ -280,29 +281,77 @@ def _block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets:
     return out
 
 
+def _sieves(docs: DataFrame, size: int) -> DataFrame:
+    """docs(id, text) -> (id, cut): the distinct shingles' hashes cut to 16 bits, sorted, repeats included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts = [np.sort(np.unique(shingle_hashes(words_of(t.as_py()), size)).astype(np.uint16)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.binary())], ["id", "cut"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, cut binary")
+
+
+def _most_similar() -> Callable[[Column, Column], Column]:
+    """An upper bound of the similarity: as many shingles in common as cut hashes, each as often as in both."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+            (u, m), (v, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+            _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+            both = int(np.minimum(m[i], n[j]).sum())
+            whole = len(x) + len(y) - both
+            out.append(both / whole if whole else 1.0)
+        return pd.Series(out, dtype=float)
+
+    return run
+
+
 def _verified(pairs: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets of shingles have at least the similarity."""
-    pairs = materialize(pairs, "near-candidates")
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = join_checked(base, nodes, ["id"], "left_semi", "near-nodes")
-    sets = materialize(shingle_sets(texts, shingle), "near-shingles")
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").filter(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+    """The pairs (a, b) whose texts' full sets of shingles have at least the similarity; those that cannot have it by
+    their cut hashes are passed over before the sets are made."""
+    for exact in (False, True):
+        pairs = materialize(pairs, "near-candidates")
+        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        texts = join_checked(base, nodes, ["id"], "left_semi", "near-nodes")
+        sets = materialize(shingle_sets(texts, shingle) if exact else _sieves(texts, shingle), "near-shingles").toDF("id", "x")
+        met = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.toDF("b", "y"), "b")
+        like = jaccard(F.col("x"), F.col("y")) if exact else _most_similar()(F.col("x"), F.col("y"))
+        pairs = met.filter(like >= similarity).select("a", "b")
+    return pairs
+
+
+def _near_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) for rows(h, node, root, n, pos): the pairs of texts of different roots that share a shingle. From the first common shingle on, what is left of either text bounds what they have in common."""
+    left = F.col("n") - F.col("pos")
+    one = rows.select("h", F.col("node").alias("a"), F.col("root").alias("r"), F.col("n").alias("n1"), left.alias("left1"))
+    two = rows.select("h", F.col("node").alias("b"), F.col("root").alias("s"), F.col("n").alias("n2"), left.alias("left2"))
+    enough = F.least("left1", "left2") >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6
+    met = one.join(two, (one["h"] == two["h"]) & (F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & enough)
+    return met.select("a", "b")
 
 
 def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) for crowd(h, node), the texts of large groups: links that join all that near copies among them join.
+    """(a, b) for crowd(h, node, n, pos), the texts of large groups: links that join all that near copies among them join.
 
-    Groups whose texts the links in ``sure`` have joined already are done. The texts of the others, by components of
-    shared shingles, are dealt out in blocks, and every two blocks of a component are compared in a task of their own.
+    Groups whose texts the links in ``sure`` have joined already are done. The others' pairs are listed in groups of up
+    to LISTED. The texts of larger ones, by components of shared shingles, are dealt out in blocks, and every two blocks
+    of a component are compared together.
     """
     roots = components(sure)
-    rows = crowd.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    rows = crowd.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     rows = materialize(rows, "near-crowd")
     split = rows.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("least"), F.count("*").alias("size"))
     split = materialize(split.filter("r <> s").select("h", "least", "size"), "near-split")
-    left = materialize(join_groups(rows, split, "h", "size", ["least"], ["node"]).select("node", "root", "least").distinct(), "near-left")
+    left = materialize(join_groups(rows, split, "h", "size", ["least", "size"], ["node"]), "near-left")
+    listed = _near_pairs(left.filter(F.col("size") <= LISTED), similarity).distinct()
+    listed = materialize(_verified(listed, base, shingle, similarity), "near-listed")
+    left = materialize(left.filter(F.col("size") > LISTED).select("node", "root", "least").distinct(), "near-large")
+    if left.isEmpty():
+        return listed
     parts = components(left.select(F.col("node").alias("a"), F.col("least").alias("b")))
     nodes = left.select("node", "root").distinct().join(parts.withColumnRenamed("root", "part"), "node", "left")
     nodes = materialize(nodes.withColumn("part", F.coalesce("part", "node")), "near-parts")
@@ -321,7 +370,7 @@ def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: in
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     full = dealt.join(sets.withColumnRenamed("id", "node"), "node")
-    return full.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long")
+    return listed.union(full.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def near_groups(
@@ -336,8 +385,8 @@ def near_groups(
 
     A link is a pair whose full sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``; groups
     are the components of all links. Texts with equal sets are one from the start. No link is missed: the others are
-    found by a common shingle of their prefixes (_prefixes()), all pairs of groups of up to SMALL texts and, block by
-    block, those of larger ones (_crowd_links()). Word fingerprints within ``radius`` bits join texts of large groups
+    found by a common shingle of their prefixes (_prefixes()), all pairs of groups of up to SMALL texts and, in
+    _crowd_links(), those of larger ones. Word fingerprints within ``radius`` bits join texts of large groups
     before that, which only saves comparisons. Rows without an id are in no group; of rows that repeat an id the
     greatest text counts. A null text counts as empty: empty texts are equal.
     """
@@ -354,13 +403,8 @@ def near_groups(
     each = single.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = materialize(each.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "near-shared")
     held = materialize(join_groups(each, shared, "h", "size", ["size"], ["node"]), "near-held")
-    few = held.filter(F.col("size") <= SMALL)
-    one = few.select("h", F.col("node").alias("a"), F.col("n").alias("n1"), (F.col("n") - F.col("pos")).alias("left1"))
-    two = few.select("h", F.col("node").alias("b"), F.col("n").alias("n2"), (F.col("n") - F.col("pos")).alias("left2"))
-    # From the first common shingle on, what is left of either text bounds what they have in common.
-    enough = F.least("left1", "left2") >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6
-    pairs = one.join(two, "h").filter((F.col("a") < F.col("b")) & enough).select("a", "b")
-    crowd = materialize(held.filter(F.col("size") > SMALL).select("h", "node"), "near-crowd-rows")
+    pairs = _near_pairs(held.filter(F.col("size") <= SMALL).withColumn("root", F.col("node")), similarity)
+    crowd = materialize(held.filter(F.col("size") > SMALL).select("h", "node", "n", "pos"), "near-crowd-rows")
     crowded = not crowd.isEmpty()
     if crowded:
         texts = join_checked(base, crowd.select(F.col("node").alias("id")).distinct(), ["id"], "left_semi", "near-crowd-ids")

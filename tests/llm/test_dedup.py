@@ -363,9 +363,11 @@ def test_near_copies_far_apart_in_bits(spark):
     assert {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()} == want
 
 
-def test_crowds_lose_no_link(spark):
+@pytest.mark.parametrize("listed", [16, 256])
+def test_crowds_lose_no_link(spark, monkeypatch, listed):
     """A chain of versions edited one after the other, and copies edited apart without their first text: both over the
-    size of a block."""
+    size of a block. The larger groups are compared in blocks or listed."""
+    monkeypatch.setattr(simhash, "LISTED", listed)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice(["er", "tion", "an", "th", "on", "re", "in", "es"]) for _ in range(rng.randrange(2, 5)))
     pairs, words = [], [word() for _ in range(200)]
