@@ -94,8 +94,7 @@ def mode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence rows of both lanes, before dedup: a transcript line a call, a telemetry record where one was seen, and the
-    documents' texts as lines of one more source."""
+    """Evidence rows of both lanes, before dedup: a transcript line a call, and a telemetry record where one was seen."""
     c = calls(spark, sf_dir)
     body = F.concat_ws("|", "session_id", "tool_name", F.coalesce("input_summary", F.lit("")), F.coalesce(F.col("success").cast("string"), F.lit("")))
     source = F.concat(F.lit("/logs/"), F.coalesce("session_id", F.lit("none")), F.lit(".jsonl"))
