@@ -281,47 +281,12 @@ def _block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets:
     return out
 
 
-def _sieves(docs: DataFrame, size: int) -> DataFrame:
-    """docs(id, text) -> (id, cut): the distinct shingles' hashes cut to 16 bits, sorted, repeats included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cuts = [np.sort(np.unique(shingle_hashes(words_of(t.as_py()), size)).astype(np.uint16)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.binary())], ["id", "cut"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, cut binary")
-
-
-def _most_similar() -> Callable[[Column, Column], Column]:
-    """An upper bound of the similarity: as many shingles in common as cut hashes, each as often as in both."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-            (u, m), (v, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-            _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-            both = int(np.minimum(m[i], n[j]).sum())
-            whole = len(x) + len(y) - both
-            out.append(both / whole if whole else 1.0)
-        return pd.Series(out, dtype=float)
-
-    return run
-
-
-def _verified(pairs: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets of shingles have at least the similarity; those that cannot have it by
-    their cut hashes are passed over before the sets are made."""
-    for exact in (False, True):
-        pairs = materialize(pairs, "near-candidates")
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = join_checked(base, nodes, ["id"], "left_semi", "near-nodes")
-        sets = materialize(shingle_sets(texts, shingle) if exact else _sieves(texts, shingle), "near-shingles").toDF("id", "x")
-        met = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.toDF("b", "y"), "b")
-        like = jaccard(F.col("x"), F.col("y")) if exact else _most_similar()(F.col("x"), F.col("y"))
-        pairs = met.filter(like >= similarity).select("a", "b")
-    return pairs
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets(node, shingles) that have at least the similarity."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    met = pairs.join(one, "a").join(two, "b")
+    return met.filter(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
 
 
 def _near_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -334,24 +299,63 @@ def _near_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "b")
 
 
-def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) for crowd(h, node, n, pos), the texts of large groups: links that join all that near copies among them join.
+def _some_partner(similarity: float) -> Column:
+    """Whether what is left of a text from its first common shingle on is enough for the smallest text of the group."""
+    return F.col("n") - F.col("pos") >= similarity / (1 + similarity) * (F.col("n") + F.col("least_n")) - 1e-6
+
+
+def _rare_first(base: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(h, node, n, pos) for sets(node, shingles): prefixes as in _prefixes(), in an order that puts the shingles that few
+    of these texts hold first. Shingles of one text only take their places and are left out."""
+    each = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("h"))
+    often = materialize(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "near-often")
+    held = join_groups(each, often, "h", "df", ["df"], ["node"])
+    ordered = held.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+    alone = F.col("n") - F.size("o")
+    most = F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1 - alone
+    cut = ordered.select("node", "n", alone.alias("alone"), F.slice("o", F.lit(1), F.greatest(most, F.lit(0)).cast("int")).alias("o"))
+    each = cut.select("node", "n", "alone", F.posexplode("o").alias("at", "x"))
+    return each.select(F.col("x.h").alias("h"), "node", "n", (F.col("alone") + F.col("at")).cast("long").alias("pos"))
+
 
-    Groups whose texts the links in ``sure`` have joined already are done. The others' pairs are listed in groups of up
-    to LISTED. The texts of larger ones, by components of shared shingles, are dealt out in blocks, and every two blocks
-    of a component are compared together.
+def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b) for crowd(node), the texts of large groups: links that join all that near copies among them join.
+
+    The texts get new prefixes, rarest shingles first. A copy of a text that was edited apart from others begins with
+    shingles of its own, so what groups are left hold texts that differ little. Each group's hub, the text with
+    the fewest rarer shingles, is compared with the others, and so are texts whose word fingerprints lie within
+    ``radius`` bits. In groups of up to LISTED the pairs of texts that are not joined by then are listed; larger ones are
+    dealt out in blocks, by components of shared shingles, and every two blocks of a component are compared together.
     """
-    roots = components(sure)
-    rows = crowd.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    rows = materialize(rows, "near-crowd")
+    texts = join_checked(base, crowd.select(F.col("node").alias("id")), ["id"], "left_semi", "near-crowd-nodes")
+    sets = materialize(shingle_sets(texts, shingle).withColumnRenamed("id", "node"), "near-crowd-shingles")
+    rows = materialize(_rare_first(base, sets, similarity), "near-rare")
+    groups = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.min(F.struct("pos", "node", "n")).alias("hub")).filter("size > 1")
+    groups = materialize(groups, "near-rare-shared")
+    rows = join_groups(rows, groups, "h", "size", ["least_n", "hub"], ["node"]).filter(_some_partner(similarity))
+    rows = materialize(rows, "near-rare-held")
+    left = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
+    enough = (F.col("node") != F.col("hub.node")) & (left >= similarity / (1 + similarity) * (F.col("n") + F.col("hub.n")) - 1e-6)
+    hubs = rows.filter(enough).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    # Equal fingerprints are one node, however many texts have them.
+    printed = materialize(prints(texts, word_print).withColumnRenamed("id", "node"), "near-prints")
+    nodes = materialize(printed.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "near-points")
+    met = links(nodes.select(F.col("least").alias("node"), "fp"), radius)
+    alike = join_groups(printed, nodes.filter("size > 1"), "fp", "size", ["least"], ["node"]).filter("node <> least")
+    pairs = hubs.union(met).union(alike.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+    found = materialize(_verified(pairs, sets, similarity), "near-hubs")
+    joined = components(sure.union(found))
+
+    rows = rows.select("h", "node", "n", "pos").join(joined, "node", "left")
+    rows = materialize(rows.withColumn("root", F.coalesce("root", "node")), "near-crowd")
     split = rows.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("node").alias("least"), F.count("*").alias("size"))
     split = materialize(split.filter("r <> s").select("h", "least", "size"), "near-split")
     left = materialize(join_groups(rows, split, "h", "size", ["least", "size"], ["node"]), "near-left")
     listed = _near_pairs(left.filter(F.col("size") <= LISTED), similarity).distinct()
-    listed = materialize(_verified(listed, base, shingle, similarity), "near-listed")
+    found = found.union(materialize(_verified(listed, sets, similarity), "near-listed"))
     left = materialize(left.filter(F.col("size") > LISTED).select("node", "root", "least").distinct(), "near-large")
     if left.isEmpty():
-        return listed
+        return found
     parts = components(left.select(F.col("node").alias("a"), F.col("least").alias("b")))
     nodes = left.select("node", "root").distinct().join(parts.withColumnRenamed("root", "part"), "node", "left")
     nodes = materialize(nodes.withColumn("part", F.coalesce("part", "node")), "near-parts")
@@ -360,8 +364,6 @@ def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: in
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = placed.select("node", "root", "part", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("node", "root", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    texts = join_checked(base, nodes.select(F.col("node").alias("id")), ["id"], "left_semi", "near-crowd-nodes")
-    sets = materialize(shingle_sets(texts, shingle), "near-crowd-shingles")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
@@ -369,8 +371,58 @@ def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: in
         found = _block_links(pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["side"].to_numpy(), sets, similarity)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    full = dealt.join(sets.withColumnRenamed("id", "node"), "node")
-    return listed.union(full.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long"))
+    return found.union(dealt.join(sets, "node").groupBy("part", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """((key, id, text), the id's Column): id is a node's number, one for each id and text. Where no id is repeated it is
+    the id itself; else a hash of both, with a seed under which no two nodes share a number. Rows without an id have
+    none."""
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(key.alias("key"), text.alias("text")).filter("key IS NOT NULL")
+    if base.groupBy("key").count().filter("count > 1").isEmpty():
+        return base.select("key", F.col("key").alias("id"), "text"), key
+    base = base.distinct()
+    for seed in range(64):
+        number = lambda k, t, seed=seed: F.xxhash64(F.lit(seed), k, t)
+        rows = base.select("key", number(F.col("key"), F.col("text")).alias("id"), "text")
+        if rows.groupBy("id").count().filter("count > 1").isEmpty():
+            return rows, F.when(key.isNotNull(), number(key, text))
+    raise ValueError("no seed tells all rows apart")
+
+
+def _near_links(base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b) for base(id, text) with distinct ids: links that join all that near copies join."""
+    points = materialize(_prefixes(base, shingle, similarity), "near-prefixes")
+    groups = points.groupBy("same").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    equal = join_groups(points.select("node", "same"), materialize(groups, "near-same"), "same", "size", ["least"], ["node"])
+    equal = materialize(equal.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")), "near-equal")
+    single = join_checked(points.drop("same"), equal.select(F.col("a").alias("node")), ["node"], "left_anti", "near-others")
+    each = single.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1")
+    held = join_groups(each, materialize(shared, "near-shared"), "h", "size", ["size", "least_n"], ["node"])
+    held = materialize(held.filter(_some_partner(similarity)), "near-held")
+    pairs = _near_pairs(held.filter(F.col("size") <= SMALL).withColumn("root", F.col("node")), similarity)
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = join_checked(base, ends, ["id"], "left_semi", "near-ends")
+    sets = materialize(shingle_sets(texts, shingle).withColumnRenamed("id", "node"), "near-shingles")
+    sure = materialize(_verified(pairs, sets, similarity).union(equal), "near-sure")
+    crowd = materialize(held.filter(F.col("size") > SMALL).select("node").distinct(), "near-crowded")
+    if crowd.isEmpty():
+        return sure
+    return sure.union(_crowd_links(crowd, sure, base, shingle, similarity, radius))
+
+
+def _members(base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(id, key, root) for base(key, id, text): all nodes of groups but each group's first by (key, id), with its key."""
+    found = materialize(components(_near_links(base.select("id", "text"), shingle, similarity, radius)), "near-found")
+    whole = found.union(found.select(F.col("root").alias("node"), "root")).distinct().toDF("id", "group")
+    named = join_checked(base.select("id", "key"), whole, ["id"], "inner", "near-whole")
+    named = materialize(named, "near-named")
+    first = named.groupBy("group").agg(F.min(F.struct("key", "id")).alias("first"), F.count("*").alias("size"))
+    placed = join_groups(named, materialize(first, "near-firsts"), "group", "size", ["first"], ["id"])
+    return placed.filter(F.col("id") != F.col("first.id")).select("id", "key", F.col("first.key").alias("root"))
 
 
 def near_groups(
@@ -381,49 +433,29 @@ def near_groups(
     similarity: float = 0.8,
     radius: int = 9,
 ) -> DataFrame:
-    """(node, root): the documents that are near copies of one with a smaller id, with the smallest id of their group.
+    """(node, root): the ids of documents that are near copies of an earlier one, with the smallest id of their group.
 
     A link is a pair whose full sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``; groups
     are the components of all links. Texts with equal sets are one from the start. No link is missed: the others are
     found by a common shingle of their prefixes (_prefixes()), all pairs of groups of up to SMALL texts and, in
-    _crowd_links(), those of larger ones. Word fingerprints within ``radius`` bits join texts of large groups
-    before that, which only saves comparisons. Rows without an id are in no group; of rows that repeat an id the
-    greatest text counts. A null text counts as empty: empty texts are equal.
+    _crowd_links(), those of larger ones. Rows without an id are in no group; rows that repeat an id with another text are
+    documents of their own, rows that repeat both are one. A null text counts as empty: empty texts are equal. Other
+    columns are ignored; an empty table gives no rows.
     """
-    base = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).filter("id IS NOT NULL")
-    if not base.groupBy("id").count().filter("count > 1").isEmpty():
-        base = base.groupBy("id").agg(F.max("text").alias("text"))
-    points = materialize(_prefixes(base, shingle, similarity), "near-prefixes")
-    groups = points.groupBy("same").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    equal = join_groups(points.select("node", "same"), materialize(groups, "near-same"), "same", "size", ["least"], ["node"])
-    equal = materialize(equal.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")), "near-equal")
-    single = join_checked(points.drop("same"), equal.select(F.col("a").alias("node")), ["node"], "left_anti", "near-others")
-    each = single.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = materialize(each.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "near-shared")
-    held = materialize(join_groups(each, shared, "h", "size", ["size"], ["node"]), "near-held")
-    pairs = _near_pairs(held.filter(F.col("size") <= SMALL).withColumn("root", F.col("node")), similarity)
-    crowd = materialize(held.filter(F.col("size") > SMALL).select("h", "node", "n", "pos"), "near-crowd-rows")
-    crowded = not crowd.isEmpty()
-    if crowded:
-        texts = join_checked(base, crowd.select(F.col("node").alias("id")).distinct(), ["id"], "left_semi", "near-crowd-ids")
-        printed = materialize(prints(texts, word_print).withColumnRenamed("id", "node"), "near-prints")
-        # Equal fingerprints are one node, however many texts have them.
-        nodes = materialize(printed.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "near-points")
-        met = links(nodes.select(F.col("least").alias("node"), "fp"), radius)
-        alike = join_groups(printed, nodes.filter("size > 1"), "fp", "size", ["least"], ["node"]).filter("node <> least")
-        pairs = pairs.union(met).union(alike.select(F.col("least").alias("a"), F.col("node").alias("b")))
-    sure = materialize(_verified(pairs.distinct(), base, shingle, similarity).union(equal), "near-sure")
-    if crowded:
-        sure = sure.union(_crowd_links(crowd, sure, base, shingle, similarity))
-    return components(sure)
+    base, _ = _labelled(docs, id_col, text_col)
+    return _members(base, shingle, similarity, radius).select(F.col("key").alias("node"), "root")
 
 
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 9
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, without the near copies of a document with a smaller id (near_groups())."""
-    node = fresh(docs, "near_copy")
-    gone = near_groups(docs, id_col, text_col, shingle, similarity, radius).select(F.col("node").alias(node))
-    return join_checked(docs, gone, F.col(id_col) == F.col(node), "left_anti", "near-copies")
+    """The rows of ``docs``, all columns, without the near copies of an earlier document (near_groups()). Of rows that
+    repeat an id and text one stays at most; rows without an id all stay."""
+    base, number = _labelled(docs, id_col, text_col)
+    node, gone_node = fresh(docs, "node"), fresh(docs, "near_copy")
+    gone = _members(base, shingle, similarity, radius).select(F.col("id").alias(gone_node))
+    if base.select("id").filter("id <> key").isEmpty():
+        return join_checked(docs, gone, number == F.col(gone_node), "left_anti", "near-copies")
+    left = join_checked(docs.withColumn(node, number), gone, F.col(node) == F.col(gone_node), "left_anti", "near-copies")
+    named = left.filter(F.col(node).isNotNull()).dropDuplicates([node])
+    return named.union(left.filter(F.col(node).isNull())).drop(node)
