@@ -32,7 +32,7 @@ PAIRS = ((0, 1), (1, 2), (2, 0))
 SMALL, LISTED, CROWD_BLOCK = 16, 256, 128
 #: Shingles in COMMON or more of a sample of about SAMPLE_DOCS texts come last in the order that prefixes are cut from.
 #: Any order finds every pair, so the sample changes the work and not the result.
-SAMPLE_DOCS, COMMON = 5_000, 4
+SAMPLE_DOCS, COMMON = 20_000, 3
 #: Columns of shingles multiplied at once when a block is compared.
 COLUMNS = 8192
 #: Hashes summed at once, which bounds the memory for a very long text.
@@ -211,6 +211,21 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
+def _crowd_sets(docs: DataFrame, size: int) -> DataFrame:
+    """docs(id, text) -> (node, fp, shingles): word fingerprint and distinct hashes of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                words = [words_of(t.as_py()) for t in part.column(1)]
+                fps = pa.array([words_fingerprint(w) for w in words], pa.int64())
+                sets = pa.array([np.unique(shingle_hashes(w, size)).view(np.int64) for w in words], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), fps, sets], ["node", "fp", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "node long, fp long, shingles array<long>")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     whole = F.size(a) + F.size(b) - both
@@ -230,7 +245,7 @@ def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for b in batches:
+        for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
             counts, same, prefix = [], [], []
             for t in b.column(1):
                 hashes = np.unique(shingle_hashes(words_of(t.as_py()), size))
@@ -304,6 +319,18 @@ def _some_partner(similarity: float) -> Column:
     return F.col("n") - F.col("pos") >= similarity / (1 + similarity) * (F.col("n") + F.col("least_n")) - 1e-6
 
 
+def _by_size(rows: DataFrame, similarity: float) -> DataFrame:
+    """(h, node, n, pos, size, least_n) for rows(h, node, n, pos): the groups split by size. Near copies' sizes are at most
+    one class apart, so each row goes to its class and the next, where it meets all that it can be a near copy of."""
+    width = math.log(1 / similarity) + 1e-6
+    own = F.floor(F.ln("n") / width)
+    dealt = rows.filter("n > 0").select("node", "n", "pos", F.col("h").alias("h0"), F.explode(F.array(own, own + 1)).alias("c"))
+    dealt = dealt.select(F.xxhash64("h0", "c").alias("h"), "node", "n", "pos")
+    groups = dealt.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1")
+    held = join_groups(dealt, materialize(groups, "near-sizes"), "h", "size", ["size", "least_n"], ["node"])
+    return held.filter(_some_partner(similarity))
+
+
 def _rare_first(base: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(h, node, n, pos) for sets(node, shingles): prefixes as in _prefixes(), in an order that puts the shingles that few
     of these texts hold first. Shingles of one text only take their places and are left out."""
@@ -328,7 +355,8 @@ def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: in
     dealt out in blocks, by components of shared shingles, and every two blocks of a component are compared together.
     """
     texts = join_checked(base, crowd.select(F.col("node").alias("id")), ["id"], "left_semi", "near-crowd-nodes")
-    sets = materialize(shingle_sets(texts, shingle).withColumnRenamed("id", "node"), "near-crowd-shingles")
+    whole = materialize(_crowd_sets(texts, shingle), "near-crowd-shingles")
+    sets, printed = whole.select("node", "shingles"), whole.select("node", "fp")
     rows = materialize(_rare_first(base, sets, similarity), "near-rare")
     groups = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.min(F.struct("pos", "node", "n")).alias("hub")).filter("size > 1")
     groups = materialize(groups, "near-rare-shared")
@@ -338,7 +366,6 @@ def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: in
     enough = (F.col("node") != F.col("hub.node")) & (left >= similarity / (1 + similarity) * (F.col("n") + F.col("hub.n")) - 1e-6)
     hubs = rows.filter(enough).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
     # Equal fingerprints are one node, however many texts have them.
-    printed = materialize(prints(texts, word_print).withColumnRenamed("id", "node"), "near-prints")
     nodes = materialize(printed.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "near-points")
     met = links(nodes.select(F.col("least").alias("node"), "fp"), radius)
     alike = join_groups(printed, nodes.filter("size > 1"), "fp", "size", ["least"], ["node"]).filter("node <> least")
@@ -402,13 +429,14 @@ def _near_links(base: DataFrame, shingle: int, similarity: float, radius: int) -
     shared = each.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1")
     held = join_groups(each, materialize(shared, "near-shared"), "h", "size", ["size", "least_n"], ["node"])
     held = materialize(held.filter(_some_partner(similarity)), "near-held")
-    pairs = _near_pairs(held.filter(F.col("size") <= SMALL).withColumn("root", F.col("node")), similarity)
-    pairs = materialize(pairs.distinct(), "near-pairs")
+    sized = materialize(_by_size(held.filter(F.col("size") > SMALL), similarity), "near-sized")
+    small = held.filter(F.col("size") <= SMALL).select("h", "node", "n", "pos").union(sized.filter(F.col("size") <= SMALL).select("h", "node", "n", "pos"))
+    pairs = materialize(_near_pairs(small.withColumn("root", F.col("node")), similarity).distinct(), "near-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = join_checked(base, ends, ["id"], "left_semi", "near-ends")
     sets = materialize(shingle_sets(texts, shingle).withColumnRenamed("id", "node"), "near-shingles")
     sure = materialize(_verified(pairs, sets, similarity).union(equal), "near-sure")
-    crowd = materialize(held.filter(F.col("size") > SMALL).select("node").distinct(), "near-crowded")
+    crowd = materialize(sized.filter(F.col("size") > SMALL).select("node").distinct(), "near-crowded")
     if crowd.isEmpty():
         return sure
     return sure.union(_crowd_links(crowd, sure, base, shingle, similarity, radius))
