@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     of our own, which is then set for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,11 +37,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Arrow batches of texts have so many rows at most, since texts may be long.
+BATCH_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches for functions that take whole texts; a lower bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+#: What is broadcast has so many bytes at most, counted as JSON.
+MOST_BYTES = 32 << 20
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: Column | list[str], how: str, label: str, most_rows: int = 200_000) -> DataFrame:
-    """Joins a ``right`` that is written first and counted: up to ``most_rows`` (short) rows it is broadcast and ``left``
-    stays where it is; beyond that both are shuffled, and ``right`` is the hash table's side."""
+    """Joins a ``right`` that is written first and measured: up to ``most_rows`` rows and MOST_BYTES it is broadcast and
+    ``left`` stays where it is; beyond that both are shuffled, and ``right`` is the hash table's side."""
     right = materialize(right, label)
     small = right.count() <= most_rows
+    if small:
+        size = F.sum(F.octet_length(F.to_json(F.struct(*right.columns))).cast("long"))
+        small = (right.agg(size).first()[0] or 0) <= MOST_BYTES
     return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .simhash import bits_apart, fingerprint
 from .words import shingle_hashes, words_of
 
@@ -210,6 +211,7 @@ class Index:
 
 def indexes(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> list[Index]:
     """The benchmark in blocks of about ITEMS_AT_ONCE items at most; one block for the usual benchmark."""
+    text_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("id IS NOT NULL AND text IS NOT NULL").distinct()
     parts = -(-rows.count() // ITEMS_AT_ONCE)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_checked, materialize
+from .common import fresh, join_checked, materialize, text_batches
 
 #: Trigrams are hashed to so many classes.
 CLASSES = 1 << 15
@@ -142,6 +142,7 @@ def identify(
     get underscores in front. Without a labelled document every language is ``und`` and all documents with letters are
     rejected.
     """
+    text_batches(docs.sparkSession)
     text, declared = F.col(text_col).cast("string"), F.coalesce(F.lower(F.col(declared_col).cast("string")), F.lit(""))
     host = F.coalesce(F.lower(F.col(host_col).cast("string")), F.lit(""))
     model = model or fit_text_model(docs, text, F.lower(F.col(declared_col).cast("string")), sample_docs)

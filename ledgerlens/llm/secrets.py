@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Fixed patterns. ASCII letters in either case for the first one's names.
 ASSIGN = re.compile(
     r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
@@ -149,6 +151,7 @@ def scan(
     Places count code points, ends are exclusive. A null text counts as empty; ids may be null or repeated (rows are judged
     one by one). Without a labelled sample of both classes only base spans are found. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     model = model or train(docs, text_col, sample_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_checked, join_groups, materialize
+from .common import fresh, join_checked, join_groups, materialize, text_batches
 from .components import components
 from .golay import keys as golay_keys
 from .words import shingle_hashes, word_hashes, words_of
@@ -180,6 +180,7 @@ def fingerprint_components(
     the smallest is sought (null where a component has no other). Rows that repeat an id are rows of their own. Other
     columns are ignored; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     if not 0 <= radius <= 5:
         raise ValueError("no link is missed only for a radius from 0 to 5")
     rows = prints(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), shingle_print(shingle))
@@ -405,6 +406,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, C
     """((key, id, text), the id's Column): id is a node's number, one for each id and text. Where no id is repeated it is
     the id itself; else a hash of both, with a seed under which no two nodes share a number. Rows without an id have
     none."""
+    text_batches(docs.sparkSession)
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(key.alias("key"), text.alias("text")).filter("key IS NOT NULL")
     if base.groupBy("key").count().filter("count > 1").isEmpty():

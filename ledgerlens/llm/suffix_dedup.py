@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_batches
 from .suffix_sort import sort_windows
 
 LENGTH, GRAM = 100, 24
@@ -326,6 +326,7 @@ def dedup_substrings(
     a text are one document and give the same row; of one id's different texts that with the smaller hash is the
     earlier. Other columns are ignored; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
