@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize
+from .common import join_checked, join_groups, materialize
 from .exact_dedup import Hash, collisions
 
 #: One line in so many starts a chunk.
@@ -56,14 +56,16 @@ def dedup_lines(
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("t", F.xxhash64("text"))
-    at = (
-        base.select("id", "t", F.posexplode(marked_chunks(F.col("text"), divisor)).alias("pos", "c"))
-        .filter(F.col("c").contains("\n"))
-        .withColumn("h", hash_of(F.col("c")))
-    )
+    at = base.select("id", "t", F.posexplode(marked_chunks(F.col("text"), divisor)).alias("pos", "c"))
+    lines = F.char_length("c") - F.char_length(F.replace("c", F.lit("\n"))) + 1
+    at = at.filter(F.col("c").contains("\n")).select("id", "t", "pos", lines.alias("lines"), hash_of(F.col("c")).alias("h"), "c")
+    at = materialize(at, "op9-chunks")
+    # Only chunks whose hash occurs again are compared byte by byte.
+    again = materialize(at.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "op9-again")
+    at = materialize(join_groups(at, again, "h", "n", ["n"], ["id", "t", "pos"]).drop("n"), "op9-candidates")
     shared = materialize(collisions(at, "c", "h"), "op9-shared-hashes")
     if shared.isEmpty():
-        named = at.select("id", "t", "pos", F.col("h").alias("v"))
+        named = at.select("id", "t", "pos", "lines", F.col("h").alias("v"))
     else:
         ranked = (
             at.join(shared, "h", "left_semi").select("h", "c").distinct()
@@ -71,39 +73,31 @@ def dedup_lines(
             .select("h", F.posexplode("all").alias("o", "c"))
         )
         named = at.join(ranked, ["h", "c"], "left").select(
-            "id", "t", "pos", F.concat_ws(":", "h", F.coalesce("o", F.lit(0))).alias("v")
+            "id", "t", "pos", "lines", F.concat_ws(":", "h", F.coalesce("o", F.lit(0))).alias("v")
         )
     place = F.struct("id", "t", "pos")
     first = named.groupBy("v").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = materialize(first, "op9-repeats")
+    # Rows that repeat an id and text name the same places: those are counted once.
     removed = (
         join_groups(named, first, "v", "n", ["first"], ["id", "t", "pos"])
         .filter(~place.eqNullSafe(F.col("first")))
         .groupBy("id", "t")
-        .agg(F.collect_set("pos").alias("gone"))
+        .agg(F.collect_set(F.struct("pos", "lines")).alias("gone"))
         .select(F.col("id").alias("id2"), F.col("t").alias("t2"), "gone")
-        .hint("shuffle_hash")
-    )
-    joined = base.join(removed, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), "left")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    cut = joined.select("id", "text", gone.alias("gone"), marked_chunks(F.col("text"), divisor).alias("chunks"))
-    kept = cut.select(
-        "id",
-        "text",
-        "gone",
-        F.transform(
-            F.filter("chunks", lambda c, i: ~F.array_contains("gone", i)), plain
-        ).alias("kept"),
     )
-    text = F.array_join("kept", "\n")
-    n_lines = F.size(F.split("text", "\n", -1)).cast("long")
-    left = F.when(F.size("kept") == 0, 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
-    return kept.select(
+    joined = join_checked(base, removed, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), "left", "op9-removed")
+    # Texts that lose nothing are passed on as they are; the others are cut once more.
+    places = F.transform("gone", lambda g: g["pos"])
+    kept = F.transform(F.filter(marked_chunks(F.col("text"), divisor), lambda c, i: ~F.array_contains(places, i)), plain)
+    n_lines = (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    lost = F.aggregate("gone", F.lit(0), lambda n, g: n + g["lines"]).cast("long")
+    return joined.select(
         F.col("id").alias(id_col),
         n_lines.alias("n_lines"),
-        (n_lines - left).alias("n_removed_lines"),
-        F.size("gone").cast("long").alias("n_removed_chunks"),
-        text.alias("kept_text"),
+        F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
 
 
