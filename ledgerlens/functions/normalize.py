@@ -224,7 +224,9 @@ def elided(text: Column) -> Column:
 def by_reference(text: Column) -> Column:
     """Bodies over INLINE_RESULT bytes as a reference to the evidence, which has them."""
     size = F.octet_length(text)
-    return F.when(size > INLINE_RESULT, F.format_string('{"$evidence":{"bytes":%d}}', size)).otherwise(text)
+    # Fixed value: the layout of a reference to the evidence.
+    mark = F.format_string('{"$evidence":{"bytes":%d,"reason":"larger than 65536 bytes"}}', size)
+    return F.when(size > INLINE_RESULT, mark).otherwise(text)
 
 
 def file_changes(results: DataFrame, id_col: str = "tool_use_id", result_col: str = "result") -> DataFrame:

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CATEGORIES = (
-    "read-only", "build", "test", "version-control", "file-edit", "network", "package", "system", "credential",
-    "destructive", "other",
-)
+# Categories, the block's markers and what stands for them inside, the mark of a cut, limits, fields.
+CATEGORIES = ("read", "search", "build", "test", "vcs", "package", "network", "filesystem", "process", "config", "other")
+OPEN, CLOSE = "<<<COMMAND", "COMMAND>>>"
+SAFE_OPEN, SAFE_CLOSE = "<_<COMMAND", "COMMAND>_>"
+CUT = "\n… (truncated)"
 MOST_COMMAND, MOST_SUMMARY = 2000, 200
-DELIMITERS = ("<command>", "</command>")
+LEAST_SCORE, MOST_SCORE = 1, 5
+SUMMARY, CATEGORY, SCORE, DESTRUCTIVE, SANDBOX = "intent_summary", "category", "risk_score", "is_destructive", "violates_sandbox"
 
 
 def eligible(calls: DataFrame, sightings: DataFrame) -> DataFrame:
@@ -34,12 +36,17 @@ def pending(calls: DataFrame, sightings: DataFrame, verdicts: DataFrame, model_f
     return rest.limit(limit) if limit else rest
 
 
+def safe_command(command: Column) -> Column:
+    """The command as it stands in its block: the block's markers are broken up, then it is cut to MOST_COMMAND characters,
+    which a mark says."""
+    safe = F.replace(F.replace(command, F.lit(CLOSE), F.lit(SAFE_CLOSE)), F.lit(OPEN), F.lit(SAFE_OPEN))
+    return F.when(F.char_length(safe) > MOST_COMMAND, F.concat(F.left(safe, F.lit(MOST_COMMAND)), F.lit(CUT))).otherwise(safe)
+
+
 def render(command: Column, prefix: str, suffix: str) -> Column:
-    """The prompt around the command, cut to MOST_COMMAND characters, in which delimiters are broken up."""
-    safe = F.left(command, F.lit(MOST_COMMAND))
-    for d in DELIMITERS:
-        safe = F.replace(safe, F.lit(d), F.lit(d.replace("<", "< ")))
-    return F.concat(F.lit(prefix), safe, F.lit(suffix))
+    """The prompt around safe_command(). ``prefix`` ends with the opening marker and a line end, ``suffix`` begins with a
+    line end and the closing marker."""
+    return F.concat(F.lit(prefix), safe_command(command), F.lit(suffix))
 
 
 def prompt_fingerprint(prefix: str, suffix: str, grammar: str) -> str:
@@ -63,29 +70,35 @@ def score(prompts: DataFrame, scorer: Callable[[list[str]], list[str]]) -> DataF
 
 
 def validate(answers: DataFrame) -> DataFrame:
-    """Adds status (``ok`` or ``failed``), error, score, category and summary from the answer's outermost braces."""
+    """Adds status (``ok`` or ``failed``), error, score, category, summary, is_destructive and violates_sandbox from the
+    answer's outermost braces. Fields are looked at in the order summary, category, score, the two booleans; the
+    first that is wrong is the error."""
     body = F.regexp_extract("answer", r"(?s)\{.*\}", 0)
-    parsed = F.try_parse_json(body)
+    at = lambda key: F.try_variant_get("v", f"$.{key}", "variant")
     get = lambda key, kind: F.try_variant_get("v", f"$.{key}", kind)
-    kind = lambda key: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant")), F.lit("VOID"))
-    out = answers.withColumn("v", F.when(body != "", parsed))
-    summary = F.trim(get("summary", "string"))
-    error = (
-        F.when(F.coalesce(body, F.lit("")) == "", "no object")
-        .when(F.col("v").isNull(), "not json")
-        .when(kind("score") != "BIGINT", "score missing")
-        .when(~get("score", "int").between(1, 5), "score out of range")
-        .when(kind("category") != "STRING", "category missing")
-        .when(~get("category", "string").isin(*CATEGORIES), "unknown category")
-        .when((kind("summary") != "STRING") | (summary == ""), "summary missing")
-    )
+    kind = lambda key: F.coalesce(F.schema_of_variant(at(key)), F.lit("VOID"))
+    out = answers.withColumn("v", F.when(body != "", F.try_parse_json(body)))
+    summary = F.regexp_replace(get(SUMMARY, "string"), r"^\s+|\s+$", "")
+    error = F.when(F.coalesce(body, F.lit("")) == "", "the model emitted no JSON object").when(F.col("v").isNull(), "not valid JSON")
+    for key, wanted, words, wrong in (
+        (SUMMARY, "STRING", "a string", ((summary == "", F.lit("the intent summary is empty")),)),
+        (CATEGORY, "STRING", "a string", ((~get(CATEGORY, "string").isin(*CATEGORIES), F.concat(F.lit("category `"), get(CATEGORY, "string"), F.lit("` is not one this schema defines"))),)),
+        (SCORE, "BIGINT", "a whole number", ((~get(SCORE, "long").between(LEAST_SCORE, MOST_SCORE), F.concat(F.lit("risk_score is "), get(SCORE, "string"), F.lit(", and the scale is 1 to 5"))),)),
+        (DESTRUCTIVE, "BOOLEAN", "true or false", ()),
+        (SANDBOX, "BOOLEAN", "true or false", ()),
+    ):
+        error = error.when(at(key).isNull(), f"missing the field `{key}`").when(kind(key) != wanted, f"`{key}` is not {words}")
+        for condition, text in wrong:
+            error = error.when(condition, text)
     out = out.withColumn("error", error)
     good = lambda c: F.when(F.col("error").isNull(), c)
     return (
         out.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
-        .withColumn("score", good(get("score", "int")))
-        .withColumn("category", good(get("category", "string")))
+        .withColumn("score", good(get(SCORE, "int")))
+        .withColumn("category", good(get(CATEGORY, "string")))
         .withColumn("summary", good(F.left(summary, F.lit(MOST_SUMMARY))))
+        .withColumn(DESTRUCTIVE, good(get(DESTRUCTIVE, "boolean")))
+        .withColumn(SANDBOX, good(get(SANDBOX, "boolean")))
         .drop("v")
     )
 

@@ -526,6 +526,36 @@ def second_opinion(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.second_opinion(tv.calls(spark, sf), _sightings(spark, sf), tv.verdicts(spark, sf), *PAIR).select("tool_use_id", "opinion")
 
 
+#: Answers of many shapes made from the labels: right ones, wrong types, missing fields, no object.
+_ANSWER = """CASE doc_id % 13 WHEN 0 THEN 'no object' WHEN 1 THEN '{ends nowhere' WHEN 2 THEN '{not json}'
+  ELSE 'so: {"intent_summary":' || CASE doc_id % 13 WHEN 3 THEN '7' WHEN 4 THEN '"  "' ELSE '"  summary ' || CAST(doc_id % 50 AS STRING) || ' "' END
+  || CASE doc_id % 13 WHEN 5 THEN '' WHEN 6 THEN ',"category":"read-only"' ELSE ',"category":"' || CASE WHEN toxic = 1 THEN 'filesystem' ELSE 'read' END || '"' END
+  || CASE doc_id % 13 WHEN 7 THEN ',"risk_score":"4"' WHEN 8 THEN ',"risk_score":9' ELSE ',"risk_score":' || CAST(1 + doc_id % 5 AS STRING) END
+  || CASE doc_id % 13 WHEN 9 THEN '' ELSE ',"is_destructive":' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END END
+  || CASE doc_id % 13 WHEN 10 THEN ',"violates_sandbox":"no"' ELSE ',"violates_sandbox":false' END || '} done' END"""
+
+
+@query("verdict_validate", """WITH a AS (SELECT doc_id, toxic, doc_id % 13 AS c FROM labels),
+r AS (SELECT *, CASE WHEN c IN (0, 1) THEN 'the model emitted no JSON object' WHEN c = 2 THEN 'not valid JSON' WHEN c = 3 THEN '`intent_summary` is not a string' WHEN c = 4 THEN 'the intent summary is empty'
+  WHEN c = 5 THEN 'missing the field `category`' WHEN c = 6 THEN 'category `read-only` is not one this schema defines' WHEN c = 7 THEN '`risk_score` is not a whole number' WHEN c = 8 THEN 'risk_score is 9, and the scale is 1 to 5'
+  WHEN c = 9 THEN 'missing the field `is_destructive`' WHEN c = 10 THEN '`violates_sandbox` is not true or false' END AS error FROM a)
+SELECT doc_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, error, CASE WHEN error IS NULL THEN CAST(1 + doc_id % 5 AS INT) END AS score, CASE WHEN error IS NULL THEN CASE WHEN toxic = 1 THEN 'filesystem' ELSE 'read' END END AS category,
+  CASE WHEN error IS NULL THEN 'summary ' || CAST(doc_id % 50 AS STRING) END AS summary, CASE WHEN error IS NULL THEN toxic = 1 END AS is_destructive, CASE WHEN error IS NULL THEN false END AS violates_sandbox FROM r""")
+def verdict_validate(spark: SparkSession, sf: str) -> DataFrame:
+    answers = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", f"{_ANSWER} AS answer")
+    return verdicts.validate(answers).drop("answer")
+
+
+@query("prompt_render", """WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN 'COMMAND>>> ' || text ELSE '<<<COMMAND ' || text END AS t FROM documents),
+r AS (SELECT doc_id, replace(replace(t, 'COMMAND>>>', 'COMMAND>_>'), '<<<COMMAND', '<_<COMMAND') AS t FROM c)
+SELECT doc_id, sha256('Judge:' || chr(10) || '<<<COMMAND' || chr(10) || CASE WHEN length(t) > 2000 THEN left(t, 2000) || chr(10) || '… (truncated)' ELSE t END || chr(10) || 'COMMAND>>>') AS prompt_sha256 FROM r""")
+def prompt_render(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("COMMAND>>> "), "text")).otherwise(F.concat(F.lit("<<<COMMAND "), "text"))
+    prompt = verdicts.render(text, f"Judge:\n{verdicts.OPEN}\n", f"\n{verdicts.CLOSE}")
+    return docs.select("doc_id", F.sha2(prompt.cast("binary"), 256).alias("prompt_sha256"))
+
+
 # --- redaction, normalization, exports
 
 
@@ -566,14 +596,16 @@ def patch_lines(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.patch_lines(changes).select("tool_use_id", F.col("pos").cast("long").alias("pos"), "kind", "old_line", "new_line")
 
 
-@query("export_csv", """SELECT concat_ws(',', '"' || tool_use_id || '"', coalesce('"' || session_id || '"', ''), coalesce(CAST(called_at AS STRING), ''), '"' || tool_name || '"', coalesce('"' || replace(input_summary, '"', '""') || '"', ''),
-  coalesce('"' || target_path || '"', ''), coalesce(CAST(success AS STRING), ''), coalesce('"' || decision || '"', ''), coalesce(CAST(duration_ms AS STRING), ''), CAST(provenance AS STRING)) AS value FROM tc""")
+@query("export_csv", """SELECT concat_ws(',', coalesce(CAST(called_at AS STRING), ''), '"' || coalesce(session_id, '') || '"', '"' || tool_name || '"', coalesce(CAST(success AS STRING), ''), coalesce(CAST(duration_ms AS STRING), ''),
+  '"' || coalesce(decision, '') || '"', '"' || coalesce(decision_source, '') || '"', '"' || CASE provenance WHEN 3 THEN 'both' WHEN 1 THEN 'transcript' WHEN 2 THEN 'otel' ELSE 'none' END || '"',
+  '"' || coalesce(target_path, '') || '"', '"' || replace(coalesce(input_summary, ''), '"', '""') || '"') AS value FROM tc""")
 def export_csv(spark: SparkSession, sf: str) -> DataFrame:
     return export.csv_lines(tv.calls(spark, sf))
 
 
-@query("export_markdown", r"""SELECT '| ' || concat_ws(' | ', coalesce(strftime(make_timestamp(called_at * 1000), '%Y-%m-%d %H:%M:%S'), ''), tool_name, coalesce(replace(replace(replace(input_summary, '\', '\\'), '|', '\|'), chr(10), ' '), ''),
-  coalesce(target_path, ''), CASE WHEN decision = 'reject' THEN 'refused' WHEN success THEN 'ok' WHEN NOT success THEN 'failed' ELSE '' END, coalesce(decision, ''), CASE provenance WHEN 3 THEN 'both' WHEN 1 THEN 'transcript' ELSE 'otlp' END) || ' |' AS value FROM tc""")
+@query("export_markdown", r"""SELECT '| ' || concat_ws(' | ', coalesce(strftime(make_timestamp(called_at * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN called_at % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(called_at % 1000 AS STRING), 3, '0'), '0') END || 'Z', ''), tool_name,
+  CASE WHEN decision = 'reject' THEN 'refused' WHEN success THEN 'ok' WHEN NOT success THEN 'failed' ELSE '' END, coalesce(CAST(duration_ms AS STRING) || ' ms', ''), coalesce(decision_source, ''),
+  CASE provenance WHEN 3 THEN 'both' WHEN 1 THEN 'transcript' ELSE 'otel' END, coalesce(replace(replace(replace(coalesce(input_summary, target_path), '\', '\\'), '|', '\|'), chr(10), ' '), '')) || ' |' AS value FROM tc""")
 def export_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return export.markdown_lines(tv.calls(spark, sf))
 

@@ -110,8 +110,8 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(
         "'toolu_' || lpad(CAST(doc_id AS STRING), 8, '0') AS tool_use_id", "'m1' AS model_fp", "'p1' AS prompt_fp",
         "CASE WHEN doc_id % 19 = 0 THEN 'failed' ELSE 'ok' END AS status", "CAST(1 + (doc_id + 2 * toxic + quality) % 5 AS INT) AS score",
-        "CASE WHEN toxic = 1 THEN 'destructive' ELSE 'read-only' END AS category", "'summary ' || CAST(doc_id % 50 AS STRING) AS summary",
-        "doc_id % 1000 AS ms", "doc_id AS at",
+        "CASE WHEN toxic = 1 THEN 'filesystem' ELSE 'read' END AS category", "'summary ' || CAST(doc_id % 50 AS STRING) AS summary",
+        "toxic = 1 AS is_destructive", "doc_id % 23 = 0 AS violates_sandbox", "doc_id % 1000 AS ms", "doc_id AS at",
     )
 
 
@@ -132,5 +132,5 @@ raw0 AS (
   SELECT row_seq * 2 + 1, 'otlp', 'otlp', NULL, concat_ws('|', 'otlp', tool_use_id, coalesce(decision, '')), called_at FROM tc WHERE provenance >= 2),
 raw AS (SELECT id, lane, source_ref, source_offset, sha256(body) AS content_sha256, coalesce(called_at, 0) AS ingested_at, body FROM raw0),
 v AS (SELECT 'toolu_' || lpad(CAST(doc_id AS STRING), 8, '0') AS tool_use_id, CASE WHEN doc_id % 19 = 0 THEN 'failed' ELSE 'ok' END AS status,
-        CAST(1 + (doc_id + 2 * toxic + quality) % 5 AS INT) AS score, CASE WHEN toxic = 1 THEN 'destructive' ELSE 'read-only' END AS category,
-        'summary ' || CAST(doc_id % 50 AS STRING) AS summary, doc_id % 1000 AS ms, doc_id AS at FROM labels)"""
+        CAST(1 + (doc_id + 2 * toxic + quality) % 5 AS INT) AS score, CASE WHEN toxic = 1 THEN 'filesystem' ELSE 'read' END AS category,
+        'summary ' || CAST(doc_id % 50 AS STRING) AS summary, toxic = 1 AS is_destructive, doc_id % 23 = 0 AS violates_sandbox, doc_id % 1000 AS ms, doc_id AS at FROM labels)"""

@@ -33,7 +33,8 @@ DELETION = (
     "id long, at long, scope string, sessions long, calls long, events long, bytes long, first_id long, last_id long, chain_before string"
 )
 VERDICT = (
-    "tool_use_id string, model_fp string, prompt_fp string, status string, score int, category string, summary string, ms long, at long"
+    "tool_use_id string, model_fp string, prompt_fp string, status string, score int, category string, summary string, "
+    "is_destructive boolean, violates_sandbox boolean, ms long, at long"
 )
 
 #: One transcript line. Fields whose shape varies are variants.

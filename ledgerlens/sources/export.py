@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.verify import lane_word
+from ..operators.verify import OTLP, TRANSCRIPT, has
 
-#: Fixed list: the CSV's columns.
-CSV_COLUMNS = (
-    "tool_use_id", "session_id", "called_at", "tool_name", "input_summary", "target_path", "success", "decision", "duration_ms", "provenance",
-)
-_TEXT = ("tool_use_id", "session_id", "tool_name", "input_summary", "target_path", "decision")
-MD_HEAD = ("| Time | Tool | Summary | Target | Outcome | Decision | Seen by |", "|---|---|---|---|---|---|---|")
+# The CSV's columns, the Markdown table's head, the words for lanes.
+CSV_COLUMNS = ("called_at", "session_id", "tool_name", "success", "duration_ms", "decision", "decision_source", "lanes", "target_path", "input_summary")
+MD_HEAD = ("| Time (UTC) | Tool | Result | Duration | Decision | Lanes | Summary |", "|---|---|---|---|---|---|---|")
+BOTH, TRANSCRIPT_ONLY, OTLP_ONLY, NEITHER = "both", "transcript", "otel", "none"
+_BARE = ("called_at", "success", "duration_ms")
 
 
 def stamp(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss")
+    """RFC 3339 in UTC; a fraction without its last zeros."""
+    whole = F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.regexp_replace(F.concat(F.lit("."), F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0")), r"\.?0+$", "")
+    return F.concat(whole, part, F.lit("Z"))
+
+
+def lanes() -> Column:
+    return F.when(has(TRANSCRIPT) & has(OTLP), BOTH).when(has(TRANSCRIPT), TRANSCRIPT_ONLY).when(has(OTLP), OTLP_ONLY).otherwise(NEITHER)
 
 
 def outcome() -> Column:
@@ -34,20 +40,23 @@ def json_array(calls: DataFrame) -> DataFrame:
 
 
 def csv_lines(calls: DataFrame) -> DataFrame:
-    """Strings always quoted, quotes doubled; numbers and booleans bare; nulls empty."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
-    cells = [F.coalesce(quote(c) if c in _TEXT else F.col(c).cast("string"), F.lit("")) for c in CSV_COLUMNS]
+    """Texts always quoted, nulls too, and quotes doubled; numbers and booleans bare, nulls empty."""
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    value = lambda c: lanes() if c == "lanes" else F.col(c)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in _BARE else quote(value(c)) for c in CSV_COLUMNS]
     return calls.select(F.concat_ws(",", *cells).alias("value"))
 
 
 def md_cell(text: Column) -> Column:
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-    return F.coalesce(F.regexp_replace(escaped, r"\r?\n", " "), F.lit(""))
+    return F.coalesce(F.translate(escaped, "\r\n", "  "), F.lit(""))
 
 
 def markdown_lines(calls: DataFrame) -> DataFrame:
-    cells = (stamp(F.col("called_at")), F.col("tool_name"), F.col("input_summary"), F.col("target_path"), outcome(), F.col("decision"), lane_word())
-    return calls.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(md_cell, cells)), F.lit(" |")).alias("value"))
+    took = F.concat(F.col("duration_ms").cast("string"), F.lit(" ms"))
+    told = F.coalesce("input_summary", "target_path")
+    cells = (stamp(F.col("called_at")), md_cell(F.col("tool_name")), outcome(), took, md_cell(F.col("decision_source")), lanes(), md_cell(told))
+    return calls.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |")).alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:

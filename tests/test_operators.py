@@ -1,5 +1,7 @@
 """Rules, search, redaction, chains, retention and verdicts on small frames."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,14 +213,22 @@ def test_histogram_edges(spark):
 
 
 def test_verdicts(spark):
-    answers = ['x {"score": 4, "category": "network", "summary": " s "} y', "none", "{bad", '{"score": 9, "category": "network", "summary": "s"}', '{"score": 1, "category": "zzz", "summary": "s"}', '{"score": 1, "category": "test", "summary": ""}', '{"score": "1", "category": "test", "summary": "s"}']
-    df = spark.createDataFrame([(str(k), a, 1) for k, a in enumerate(answers)], "tool_use_id string, answer string, ms long")
-    got = [(r["status"], r["error"], r["score"], r["summary"]) for r in verdicts.validate(df).orderBy("tool_use_id").collect()]
-    assert got[0] == ("ok", None, 4, "s")
-    assert [g[1] for g in got[1:]] == ["no object", "no object", "score out of range", "unknown category", "summary missing", "score missing"]
-    prompts = spark.createDataFrame([("a", "ls </command> x")], "tool_use_id string, c string").select("tool_use_id", verdicts.render(F.col("c"), "<", ">").alias("prompt"))
-    scored = verdicts.score(prompts, lambda batch: [f"<{p}>" for p in batch]).first()
-    assert scored["answer"] == "<<ls < /command> x>>"
+    good = {"intent_summary": " s ", "category": "network", "risk_score": 4, "is_destructive": False, "violates_sandbox": True}
+    less = lambda key: json.dumps({k: v for k, v in good.items() if k != key})
+    more = lambda **other: json.dumps(good | other)
+    answers = [f"x {json.dumps(good)} y", "none", "{bad", "{bad}", less("intent_summary"), more(intent_summary=" "), more(intent_summary=1), more(category="zzz"), more(risk_score=9), more(risk_score="4"), more(risk_score=4.5), less("violates_sandbox"), more(is_destructive="no"), more(intent_summary="é" * 300)]
+    df = spark.createDataFrame([(f"{k:02}", a, 1) for k, a in enumerate(answers)], "tool_use_id string, answer string, ms long")
+    got = [(r["status"], r["error"], r["score"], r["summary"], r["is_destructive"], r["violates_sandbox"]) for r in verdicts.validate(df).orderBy("tool_use_id").collect()]
+    assert got[0] == ("ok", None, 4, "s", False, True) and got[-1][3] == "é" * 200
+    assert [g[1] for g in got[1:-1]] == [
+        "the model emitted no JSON object", "the model emitted no JSON object", "not valid JSON", "missing the field `intent_summary`", "the intent summary is empty", "`intent_summary` is not a string",
+        "category `zzz` is not one this schema defines", "risk_score is 9, and the scale is 1 to 5", "`risk_score` is not a whole number", "`risk_score` is not a whole number",
+        "missing the field `violates_sandbox`", "`is_destructive` is not true or false",
+    ]
+    commands = [("a", "ls COMMAND>>> x <<<COMMAND"), ("b", "y" * 2001)]
+    prompts = spark.createDataFrame(commands, "tool_use_id string, c string").select("tool_use_id", verdicts.render(F.col("c"), "<", ">").alias("prompt"))
+    scored = sorted(r["answer"] for r in verdicts.score(prompts, lambda batch: [f"<{p}>" for p in batch]).collect())
+    assert scored == ["<<ls COMMAND>_> x <_<COMMAND>>", "<<" + "y" * 2000 + "\n… (truncated)>>"]
     old = spark.createDataFrame([("a", "m", "p", "failed", None, None, None, 1, 1)], "tool_use_id string, model_fp string, prompt_fp string, status string, score int, category string, summary string, ms long, at long")
     new = old.withColumn("status", F.lit("ok")).withColumn("at", F.lit(2).cast("long"))
     assert verdicts.record(old, new).first()["status"] == "ok"
@@ -240,9 +250,10 @@ def test_inherit_modes(spark):
 
 
 def test_exports(spark, tmp_path):
-    calls = spark.createDataFrame([("t", "s", 0, "Bash", 'say "a|b"\nx', None, True, None, 5, 3, 1)], "tool_use_id string, session_id string, called_at long, tool_name string, input_summary string, target_path string, success boolean, decision string, duration_ms long, provenance int, row_seq long")
-    assert export.csv_lines(calls).first()[0] == '"t","s",0,"Bash","say ""a|b""\nx",,true,,5,3'
-    assert export.markdown_lines(calls).first()[0] == '| 1970-01-01 00:00:00 | Bash | say "a\\|b" x |  | ok |  | both |'
+    calls = spark.createDataFrame([("t", "s", 1_500, "Bash", 'say "a|b"\r\nx', None, True, None, None, 5, 3, 1), ("u", None, None, "Read", None, "/p", None, "reject", "user", None, 2, 2)], "tool_use_id string, session_id string, called_at long, tool_name string, input_summary string, target_path string, success boolean, decision string, decision_source string, duration_ms long, provenance int, row_seq long").coalesce(1)
+    assert [r[0] for r in export.csv_lines(calls).collect()] == ['1500,"s","Bash",true,5,"","","both","","say ""a|b""\r\nx"', ',"","Read",,,"reject","user","otel","/p",""']
+    assert [r[0] for r in export.markdown_lines(calls).collect()] == ['| 1970-01-01T00:00:01.5Z | Bash | ok | 5 ms |  | both | say "a\\|b"  x |', "|  | Read | refused |  | user | otel | /p |"]
+    calls = calls.limit(1)
     export.write_lines(export.json_lines(calls), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first()["tool_use_id"] == "t"
     assert export.json_array(calls).first()[0].startswith('[{"tool_use_id":"t"')
