@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import tomllib
 from dataclasses import dataclass, field, fields
 from functools import reduce
@@ -20,6 +21,9 @@ SEVERITIES = ("info", "low", "medium", "high")
 SCOPES = ("call", "session", "retry_after_refusal")
 #: A refused command and its retry agree at least this far.
 LEAST_PREFIX = 8
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+#: Substrings are compared without case in A-Z only.
+_ASCII = str.maketrans(_UPPER, _LOWER)
 
 
 @dataclass(frozen=True)
@@ -113,7 +117,7 @@ def compile_rule(rule: Rule, strict_cwd: bool = True) -> Column:
         parts.append(c("agent_id").isNull() if m.main_thread else c("agent_id").isNotNull())
     looked = F.substring_index("input_summary", "\n", 1) if m.first_line else c("input_summary")
     if m.summary_contains:
-        parts.append(reduce(Column.__or__, (F.lower(looked).contains(x.lower()) for x in m.summary_contains)))
+        parts.append(reduce(Column.__or__, (F.translate(looked, _UPPER, _LOWER).contains(x.translate(_ASCII)) for x in m.summary_contains)))
     if m.summary_glob:
         parts.append(looked.rlike(glob_regex(m.summary_glob)))
     if m.path_glob:
@@ -314,26 +318,25 @@ def evaluate(matched: DataFrame, rules: list[Rule], dismissed: set[str] = frozen
 def posture(matched: DataFrame, rules: list[Rule], dismissed: set[str] = frozenset()) -> DataFrame:
     """project x severity: distinct calls that some live rule of the severity matches, the project's rules, worst first
     (unattributed last). A row is a call, so counting rows counts calls once."""
-    live = {s: [r.id for r in rules if r.severity == s and r.id not in dismissed] for s in SEVERITIES}
-    any_of = lambda ids: F.arrays_overlap("rule_ids", F.array(*map(F.lit, ids))) if ids else F.lit(False)
+    live = {x: [r.id for r in rules if r.severity == x and r.id not in dismissed] for x in SEVERITIES}
+    listed = lambda ids: F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>")
+    any_of = lambda ids: F.arrays_overlap("rule_ids", listed(ids)) if ids else F.lit(False)
     known = [i for ids in live.values() for i in ids]
-    counts = matched.groupBy("project_path").agg(*[F.count_if(any_of(live[s])).alias(s) for s in SEVERITIES])
-    ids = (
-        matched.select("project_path", F.explode("rule_ids").alias("rule_id"))
-        .filter(F.col("rule_id").isin(*known) if known else F.lit(False))
-        .distinct()
-        .groupBy("project_path")
-        .agg(F.array_sort(F.collect_list("rule_id")).alias("project_rules"))
-        .withColumnRenamed("project_path", "p")
+    # One grouping: a project's sets of rules are few, and their union is bounded by the number of rules.
+    sets = F.collect_set(F.array_intersect("rule_ids", listed(known)))
+    out = matched.groupBy("project_path").agg(
+        *[F.count_if(any_of(live[s])).alias(s) for s in SEVERITIES], F.array_sort(F.array_distinct(F.flatten(sets))).alias("project_rules")
     )
-    out = counts.join(ids, F.col("project_path").eqNullSafe(F.col("p"))).drop("p")
+    out = out.filter(F.size("project_rules") > 0)
     by = [F.desc(s) for s in reversed(SEVERITIES)]
     return out.orderBy(*by, F.col("project_path").isNull(), "project_path")
 
 
 def severity_totals(matched: DataFrame, rules: list[Rule], dismissed: set[str] = frozenset()) -> DataFrame:
-    """Column sums of posture(): severities overlap, so there is no grand total."""
-    return posture(matched, rules, dismissed).agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SEVERITIES])
+    """Distinct calls by severity, the column sums of posture(): severities overlap, so there is no grand total."""
+    live = {x: [r.id for r in rules if r.severity == x and r.id not in dismissed] for x in SEVERITIES}
+    any_of = lambda ids: F.arrays_overlap("rule_ids", F.array(*map(F.lit, ids))) if ids else F.lit(False)
+    return matched.agg(*[F.count_if(any_of(live[s])).alias(s) for s in SEVERITIES])
 
 
 # --- ledgers

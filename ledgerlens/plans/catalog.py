@@ -11,6 +11,8 @@ from ..functions import normalize, redact, search
 from ..operators import chain, filters, merge, metrics, retention, rules, verdicts, verify
 from ..operators.filters import CallFilter, Lens
 from ..sources import evidence, export
+from ..staging import materialize
+from . import reads
 from . import testviews as tv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +52,14 @@ def _changes(spark: SparkSession, sf: str) -> DataFrame:
     return merge.mode_changes(tv.mode_records(spark, sf))
 
 
+#: What rules and reads over the frame look at.
+_NARROW = ("tool_use_id", "row_seq", "session_id", "user_id", "called_at", "tool_name", "tool_kind", "input_summary", "target_path", "success", "decision", "decision_source", "permission_mode", "agent_id", "provenance")
+
+
 def _frame(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.enriched(tv.calls(spark, sf), tv.sessions(spark, sf), _changes(spark, sf))
+    """The enriched calls. Sessions, first calls and refusals all come from the calls, which are written once."""
+    calls = materialize(tv.calls(spark, sf).select(*_NARROW), "frame-calls")
+    return rules.enriched(calls, tv.sessions_of(calls), _changes(spark, sf))
 
 
 def _matched(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,8 +115,8 @@ _RULES_SQL = f"{_MC}, {_FR}, {_HITS}"
 SELECT tool_use_id, session_id, project_path, tool_name, input_summary, called_at, provenance FROM fr
 WHERE called_at >= {SINCE} AND agent_id IS NULL ORDER BY called_at DESC NULLS LAST, row_seq DESC LIMIT 100"""))
 def timeline_page(spark: SparkSession, sf: str) -> DataFrame:
-    found = filters.matching(_frame(spark, sf), CallFilter(since=SINCE, main_thread=True))
-    return filters.page(found).select("tool_use_id", "session_id", "project_path", "tool_name", "input_summary", "called_at", "provenance")
+    found = reads.plain_page(tv.calls(spark, sf), tv.sessions(spark, sf), Lens(CallFilter(since=SINCE, main_thread=True)))
+    return found.select("tool_use_id", "session_id", "project_path", "tool_name", "input_summary", "called_at", "provenance")
 
 
 @query("timeline_count", f"SELECT count(*) AS calls FROM tc WHERE called_at >= {SINCE} AND agent_id IS NULL")
@@ -166,17 +174,17 @@ def search_and_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return calls.filter(search.condition("rm rf bui", ("tool_name", "input_summary", "target_path"))).select("tool_use_id")
 
 
-@query("search_documents", f"WITH t AS (SELECT doc_id, lang, {_TOK.format('text')} AS x FROM documents) SELECT doc_id, lang FROM t WHERE contains(x, ' that ') AND contains(x, ' the an')")
+@query("search_documents", f"WITH t AS (SELECT doc_id, lang, {_TOK.format('strip_accents(text)')} AS x FROM documents) SELECT doc_id, lang FROM t WHERE contains(x, ' that ') AND contains(x, ' the an')")
 def search_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    tokens = search.token_text(F.col("text"), fold=False)
-    return docs.filter(tokens.contains(" that ") & tokens.contains(" the an")).select("doc_id", "lang")
+    return docs.filter(search.condition("that the-an", ("text",))).select("doc_id", "lang")
 
 
-@query("search_index_ids")
+@query("search_index_ids", f"WITH t AS (SELECT doc_id, {_TOK.format('strip_accents(text)')} AS x FROM documents) SELECT doc_id AS id FROM t WHERE contains(x, ' was is ') AND contains(x, ' th')")
 def search_index_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return search.search_index(search.inverted_index(docs, "doc_id", ("text",)), "that there-fore the")
+    index = search.inverted_index(docs, "doc_id", ("text",))
+    return search.search_index(materialize(index.repartition("token").sortWithinPartitions("token"), "search-index"), "was-is th")
 
 
 @query("snippets")
@@ -362,7 +370,8 @@ def sightings_insert(spark: SparkSession, sf: str) -> DataFrame:
     return rules.new_sightings(matched, list(RULES), ledger, 7)
 
 
-@query("alerts")
+@query("alerts", _more(_RULES_SQL, "SELECT tc.tool_use_id, tc.session_id, tool_name, input_summary, tc.called_at, CASE WHEN decision = 'reject' THEN 'refused' ELSE title END AS alert FROM tc LEFT JOIN (SELECT tool_use_id, min(pos) AS pos FROM hit WHERE severity = 'high' GROUP BY 1) h USING (tool_use_id) LEFT JOIN (VALUES "
+  + ", ".join("({}, '{}')".format(k, r.title.replace("'", "''")) for k, r in enumerate(RULES)) + ") n(pos, title) ON n.pos = h.pos WHERE decision = 'reject' OR title IS NOT NULL"))
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return rules.alerts(_matched(spark, sf), list(RULES))
 
@@ -610,6 +619,6 @@ def export_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return export.markdown_lines(tv.calls(spark, sf))
 
 
-@query("export_json")
+@query("export_json", "SELECT '{' || concat_ws(',', " + ", ".join(f"'\"{c}\":' || to_json({c})" for c in tv.CALL_COLUMNS) + ") || '}' AS value FROM tc")
 def export_json(spark: SparkSession, sf: str) -> DataFrame:
     return export.json_lines(tv.calls(spark, sf))

@@ -85,7 +85,11 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calls(spark, sf_dir).filter("session_id IS NOT NULL")
+    return sessions_of(calls(spark, sf_dir))
+
+
+def sessions_of(calls: DataFrame) -> DataFrame:
+    rows = calls.filter("session_id IS NOT NULL")
     return rows.groupBy("session_id").agg(*[F.expr(v).alias(k) for k, v in SESSION_COLUMNS.items() if k != "session_id"])
 
 

@@ -3,7 +3,7 @@
 import pytest
 from compare import rows, views
 
-from ledgerlens.plans import catalog
+from ledgerlens.plans import catalog, lanes  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
