@@ -30,6 +30,8 @@ from .suffix_sort import sort_windows
 LENGTH, GRAM = 100, 24
 #: Windows whose anchors are found at once.
 PIECE = 1 << 18
+#: Bits of a place in a piece, which is shorter than twice PIECE and a window.
+PLACE_BITS = 20
 #: Different runs of a gram from which it is dealt window by window.
 HOT = 4096
 #: Runs that are sorted at once, unless one gram has more.
@@ -62,8 +64,10 @@ def anchors(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     whole = gram_hashes(data)
-    place_bits = int(len(data)).bit_length()
-    low = np.uint64((1 << place_bits) - 1)
+    if len(data) >> PLACE_BITS:
+        raise ValueError("a piece is too long for its places")
+    # As many bits in every piece: equal windows then choose the same gram wherever they are.
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = (whole & ~low) | np.arange(len(whole), dtype=np.uint64)
     wide, goal = 1, LENGTH - GRAM + 1
     while wide * 2 <= goal:
