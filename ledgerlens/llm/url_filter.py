@@ -23,6 +23,8 @@ RULES = (
 )
 LABEL = "label=block"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.001, 0.6
+#: A rule holds for so many labelled rows at least, however few there are, and says more than the label's own share.
+LEAST_ROWS, LEAST_LIFT = 5, 1.2
 
 
 def host_of(url: Column) -> Column:
@@ -57,23 +59,36 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled(tokens array<string>, block boolean) -> rules (antecedent, key, confidence, support): those that end in
-    ``block``. ``key`` is the antecedent's rarest token. All labelled rows are used."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """labelled(tokens array<string>, block boolean) -> rules (antecedent, key, confidence, support, lift): those that end in
+    ``block`` and hold for ``min_support`` of the rows and ``least_rows`` of them. ``key`` is the antecedent's rarest
+    token. A rule goes where one with a part of its tokens has as much confidence. All labelled rows are used."""
     items = labelled.select(
         F.when(F.col("block"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items")
     )
+    # The small number keeps a count of exactly least_rows in.
+    floor = (least_rows - 1e-6) / max(labelled.count(), 1)
     # As many partitions as the session shuffles to: the conditional trees are dealt out by item.
     model = FPGrowth(
-        itemsCol="items", minSupport=min_support, minConfidence=min_confidence,
+        itemsCol="items", minSupport=min(max(min_support, floor), 1.0), minConfidence=min_confidence,
         numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")),
     ).fit(items)
     rules = model.associationRules.filter(
-        (F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL) & (F.size("antecedent") >= 1)
-    ).select("antecedent", "confidence", "support")
+        (F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL) & (F.size("antecedent") >= 1) & (F.col("lift") >= LEAST_LIFT)
+    ).select("antecedent", "confidence", "support", "lift")
     seen = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     keyed = rules.select("*", F.explode("antecedent").alias("token")).join(seen, "token")
-    return keyed.groupBy("antecedent", "confidence", "support").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
+    named = keyed.groupBy("antecedent", "confidence", "support", "lift").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
+    return _plain_rules(materialize(named, "op10-mined"))
+
+
+def _plain_rules(rules: DataFrame) -> DataFrame:
+    """Without rules that a shorter one with as much confidence covers, found by the shorter one's key."""
+    short = rules.select("key", F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
+    long = rules.select(F.explode("antecedent").alias("key"), "antecedent", "confidence")
+    within = F.forall("part", lambda x: F.array_contains("antecedent", x)) & (F.size("part") < F.size("antecedent"))
+    covered = long.join(short, "key").filter(within & (F.col("sure") >= F.col("confidence"))).select("antecedent").distinct()
+    return rules.join(covered, "antecedent", "left_anti")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -97,6 +112,7 @@ def filter_urls(
     fixed: tuple = RULES,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
+    least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """One row for each row of ``pages``: (id_col, host, path, rule, verdict, confidence).
 
@@ -113,7 +129,7 @@ def filter_urls(
         .agg((F.min(quality_col) == 0).alias("block"))
     )
     labelled = rows.join(known, "id").select(tokens_of(host, path, F.col("url")).alias("tokens"), "block")
-    rules = materialize(mine(labelled, min_support, min_confidence), "op10-rules")
+    rules = materialize(mine(labelled, min_support, min_confidence, least_rows), "op10-rules")
     urls = rows.filter(F.col("url").isNotNull()).select("url").distinct()
     blocked = blocked_urls(urls.select("url", tokens_of(host, path, F.col("url")).alias("tokens")), rules)
     judged = rows.join(blocked, "url", "left").select(
