@@ -118,12 +118,18 @@ class Index:
         self.owners = owners
         self.known = np.array(sorted(owners), np.uint64)
         self.quick = {k: np.unique(np.concatenate(v)) for k, v in quick.items()}
-        self.blocks = []
-        for b in range(BLOCKS):
-            flips = _flips(INDEX_FLIPS)
-            key = (self._block(self.prints, b)[:, None] ^ flips).ravel()
-            order = np.argsort(key, kind="stable")
-            self.blocks.append((key[order], np.repeat(np.arange(len(prints)), len(flips))[order]))
+        # A window has an item's number of words, so each length has blocks of its own.
+        self.blocks = {}
+        lengths = np.array(self.lengths, np.int64)
+        flips = _flips(INDEX_FLIPS)
+        for length in sorted(set(self.lengths)):
+            own = np.flatnonzero(lengths == length)
+            blocks = []
+            for b in range(BLOCKS):
+                key = (self._block(self.prints[own], b)[:, None] ^ flips).ravel()
+                order = np.argsort(key, kind="stable")
+                blocks.append((key[order], np.repeat(own, len(flips))[order]))
+            self.blocks[length] = blocks
 
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -150,10 +156,10 @@ class Index:
             at = end
         return np.flatnonzero(hit)
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item): all pairs whose fingerprints differ in RADIUS bits at most."""
+    def near(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item): all pairs with items of ``length`` words whose fingerprints differ in RADIUS bits at most."""
         pairs, flips = [], _flips(PROBE_FLIPS)
-        for b, (keys, items) in enumerate(self.blocks):
+        for b, (keys, items) in enumerate(self.blocks[length]):
             probe = self._block(prints, b)[:, None] ^ flips
             lo, hi = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
             n = (hi - lo).ravel()
@@ -191,9 +197,7 @@ class Index:
                 sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
                 over = 2 * (sums[some - some[0] + wide] - sums[some - some[0]]) > wide
                 prints = np.packbits(over, axis=1, bitorder="little").view(np.int64).ravel()
-                for w, i in zip(*self.near(prints), strict=True):
-                    if self.lengths[i] != length:
-                        continue
+                for w, i in zip(*self.near(prints, length), strict=True):
                     start = int(some[w])
                     found = self._similarity(h[start : start + wide], i)
                     if found >= self.similarity and (i not in best or found > best[i][0]):
