@@ -70,8 +70,9 @@ def mix(
     epochs: float = 1.0,
     seed: int = 7,
 ) -> DataFrame:
-    """``docs``' columns, each row as often as its count says, with copy_no (from 1), n_copies and shuffle_key, range
-    partitioned and sorted by shuffle_key: written files are in a global random order.
+    """``docs``' columns, each row as often as its count says, with copy_no (from 1), n_copies and shuffle_key, dealt
+    out by a hash of shuffle_key and sorted by it within a partition: every written file is a random part of the whole, in
+    random order. (Ranges of the key would be sampled first, which runs the whole plan once more.)
 
     A null source is a source of its own (weight key ``""``); a null id hashes as empty; rows that repeat an id get equal
     counts. Columns of ``docs`` called like an added one are kept and the added one gets underscores in front.
@@ -93,7 +94,7 @@ def mix(
         copy_no, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_copies)))
     )
     mixed = copies.withColumn(key, hashed(F.lit(seed), F.lit("order"), id_col, copy_no)).drop(k, u, steps, parts)
-    return mixed.repartitionByRange(key).sortWithinPartitions(key)
+    return mixed.repartition(key).sortWithinPartitions(key)
 
 
 ORACLE_SQL = """
