@@ -201,3 +201,9 @@ def identify(
         .withColumn(kept, F.col(language) != UNKNOWN)
         .select(*docs.columns, language, confidence, text_language, kept)
     )
+
+
+def keep_known(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, that identify() does not reject."""
+    found = identify(docs, text_col, declared_col, host_col)
+    return found.filter(found[found.columns[len(docs.columns) + 3]]).select(*docs.columns)
