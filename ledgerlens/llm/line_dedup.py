@@ -60,9 +60,7 @@ def dedup_lines(
     lines = F.char_length("c") - F.char_length(F.replace("c", F.lit("\n"))) + 1
     at = at.filter(F.col("c").contains("\n")).select("id", "t", "pos", lines.alias("lines"), hash_of(F.col("c")).alias("h"), "c")
     at = materialize(at, "op9-chunks")
-    # Only chunks whose hash occurs again are compared byte by byte.
-    again = materialize(at.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "op9-again")
-    at = materialize(join_groups(at, again, "h", "n", ["n"], ["id", "t", "pos"]).drop("n"), "op9-candidates")
+    # Equal chunks are combined before this shuffle, the only one that moves chunks; all others move hashes and places.
     shared = materialize(collisions(at, "c", "h"), "op9-shared-hashes")
     if shared.isEmpty():
         named = at.select("id", "t", "pos", "lines", F.col("h").alias("v"))
