@@ -4,9 +4,9 @@ The suffix array is dealt out in buckets. Each 100-byte window belongs to the bu
 hash; the leftmost of equals), so equal windows share a bucket and neighbouring windows mostly share a gram: an
 *anchor* with the run of windows that chose it.
 
-1. Anchors are found in each text and dealt by gram with a hash of the run's bytes. Runs with the same gram and the
-   same bytes are copies of the first of them; that is settled in the map task where both are at hand, else in the
-   bucket. A run whose gram no other bytes share is done.
+1. Anchors are found in each text and dealt by gram with half of the SHA-256 of the run's bytes. Runs with the same gram
+   and the same digest are copies of the first of them; that is settled in the map task where both are at hand, else in
+   the bucket. A run whose gram no other bytes share is done.
 2. The bytes of the runs that are left are dealt by gram, and their windows are put in order by deep-shallow sorting;
    windows after the first in a group of equal ones are copies. A gram with very many different runs is dealt
    window by window instead, so no bucket holds a common gram's runs.
@@ -15,6 +15,7 @@ hash; the leftmost of equals), so equal windows share a bucket and neighbouring
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -122,13 +123,13 @@ def merged(doc: Arrays, start: np.ndarray, end: np.ndarray) -> tuple[Arrays, np.
     return [d[first] for d in doc], start[first], reach[final]
 
 
-_ROW = "kind byte, key long, run long, id long, t long, start long, end long"
-_NAMES = ["kind", "key", "run", "id", "t", "start", "end"]
+_ROW = "kind byte, key long, run long, run2 long, id long, t long, start long, end long"
+_NAMES = ["kind", "key", "run", "run2", "id", "t", "start", "end"]
 SPAN, RUN, HOT_RUN = 0, 1, 2
 
 
-def _batch(kind: int, key, run, id_, t, start, end) -> pa.RecordBatch:
-    columns = [np.full(len(start), kind, np.int8), key, run, id_, t, start, end]
+def _batch(kind: int, key, run, run2, id_, t, start, end) -> pa.RecordBatch:
+    columns = [np.full(len(start), kind, np.int8), key, run, run2, id_, t, start, end]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
 
 
@@ -136,21 +137,27 @@ def _spans(doc: Arrays, start: np.ndarray, end: np.ndarray) -> Iterator[pa.Recor
     doc, start, end = merged(doc, start, end)
     if len(start):
         none = np.zeros(len(start), np.int64)
-        yield _batch(SPAN, doc[0] ^ doc[1], none, *doc, start, end)  # the key only spreads them
+        yield _batch(SPAN, doc[0] ^ doc[1], none, none, *doc, start, end)  # the key only spreads them
 
 
 def _settle(rows: Arrays) -> tuple[Arrays, np.ndarray]:
-    """rows (key, run, id, t, start, end), sorted: (firsts of equal runs, which of the others are copies)."""
+    """rows (key, run, run2, id, t, start, end), sorted: (firsts of equal runs, which of the others are copies)."""
     same = np.zeros(len(rows[0]), bool)
-    same[1:] = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+    same[1:] = np.all([r[1:] == r[:-1] for r in rows[:3]], axis=0)
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    self_ = (rows[2] == rows[2][first]) & (rows[3] == rows[3][first]) & (rows[4] == rows[4][first])
+    self_ = np.all([r == r[first] for r in rows[3:6]], axis=0)
     return [r[~same] for r in rows], same & ~self_
 
 
+def run_digests(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128 bits of the SHA-256 of each run's bytes, as two longs: nobody can make different runs that agree in it."""
+    sha = hashlib.sha256
+    parts = [sha(data[a : z + LENGTH]).digest()[:16] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, t, text -> the batch's anchors, first runs only, and the spans of the others."""
-    digest = xxhash.xxh64_intdigest
     for b in batches:
         ids, ts = b.column(0).to_numpy(), b.column(1).to_numpy()
         texts = [x.as_py() for x in b.column(2)]
@@ -158,26 +165,23 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, cuts, who, at in _pieces(texts):
             key, first, last = anchors(np.frombuffer(data, np.uint8), cuts)
             spot = np.searchsorted(cuts, first, side="right") - 1
-            runs = np.fromiter(
-                (digest(data[a : z + LENGTH], 1) for a, z in zip(first.tolist(), last.tolist(), strict=True)),
-                np.uint64, len(first),
-            )
+            runs = run_digests(data, first, last)
             start = first - cuts[spot] + np.array(at)[spot]
             doc = np.array(who)[spot]
-            parts.append([key.view(np.int64), runs.view(np.int64), ids[doc], ts[doc], start, start + (last - first) + LENGTH])
+            parts.append([key.view(np.int64), runs[:, 0], runs[:, 1], ids[doc], ts[doc], start, start + (last - first) + LENGTH])
         if not parts:
             continue
         rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        by = np.lexsort((rows[4], rows[3], rows[2], rows[1], rows[0]))
+        by = np.lexsort(rows[5::-1])
         rows = [r[by] for r in rows]
         firsts, copy = _settle(rows)
-        yield from _spans([rows[2][copy], rows[3][copy]], rows[4][copy], rows[5][copy])
+        yield from _spans([rows[3][copy], rows[4][copy]], rows[5][copy], rows[6][copy])
         yield _batch(RUN, *firsts)
 
 
 def _match(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
     """Anchors sorted by key, run and place -> spans of copies, and the runs that share a gram with other bytes."""
-    held: Arrays = [np.empty(0, np.int64)] * 6
+    held: Arrays = [np.empty(0, np.int64)] * 7
     hot_key = None
     for b in _with_end(batches):
         if b is not None:
@@ -189,7 +193,7 @@ def _match(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.Re
         if not len(held[0]):
             continue
         firsts, copy = _settle(held)
-        yield from _spans([held[2][copy], held[3][copy]], held[4][copy], held[5][copy])
+        yield from _spans([held[3][copy], held[4][copy]], held[5][copy], held[6][copy])
         key = firsts[0]
         done = len(key) if b is None else int(np.searchsorted(key, key[-1]))
         number = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
@@ -201,7 +205,8 @@ def _match(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.Re
         for kind, some in ((RUN, (size > 1) & ~hot), (HOT_RUN, hot)):
             some = some & (np.arange(len(key)) < done)
             if some.any():
-                yield _batch(kind, *(f[some] for f in firsts))
+                none = np.zeros(int(some.sum()), np.int64)  # the digests have done their work
+                yield _batch(kind, key[some], none, none, *(f[some] for f in firsts[3:]))
         held = [f[done:] for f in firsts]
 
 
@@ -306,7 +311,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_spans(base: DataFrame, hot: int = HOT) -> DataFrame:
     """base(id long, t long, text binary) -> (id, t, start, end): spans that cover the copies, not yet merged."""
-    found = base.mapInArrow(_find, _ROW).repartition("key").sortWithinPartitions("key", "run", "id", "t", "start")
+    found = base.mapInArrow(_find, _ROW).repartition("key").sortWithinPartitions("key", "run", "run2", "id", "t", "start")
     found = materialize(found.mapInArrow(partial(_match, most=hot), _ROW), "op1-runs")
     runs = (
         found.filter(f"kind <> {SPAN}")

@@ -158,6 +158,22 @@ def test_suffix_dedup_repeats_and_edges(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got.collect()) == [(1, 0), (1, 0), (2, len(text.encode()))]
 
 
+def test_runs_are_copies_only_if_the_whole_digest_agrees():
+    import hashlib
+
+    import numpy as np
+
+    data = long_text(5, 60).encode()
+    got = suffix_dedup.run_digests(data, np.array([0, 7]), np.array([3, 7]))
+    want = [hashlib.sha256(data[a:b]).digest()[:16] for a, b in ((0, 103), (7, 107))]
+    assert [r.tobytes() for r in got] == want
+    assert suffix_dedup.run_digests(data, np.array([], int), np.array([], int)).shape == (0, 2)
+    # key, run, run2, id, t, start, end: the first half agrees in all four, the second in the first three.
+    rows = [np.array(c) for c in ([9] * 4, [1] * 4, [2, 2, 2, 3], [10, 11, 10, 12], [0] * 4, [0, 0, 5, 0], [110] * 4)]
+    firsts, copy = suffix_dedup._settle(rows)
+    assert copy.tolist() == [False, True, True, False] and firsts[3].tolist() == [10, 12]
+
+
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     text = long_text(3, 2000).encode()
