@@ -7,6 +7,7 @@ import re
 import tomllib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from importlib import resources
 
 import pandas as pd
@@ -20,18 +21,27 @@ AROUND = 100
 _MARKER = re.compile(r"\[redacted: [a-z0-9-]+\]")
 
 
+#: Letters that match i, s and k where a pattern ignores case, and that lower() does not turn into those.
+_FOLDED, _PLAIN = "\u0131\u0130\u017f\u212a", "iisk"
+
+
 @dataclass(frozen=True)
 class Pattern:
+    """``needs``: strings of which each match contains one (in small letters if the pattern ignores case). Texts without any
+    are passed over by a look that needs no regular expression; empty means that every text is searched."""
+
     id: str
     regex: str
     title: str = ""
     group: int = 0
+    needs: tuple[str, ...] = ()
 
 
 def load_patterns(user_toml: str | None = None) -> tuple[list[Pattern], list[str]]:
     """(patterns, ids of those that don't compile, which are left out); a user's pattern replaces the one of its id."""
     texts = (resources.files(__package__).joinpath("redact.toml").read_text(), user_toml or "")
-    rows = {p["id"]: Pattern(**p) for text in texts for p in tomllib.loads(text).get("pattern", [])}
+    found = [p for text in texts for p in tomllib.loads(text).get("pattern", [])]
+    rows = {p["id"]: Pattern(**{**p, "needs": tuple(p.get("needs", ()))}) for p in found}
     good, bad = [], []
     for p in rows.values():
         try:
@@ -91,8 +101,21 @@ def _udf(apply: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
+def may_match(text: Column, patterns: list[Pattern]) -> Column:
+    """False only where no pattern matches: none of the strings that the patterns need is in the text."""
+    if not all(p.needs for p in patterns):
+        return F.lit(True)
+    folds = {p.id: bool(re.compile(p.regex).flags & re.IGNORECASE) for p in patterns}
+    plain = sorted({x for p in patterns if not folds[p.id] for x in p.needs})
+    folded = sorted({x for p in patterns if folds[p.id] for x in p.needs})
+    low = F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, _FOLDED, _PLAIN)))
+    tests = [text.contains(x) for x in plain] + [low.contains(x) for x in folded]
+    return reduce(Column.__or__, tests, F.lit(False))
+
+
 def redacted(text: Column, patterns: list[Pattern]) -> Column:
-    return _udf(Redactor(patterns).text)(text)
+    """Only texts that may match leave the JVM; the others are themselves."""
+    return F.coalesce(_udf(Redactor(patterns).text)(F.when(may_match(text, patterns), text)), text)
 
 
 def redacted_json(text: Column, patterns: list[Pattern]) -> Column:
@@ -113,7 +136,8 @@ def redaction_report(frame: DataFrame, columns: tuple[str, ...], patterns: list[
             yield pd.DataFrame(rows, columns=["field", "pattern", "text"])
 
     long = frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("x"))
-    found = long.select("x.field", "x.text").filter("text IS NOT NULL").mapInPandas(hits, "field string, pattern string, text string")
+    texts = long.select("x.field", "x.text").filter("text IS NOT NULL").filter(may_match(F.col("text"), patterns))
+    found = texts.mapInPandas(hits, "field string, pattern string, text string")
     # A grouped count, and a top-k of each group that keeps k rows on the map side too.
     counted = found.groupBy("field", "pattern").agg(F.count("*").alias("rows"))
     distinct = found.select("field", "pattern", "text").distinct()

@@ -1,13 +1,15 @@
 """Tamper evidence: each evidence row's digest is chained to the one before.
 
 Chains run per source and are sealed in parallel; the sorted heads are folded to one root. ``mode="global"`` makes
-the one chain over all rows instead, whose fold is serial by definition and moves only ids and digests.
+the one chain over all rows instead. A chain's fold is serial by definition: it moves only ids and digests, and holds one
+value and one batch, however long the chain is.
 Verification is parallel in both modes: each check needs only the stored value before.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,16 +47,19 @@ def seal(raw: DataFrame, mode: str = "source", genesis: str = GENESIS) -> DataFr
     todo = todo.join(heads, keys, "left") if keys else todo.crossJoin(F.broadcast(heads))
     todo = todo.withColumn("head", F.coalesce("head", F.lit(genesis)))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        value, out = pdf["head"].iloc[0], []
-        for digest in pdf["digest"]:
-            value = hashlib.sha256(f"{value}\n{digest}".encode()).hexdigest()
-            out.append(value)
-        return pd.DataFrame({"id": pdf["id"], "sealed": out})
-
-    todo = todo if keys else todo.withColumn("whole", F.lit(0))
-    sealed = todo.groupBy(*(keys or ["whole"])).applyInPandas(fold, "id long, sealed string")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain_of, value = None, None
+        for pdf in batches:
+            out = []
+            for *own, head, digest in zip(*(pdf[k] for k in (*keys, "head", "digest")), strict=True):
+                if own != chain_of:
+                    chain_of, value = own, head
+                value = hashlib.sha256(f"{value}\n{digest}".encode()).hexdigest()
+                out.append(value)
+            yield pd.DataFrame({"id": pdf["id"], "sealed": out})
+
+    dealt = todo.repartition(*[F.col(k) for k in keys]) if keys else todo.repartition(1)
+    sealed = dealt.sortWithinPartitions(*keys, "id").mapInPandas(fold, "id long, sealed string")
     return raw.join(sealed, "id", "left").withColumn("chain_sha256", F.coalesce("chain_sha256", "sealed")).select(*raw.columns)
 
 

@@ -28,6 +28,7 @@ OVERLAY = """
 [[pattern]]
 id = "spaced-token"
 regex = '(?:token|secret|api_key) = "([0-9a-f]{40})"'
+needs = ['token = "', 'secret = "', 'api_key = "']
 group = 1
 """
 

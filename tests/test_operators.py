@@ -150,6 +150,21 @@ def test_report_shows_the_hit(spark):
     assert all(f"pwd=secret{k} and what follows" in x and "word word" in x for k, x in enumerate(got[0]["examples"]))
 
 
+def test_redaction_passes_over_no_match(spark):
+    """The look at the needed strings agrees with the patterns alone."""
+    texts = ["", "nothing here", "Bearer abcdefghijklmnop", "PA\u017f\u017fWORD=abcdef", "AP\u0130_TO\u212aEN=abcdef", "to\u212aen=abcd", "AKIA" + "A1" * 8,
+             "akia" + "a1" * 8, "x://u:p@h", "PWD=abcdef", 'password: "abcd"', "ghp_" + "a" * 20, "eyJ" + "a.".join(["b" * 9] * 3), "sk-" + "x" * 20,
+             "-----BEGIN PRIVATE KEY-----abc-----END PRIVATE KEY-----", '"private_key": "' + "k" * 40 + '"', "xoxb-" + "1" * 10, "AIza" + "b" * 35,
+             "Authorization: Basic " + "c" * 20, "aws_\u017fecret_acce\u017f\u017f_key: " + "d" * 20]
+    patterns = redact.load_patterns()[0]
+    plain = redact.Redactor(patterns)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(redact.redacted(F.col("t"), patterns)).collect()] == [plain.text(t) for t in texts]
+    looked = [r[0] for r in df.select(redact.may_match(F.col("t"), patterns)).collect()]
+    assert not any(plain.spans(t) and not may for t, may in zip(texts, looked, strict=True)) and looked[:2] == [False, False]
+    assert df.select(redact.may_match(F.col("t"), [redact.Pattern("any", "x")])).distinct().collect()[0][0] is True
+
+
 def evidence_rows(spark):
     rows = [(i, "transcript", f"f{i % 2}", i, f"b{i}", 1) for i in range(1, 9)]
     df = spark.createDataFrame(rows, "id long, lane string, source_ref string, source_offset long, body string, ingested_at long")
