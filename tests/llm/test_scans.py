@@ -104,6 +104,20 @@ def test_scan_and_markov(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_markov_on_planted_tokens(spark, small):
+    """Random tokens of alphabets that the samples lack are found, identifiers made of the corpus's words are not."""
+    table = spark.read.parquet(f"{small}/documents.parquet").filter("text IS NOT NULL")
+    model = secrets.train(table.filter("doc_id % 2 = 1"))
+    words = sorted({w for r in table.filter("doc_id % 2 = 0").select("text").collect() for w in re.findall("[A-Za-z]{4,}", r["text"])})
+    rng = random.Random(5)
+    hits = lambda tokens: sum(model.score(t) >= secrets.THRESHOLD for t in tokens) / len(tokens)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", secrets.ALPHABET[:64]):
+        assert hits(["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 48))) for _ in range(500)]) >= 0.9, alphabet
+    for sep, case in (("_", str), ("/", str), ("-", str.lower), ("", str.capitalize), ("_", str.upper)):
+        assert hits([sep.join(case(rng.choice(words)) for _ in range(5)) for _ in range(500)]) <= 0.02, sep
+    assert hits(["-" * 30, "=" * 25, "_" * 40, "a" * 30, "0" * 24]) == 0
+
+
 # --- decontamination
 
 
