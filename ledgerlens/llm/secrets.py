@@ -33,8 +33,8 @@ WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}")
 LEAST_TOKEN = 20
 #: The models are trained on the tokens of about so many documents.
 SAMPLE_DOCS = 20_000
-#: Natural-log ratio for each transition from which a token counts as random. On documents that the models are not trained
-#: on, identifiers joined from the corpus's words stay below 1.7; 97 % of random tokens or more, of any alphabet, lie above.
+#: Natural-log ratio for each transition from which a token counts as random. Chosen on planted tokens: identifiers joined
+#: from the corpus's words stayed below 1.7, 97 % or more of random tokens lay above; other words can lie above too.
 THRESHOLD = 2.0
 BACK_OFF = 20.0
 #: Shares of the back-off: a random string may use any character of its alphabet alike, an ordinary one may repeat one.
