@@ -35,6 +35,8 @@ SMALL, LISTED, CROWD_BLOCK = 16, 256, 128
 SAMPLE_DOCS, COMMON = 20_000, 3
 #: Columns of shingles multiplied at once when a block is compared.
 COLUMNS = 8192
+#: Larger groups of fingerprints are cut further before their links are sought.
+FOREST = 4096
 #: Hashes summed at once, which bounds the memory for a very long text.
 BLOCK = 1 << 16
 
@@ -127,6 +129,23 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
     return nodes[child], nodes[by]
 
 
+def _large_forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what all links within ``radius`` join. The bits that vary in the group are dealt to ``radius`` + 1
+    parts: two fingerprints within the radius agree in one of them, so only groups with an equal part are compared."""
+    varying = int(np.bitwise_or.reduce((fps ^ fps[0]).view(np.uint64)))
+    bits = [b for b in range(64) if varying >> b & 1]
+    child, by = [nodes[:0]], [nodes[:0]]
+    for k in range(radius + 1):
+        part = fps.view(np.uint64) & np.uint64(sum(1 << b for b in bits[k :: radius + 1]))
+        order = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.diff(part[order])) + 1
+        for rows in np.split(order, ends):
+            x, y = _forest(nodes[rows], fps[rows], radius)
+            child.append(x)
+            by.append(y)
+    return np.concatenate(child), np.concatenate(by)
+
+
 def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int) -> pa.RecordBatch:
     """The forests' links of whole groups, the arrays sorted by key."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -135,7 +154,8 @@ def _met(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int) -> p
     two = two[bits_apart(fps[two], fps[two + 1]) <= radius]
     a, b = [nodes[two]], [nodes[two + 1]]
     for s, n in zip(start[size > 2], size[size > 2], strict=True):
-        x, y = _forest(nodes[s : s + n], fps[s : s + n], radius)
+        forest = _large_forest if n > FOREST and radius <= 5 else _forest
+        x, y = forest(nodes[s : s + n], fps[s : s + n], radius)
         a.append(x)
         b.append(y)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -186,15 +206,17 @@ def fingerprint_components(
     rows = prints(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), shingle_print(shingle))
     rows = materialize(rows, "op7-prints")
     # Equal fingerprints are one node from here on, however many rows have them.
-    points = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    points = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     found = components(links(points.select(F.col("fp").alias("node"), "fp"), radius))
     rooted = points.join(found, points["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
     rooted = materialize(rooted, "op7-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    named = join_groups(rooted, materialize(least, "op7-least"), "root", "fps", ["component_id"], ["fp"])
+    # All empty texts have one fingerprint: the rows of such large groups are dealt by id.
+    named = materialize(named.select("fp", "n", "component_id"), "op7-named")
+    return join_groups(rows, named, "fp", "n", ["component_id"], ["id"]).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

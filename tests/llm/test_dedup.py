@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from compare import rows, views
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import exact_dedup, line_dedup, queries, simhash, suffix_dedup, suffix_sort
+from ledgerlens.llm.components import components
 from ledgerlens.llm.words import shingle_hashes, words_of
 
 DOCS = "doc_id long, text string, ID string, h string, recipe string"
@@ -204,6 +206,41 @@ def test_deep_shallow_sort():
 # --- SimHash
 
 
+def _joined(nodes, pairs):
+    top = {n: n for n in nodes}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("radius", [0, 2, 5])
+def test_large_groups_of_fingerprints_join_the_same(radius):
+    rng = np.random.default_rng(radius)
+    # Ten bits vary, so many of the group's fingerprints are near, and some are not.
+    fps = rng.choice(1 << 22, 700, replace=False).astype(np.int64)
+    fps = np.unique(np.where(rng.random(700) < 0.5, fps & 0x3FF, fps)) | np.int64(-(1 << 62))
+    nodes = np.arange(len(fps))
+    got = simhash._large_forest(nodes, fps, radius)
+    apart = simhash.bits_apart(fps[:, None], fps[None, :])
+    want = zip(*np.nonzero(np.triu(apart <= radius, 1)), strict=True)
+    assert (apart[got] <= radius).all()
+    assert _joined(nodes.tolist(), zip(*map(np.ndarray.tolist, got), strict=True)) == _joined(nodes.tolist(), [(int(a), int(b)) for a, b in want])
+
+
+def test_a_node_of_very_many_links(spark):
+    star = [(7, n) for n in range(100, 3000)] + [(2999, 3), (5000, 5001)]
+    got = components(spark.createDataFrame(star, "a long, b long")).collect()
+    want = {n: 3 for n in [*range(100, 3000), 7]} | {5001: 5000}
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 def brute_components(pairs, shingle=3, radius=2):
     prints = [simhash.fingerprint(shingle_hashes(words_of(t), shingle)) & (2**64 - 1) for _, t in pairs]
     root = list(range(len(pairs)))
