@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, join_checked, join_groups, materialize
 
 #: Fixed list: (verdict, host, path prefix); a rule fits its host and all subdomains.
 RULES = (
@@ -94,9 +94,10 @@ def _plain_rules(rules: DataFrame) -> DataFrame:
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls(url, tokens) with distinct urls -> (url, confidence) of those that some rule blocks."""
     posted = urls.select("url", "tokens", F.explode("tokens").alias("key"))
+    # A common token has very many URLs: as long as the rules are few they go to the URLs.
+    met = join_checked(posted, rules.select("key", "antecedent", "confidence"), ["key"], "inner", "op10-keyed")
     return (
-        posted.join(rules.select("key", "antecedent", "confidence"), "key")
-        .filter(F.forall("antecedent", lambda x: F.array_contains("tokens", x)))
+        met.filter(F.forall("antecedent", lambda x: F.array_contains("tokens", x)))
         .groupBy("url")
         .agg(F.max("confidence").alias("confidence"))
     )
@@ -130,11 +131,13 @@ def filter_urls(
     )
     labelled = rows.join(known, "id").select(tokens_of(host, path, F.col("url")).alias("tokens"), "block")
     rules = materialize(mine(labelled, min_support, min_confidence, least_rows), "op10-rules")
-    urls = rows.filter(F.col("url").isNotNull()).select("url").distinct()
+    # Each URL is judged once. The rows of a URL that very many pages have are dealt by id; null URLs have nothing to meet.
+    urls = materialize(rows.filter(F.col("url").isNotNull()).groupBy("url").agg(F.count("*").alias("n")), "op10-urls")
     blocked = blocked_urls(urls.select("url", tokens_of(host, path, F.col("url")).alias("tokens")), rules)
-    judged = rows.join(blocked, "url", "left").select(
-        "id", host.alias("host"), path.alias("path"), "confidence"
-    )
+    told = materialize(urls.join(blocked, "url", "left"), "op10-judged")
+    met = join_groups(rows.filter(F.col("url").isNotNull()), told, "url", "n", ["confidence"], ["id"])
+    judged = met.unionByName(rows.filter(F.col("url").isNull()).withColumn("confidence", F.lit(None).cast("double")))
+    judged = judged.select("id", host.alias("host"), path.alias("path"), "confidence")
     found = judged.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), fixed))
     return found.select(
         F.col("id").alias(id_col),
