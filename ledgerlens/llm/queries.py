@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, hard_negatives, language, line_dedup, mixing, secrets, simhash, suffix_dedup, url_filter, warc
+from . import decontam, exact_dedup, hard_negatives, language, line_dedup, mixing, secrets, simhash, spelling, suffix_dedup, url_filter, warc
 from .common import shared_dir, table
 
 
@@ -63,6 +63,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("confidence")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling": op11_spelling,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
