@@ -5,7 +5,8 @@ and each deletion, replacement and insertion over the symbols) meets the reduced
 one edit always meet, since an edit of letters is an edit of symbols or none. What meets is verified on the words themselves.
 
 A reduced form is a sum of one 64-bit number for each place and symbol, so a neighbour's form comes from sums over the
-parts before and after the edit. Equal sums of different forms only add candidates. Forms that very many words share
+parts before and after the edit. Equal sums of different forms only add candidates. Neighbours that are no word's form, which most
+are, go by a bitmap of the vocabulary's forms before they are shuffled. Forms that very many words share
 are met in a second join, over an alphabet in which every letter is its own symbol.
 """
 
@@ -28,11 +29,13 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 #: Every so manieth occurrence by hash loses a code point.
 ODDITY = 97
 LEAST_LENGTH, LEAST_COUNT, RATIO = 5, 3, 2
-SYMBOLS = 8
+SYMBOLS = 16
 #: Words of one reduced form from which they are met letter by letter.
 CROWD = 512
-#: Counts that a task holds before it hands them on, and forms that it makes at once.
-HELD_WORDS, HELD_FORMS = 200_000, 1 << 20
+#: Counts that a task holds before it hands them on, and symbols of words that it takes at once.
+HELD_WORDS, HELD_SYMBOLS = 200_000, 1 << 16
+#: Bits of a filter of forms are two to this power at most (32 MB).
+MOST_BITS = 28
 LETTERS = [chr(c) for c in (*range(0x61, 0x7B), *range(0x41, 0x5B), *range(0xC0, 0x100))]
 
 
@@ -115,52 +118,87 @@ def neighbourhood(rows: np.ndarray, signs: np.ndarray) -> Iterator[np.ndarray]:
         yield np.concatenate((whole - here + at[:, :-1], before + at + right), 1)
 
 
-def _by_length(b: pa.RecordBatch, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers, rows of symbols) of the batch's words, those of one length together, at most HELD_FORMS symbols at once."""
-    ids = b.column("wid").to_numpy()
-    words = b.column("word").to_pylist()
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for size in np.unique(sizes).tolist():
-        where = np.flatnonzero(sizes == size)
-        step = max(1, HELD_FORMS // (size + 1))
-        for k in range(0, len(where), step):
-            some = where[k : k + step]
-            points = np.frombuffer("".join(words[w] for w in some.tolist()).encode("utf-32-le"), "<u4")
-            yield ids[some], reduced(points.reshape(len(some), size), symbols)
+class Filter:
+    """A bitmap of the forms that some words have: a form that is not in it is nobody's. Of a size that is bounded, whatever
+    the number of words: beyond it more forms pass in vain."""
 
+    def __init__(self, own: DataFrame, most_bits: int = MOST_BITS) -> None:
+        """own(form): a written table. What comes to the driver is at most the bitmap."""
+        self.bits = min(max(own.count() * 64, 1 << 16).bit_length(), most_bits)
+        top = F.shiftrightunsigned("form", 64 - self.bits)
+        slots = own.groupBy(F.shiftrightunsigned(top, 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), top.bitwiseAND(63).cast("int"))).alias("set"))
+        found = slots.toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[found.column("slot").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
+
+    def __call__(self, forms: np.ndarray) -> np.ndarray:
+        top = forms >> np.uint64(64 - self.bits)
+        return (self.words[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(words, rows of symbols): words of one length together, about HELD_SYMBOLS symbols at once."""
+    held: dict[int, list[str]] = {}
+
+    def out(size: int) -> tuple[list[str], np.ndarray]:
+        words = held.pop(size)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        return words, reduced(points.reshape(len(words), size), symbols)
 
-def _forms(batches: Iterator[pa.RecordBatch], symbols: int, around: bool) -> Iterator[pa.RecordBatch]:
-    """wid, word -> (form, wid): the word's own form, or all within one edit."""
     for b in batches:
-        for ids, rows in _by_length(b, symbols):
-            for forms in neighbourhood(rows, alphabet(symbols)) if around else [form(rows)[:, None]]:
-                wids = np.repeat(ids, forms.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(forms.reshape(-1).view(np.int64)), pa.array(wids)], ["form", "wid"])
+        for word in b.column("word").to_pylist():
+            words = held.setdefault(len(word), [])
+            words.append(word)
+            if len(words) * len(word) > HELD_SYMBOLS:
+                yield out(len(word))
+    for size in list(held):
+        yield out(size)
+
+
+def _own(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.RecordBatch]:
+    """word -> (form, word)."""
+    for words, rows in _by_length(batches, symbols):
+        yield pa.RecordBatch.from_arrays([pa.array(form(rows).view(np.int64)), pa.array(words)], ["form", "word"])
+
+
+def _around(batches: Iterator[pa.RecordBatch], symbols: int, taken: Filter) -> Iterator[pa.RecordBatch]:
+    """word -> (form, word): the forms within one edit that somebody may have, each once."""
+    for words, rows in _by_length(batches, symbols):
+        met = []
+        for forms in neighbourhood(rows, alphabet(symbols)):
+            row, column = np.nonzero(taken(forms))
+            met.append(np.stack((forms[row, column], row.astype(np.uint64))))
+        pairs = np.concatenate(met, 1)
+        pairs = pairs[:, np.lexsort(pairs)]
+        new = np.ones(pairs.shape[1], bool)
+        new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(0)
+        forms, row = pairs[:, new]
+        yield pa.RecordBatch.from_arrays([pa.array(forms.view(np.int64)), pa.array(words).take(pa.array(row))], ["form", "word"])
 
 
 def near_words(words: DataFrame, symbols: int = SYMBOLS, crowd: int = CROWD) -> DataFrame:
-    """words(wid long, word, n): a written table -> (a, b): numbers of words at exactly one edit, both ways round."""
-    pick = words.select("wid", "word")
-    met = lambda around, k, some=pick: some.mapInArrow(partial(_forms, symbols=k, around=around), "form long, wid long")
-    own = materialize(met(False, symbols), "op11-forms")
+    """words(word, ...): a written table -> (a, b): words at exactly one edit, both ways round."""
+    pick = words.select("word")
+    row = "form long, word string"
+    own = materialize(pick.mapInArrow(partial(_own, symbols=symbols), row), "op11-forms")
     busy = materialize(own.groupBy("form").count().filter(F.col("count") > crowd).select("form"), "op11-busy")
-    around = met(True, symbols).distinct()
+    around = pick.mapInArrow(partial(_around, symbols=symbols, taken=Filter(own)), row)
+
+    def met(sources: DataFrame, targets: DataFrame) -> DataFrame:
+        """Pairs of one form are verified where they meet, and only the near ones move on."""
+        size = F.abs(F.char_length("a") - F.char_length("b"))
+        near = (size <= 1) & (F.levenshtein("a", "b", 1) == 1)
+        return sources.toDF("form", "a").join(targets.toDF("form", "b").hint("shuffle_hash"), "form").filter(near).select("a", "b")
+
     if busy.isEmpty():
-        pairs = around.join(own.withColumnRenamed("wid", "b"), "form").select(F.col("wid").alias("a"), "b")
-    else:
-        around = materialize(around, "op11-around")
-        calm = join_checked(own, busy, ["form"], "left_anti", "op11-busy")
-        pairs = around.join(calm.withColumnRenamed("wid", "b"), "form").select(F.col("wid").alias("a"), "b")
-        # Words in or next to a busy form, letter by letter: a form is then shared by equal words only.
-        inside = join_checked(own, busy, ["form"], "left_semi", "op11-busy").select("wid")
-        beside = join_checked(around, busy, ["form"], "left_semi", "op11-busy").select("wid").distinct()
-        targets = met(False, 0, pick.join(inside, "wid", "left_semi")).withColumnRenamed("wid", "b")
-        sources = met(True, 0, pick.join(beside, "wid", "left_semi")).distinct()
-        pairs = pairs.union(sources.join(targets, "form").select(F.col("wid").alias("a"), "b"))
-    pairs = pairs.filter("a <> b").distinct()
-    named = pairs.join(pick.toDF("a", "wa"), "a").join(pick.toDF("b", "wb"), "b")
-    size = F.abs(F.char_length("wa") - F.char_length("wb"))
-    return named.filter((size <= 1) & (F.levenshtein("wa", "wb", 1) == 1)).select("a", "b")
+        return met(around, own).distinct()
+    around = materialize(around, "op11-around")
+    pairs = met(around, join_checked(own, busy, ["form"], "left_anti", "op11-busy"))
+    # Words in or next to a busy form, letter by letter: a form is then shared by equal words only.
+    inside = join_checked(own, busy, ["form"], "left_semi", "op11-busy").select("word")
+    beside = join_checked(around, busy, ["form"], "left_semi", "op11-busy").select("word").distinct()
+    exact = materialize(inside.mapInArrow(partial(_own, symbols=0), row), "op11-letters")
+    return pairs.union(met(beside.mapInArrow(partial(_around, symbols=0, taken=Filter(exact)), row), exact)).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -184,12 +222,12 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sy
     times its own; else null. Null and empty texts have no words; repeated rows count each time; words of any
     length take part; other columns are ignored; an empty table gives no rows.
     """
-    counted = vocabulary(docs, id_col, text_col)
-    words = materialize(counted.select(F.monotonically_increasing_id().alias("wid"), "word", "n"), "op11-words")
+    words = materialize(vocabulary(docs, id_col, text_col), "op11-words")
     pairs = near_words(words, symbols, crowd)
     best = F.min_by(F.struct("word", "n"), F.struct((-F.col("n")).alias("less"), F.col("word"))).alias("top")
-    near = pairs.join(words.withColumnRenamed("wid", "b"), "b").groupBy("a").agg(F.count("*").alias("n_near"), best)
-    rows = words.join(near.withColumnRenamed("a", "wid"), "wid", "left")
+    near = pairs.join(words.withColumnRenamed("word", "b"), "b").select("a", F.col("b").alias("word"), "n")
+    near = near.groupBy("a").agg(F.count("*").alias("n_near"), best)
+    rows = words.join(near.withColumnRenamed("a", "word"), "word", "left")
     good = F.col("top.n") >= RATIO * F.col("n")
     rows = materialize(
         rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
