@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, hard_negatives, language, line_dedup, mixing, secrets, simhash, spelling, suffix_dedup, url_filter, warc
+from . import decontam, exact_dedup, hard_negatives, language, line_dedup, mixing, passage_dedup, secrets, simhash, spelling, suffix_dedup, url_filter, warc
 from .common import shared_dir, table
 
 
@@ -67,6 +67,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passage_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_spelling": op11_spelling,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -93,5 +99,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_substring_dedup": passage_dedup.ORACLE_SQL,
     "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
