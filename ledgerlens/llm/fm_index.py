@@ -44,7 +44,7 @@ class Wavelet:
 
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
     rank = np.empty(len(key), np.int64)
     rank[order] = new
@@ -62,15 +62,14 @@ class FMIndex:
         inside = np.ones(n, bool)
         inside[ends] = False
         text[inside] = flat
-        first = text + len(sizes)
-        first[ends] = np.arange(len(sizes))
-        rank, order, done = _ranks(first)
+        rank = text + len(sizes)
+        rank[ends] = np.arange(len(sizes))
         self._orders = {1: rank}
-        step = 1
-        while not done or step <= STEPS[-1]:
+        step, done, top = 1, False, symbols + len(sizes) + 2
+        while not done or step < STEPS[-1]:
             after = np.zeros(n, np.int64)
             after[: max(n - step, 0)] = rank[step:] + 1
-            rank, order, done = _ranks(rank * (n + 1) + after)
+            rank, order, done = _ranks(rank * max(top, n + 1) + after)
             step *= 2
             if step in STEPS:
                 self._orders[step] = rank

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, join_groups, materialize, text_batches
+from .common import join_checked, join_groups, materialize, release, text_batches
 from .fm_index import FMIndex
 
 LENGTH, GRAM = 20, 4
@@ -225,6 +225,7 @@ def duplicate_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     found = materialize(base.mapInArrow(partial(_find, length=length, gram=gram), _RUN), "op12-found")
     shared = materialize(found.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "op12-grams")
     runs = materialize(join_groups(found, shared, "key", "many", [], ["id", "start"]), "op12-runs")
+    release(found)  # the longest of these tables
     first = F.min(F.struct("id", "t", "start")).alias("first")
     kinds = runs.groupBy("key", "r1", "r2").agg(first, F.count("*").alias("occ"), F.first("n").alias("n"))
     kinds = materialize(kinds.select("key", "r1", "r2", "first.*", "occ", "n"), "op12-kinds")
