@@ -13,6 +13,8 @@ import numpy as np
 #: Powers of two whose orders are kept; common prefixes are known up to the sum of these.
 STEPS = (1, 2, 4, 8, 16)
 DEEPEST = sum(STEPS)
+#: For each place in a word, the bits before it.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Wavelet:
@@ -25,17 +27,16 @@ class Wavelet:
             bit = ((sequence >> level) & 1).astype(np.uint8)
             packed = np.packbits(np.concatenate((bit, np.zeros(64 + -len(bit) % 64, np.uint8))), bitorder="little").view("<u8")
             self.words.append(packed)
-            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)))[:-1])
+            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)))[:-1].astype(np.int32))
             self.zeros.append(len(bit) - int(bit.sum()))
             sequence = np.concatenate((sequence[bit == 0], sequence[bit == 1]))
-        self.begin = self._walk(np.arange(symbols), np.zeros(symbols, np.int64))
+        self.begin = self._walk(np.arange(symbols, dtype=np.int32), np.zeros(symbols, np.int32))
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, words, counts, zeros in zip(self.levels, self.words, self.counts, self.zeros, strict=True):
             spot = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[spot] + np.bitwise_count(words[spot] & below)
-            at = np.where((symbol >> level) & 1, zeros + ones, at - ones)
+            ones = counts.take(spot) + np.bitwise_count(words.take(spot) & BELOW.take(at & 63))
+            at = np.where((symbol & (1 << level)) > 0, zeros + ones, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ class FMIndex:
         self.suffixes = order
         self.wavelet = Wavelet(text[order - 1], symbols + 1)
         self.smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols + 1))))
-        self._starts: dict[int, np.ndarray] = {}
+        self._groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @cached_property
     def common(self) -> np.ndarray:
@@ -91,19 +92,21 @@ class FMIndex:
             shared[1:] = have + np.where(inside & (rank[a] == rank[b]), step, 0)
         return shared
 
-    def starts(self, depth: int) -> np.ndarray:
-        """Places in the order where a new prefix of ``depth`` symbols begins."""
-        if depth not in self._starts:
-            self._starts[depth] = np.flatnonzero(self.common < depth)
-        return self._starts[depth]
+    def groups(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order where a new prefix of ``depth`` symbols begins, with the end; and each place's prefix."""
+        if depth not in self._groups:
+            new = self.common < depth
+            self._groups[depth] = np.append(np.flatnonzero(new), self.length), np.cumsum(new, dtype=np.int32) - 1
+        return self._groups[depth]
 
     def widened(self, low: np.ndarray, high: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the first ``depth`` symbols of what [low, high) stands for."""
-        begins = np.append(self.starts(depth), self.length)
-        return begins[np.searchsorted(begins, low, "right") - 1], begins[np.searchsorted(begins, high - 1, "right")]
+        begins, number = self.groups(depth)
+        return begins[number[low]], begins[number[high - 1] + 1]
 
     def _extended(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both = self.wavelet.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high))) + np.tile(self.smaller[symbol], 2)
+        twice = np.concatenate((symbol, symbol)).astype(np.int32)
+        both = self.wavelet.rank(twice, np.concatenate((low, high)).astype(np.int32)) + self.smaller[twice]
         return both[: len(low)], both[len(low) :]
 
     def matching_statistics(self, flat: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +131,8 @@ class FMIndex:
                 on = open_[fits]
                 low[on], high[on], have[on] = a[fits], b[fits], have[on] + 1
                 open_ = open_[~fits]
+                if not len(open_):
+                    break
                 none = open_[(have[open_] == 0) | (flat[place[open_]] == 0)]
                 low[none], high[none], have[none] = 0, self.length, 0
                 open_ = np.setdiff1d(open_, none, assume_unique=True)
@@ -146,5 +151,5 @@ class FMIndex:
 
     def earliest(self, low: np.ndarray, depth: int) -> np.ndarray:
         """The first place in the text of the prefix of ``depth`` symbols whose interval begins at ``low``."""
-        begins = self.starts(depth)
-        return np.minimum.reduceat(self.suffixes, begins)[np.searchsorted(begins, low, "right") - 1]
+        begins, number = self.groups(depth)
+        return np.minimum.reduceat(self.suffixes, begins[:-1])[number[low]]
