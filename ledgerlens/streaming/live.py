@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.merge import merge_lanes
 from ..operators.rules import Rule, alerts, matched_rules
 from ..sources import evidence, telemetry
 
@@ -58,10 +59,9 @@ def touched(added_facts: DataFrame, all_facts: DataFrame, key: str) -> DataFrame
 
 
 def merged_stream(facts: DataFrame) -> DataFrame:
-    """The two lanes' merge as a streaming aggregation in update mode: either lane may come first."""
-    late = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    keep = [c for c in facts.columns if c not in ("id", "tool_use_id", "bit")]
-    return facts.groupBy("tool_use_id").agg(*map(late, keep), F.bit_or("bit").alias("provenance"), F.min("id").alias("row_seq"))
+    """The two lanes' merge as a streaming aggregation in update mode: either lane may come first, and the row is the batch
+    merge's of the facts so far. What a call takes over from its session and agent is in streaming.state."""
+    return merge_lanes(facts)
 
 
 def alerting(sink: str, rules: list[Rule]) -> Callable[[DataFrame, int], None]:

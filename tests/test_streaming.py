@@ -52,8 +52,9 @@ def test_observed_metrics(spark, tmp_path):
 
 def test_merge_and_histogram_streams(spark, tmp_path):
     src = str(tmp_path / "src")
-    schema = "id long, tool_use_id string, bit int, called_at long, success boolean, decision string"
-    spark.createDataFrame([(1, "t", 1, 0, True, None), (2, "t", 2, None, None, "accept"), (3, "u", 2, 3_700_000, False, "reject")], schema).write.parquet(src)
+    schema = "id long, tool_use_id string, bit int, called_at long, success boolean, decision string, input_json string, input_summary string, target_path string"
+    none = (None, None, None)
+    spark.createDataFrame([(1, "t", 1, 0, True, None, *none), (2, "t", 2, None, None, "accept", *none), (3, "u", 2, 3_700_000, False, "reject", *none)], schema).write.parquet(src)
     stream = spark.readStream.schema(schema).parquet(src)
     q = live.merged_stream(stream).writeStream.format("memory").queryName("merged").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
