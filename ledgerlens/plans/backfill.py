@@ -18,8 +18,7 @@ def backfill(spark: SparkSession, root: str, store: str, now: int, excluded: tup
     if create:
         spark.createDataFrame([], RAW_EVENT).write.parquet(store)
     stored = spark.read.schema(RAW_EVENT).parquet(store)
-    found = transcripts.files(spark, root, excluded)
-    lines = transcripts.resume(transcripts.lines(found), found, stored)
+    lines = transcripts.ranged_lines(spark, root, excluded, stored)
     added = evidence.append(stored, lines, "transcript", now)
     # Sealing goes on from the stored heads: only the last sealed row of each chain takes part.
     heads = stored.join(chain.heads(stored).select("lane", "source_ref", "head"), ["lane", "source_ref"]).filter("chain_sha256 = head").drop("head")

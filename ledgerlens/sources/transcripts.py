@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranges import RANGE_BYTES, LineSource
+
 
 def encoded(path: str) -> str:
     return path.replace("/", "-")
@@ -50,6 +54,19 @@ def resume(all_lines: DataFrame, lengths: DataFrame, stored: DataFrame) -> DataF
     return all_lines.join(begin, "source_ref").filter(F.col("source_offset") >= F.col("begin")).drop("begin")
 
 
+def ranged_lines(spark: SparkSession, root: str, excluded: tuple[str, ...] = (), stored: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(source_ref, source_offset, body) of the files below ``root``, read in byte ranges; with ``stored`` evidence only from each
+    file's last stored offset on, as resume() does, without reading what is before. The driver lists the files, and so
+    may hold one offset for each."""
+    spark.dataSource.register(LineSource)
+    begin = {}
+    if stored is not None:
+        last = stored.filter("lane = 'transcript' AND source_offset IS NOT NULL").groupBy("source_ref").agg(F.max("source_offset").alias("last"))
+        begin = {r["source_ref"]: r["last"] for r in last.collect()}
+    reader = spark.read.format("byte_ranges").option("rangeBytes", range_bytes).option("begin", json.dumps(begin))
+    return reader.option("excluded", json.dumps([encoded(e) for e in excluded])).load(root)
+
+
 def line_number(records: DataFrame) -> DataFrame:
     """Adds line_no: the place of each evidence row among its source's rows."""
     w = W.partitionBy("source_ref").orderBy("source_offset")

@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from ..operators.merge import merge_lanes
 from ..operators.rules import Rule, alerts, matched_rules
 from ..sources import evidence, telemetry
+from ..sources.ranges import RANGE_BYTES, LineSource
 
 
 def transcript_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
     """Lines of closed transcript segments that land below ``root``. A file stream reads a file once: growing files are
-    landed in closed segments, or read by the batch resume in sources.transcripts."""
+    landed in closed segments, or read by tail_stream()."""
     rows = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_trigger).text(root)
     return rows.select(F.col("_metadata.file_path").alias("source_ref"), F.col("value").alias("body")).filter(F.trim("body") != "")
 
 
+def tail_stream(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines of files that grow below ``root``, with their byte offsets: each trigger reads what has been completed since."""
+    spark.dataSource.register(LineSource)
+    return spark.readStream.format("byte_ranges").option("rangeBytes", range_bytes).load(root)
+
+
 def telemetry_stream(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
     rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(landing)
     return telemetry.records(rows.select(F.col("_metadata.file_path").alias("source_ref"), F.col("value").alias("body")))
@@ -36,7 +43,7 @@ def appending(store: str, lane: str, clock: Callable[[], int], after: Callable[[
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = spark.read.parquet(store)
-        offsets = batch.withColumn("source_offset", F.lit(None).cast("long"))
+        offsets = batch if "source_offset" in batch.columns else batch.withColumn("source_offset", F.lit(None).cast("long"))
         added = evidence.append(stored, offsets, lane, clock()).persist()
         added.write.mode("append").parquet(store)
         if after is not None:
