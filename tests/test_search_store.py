@@ -54,7 +54,7 @@ def test_a_search_reads_its_buckets(spark):
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't tell
     plan = store.find(spark, "pruned", "word7 word8")._jdf.queryExecution().toString()
     read = [int(n) for n in re.findall(r"SelectedBucketsCount: (\d+) out of 16", plan)]
-    assert read.count(16) <= 4 and min(read) <= 2  # tombstones are read whole, postings by their tokens
+    assert set(read) <= {1, 2, 16} and 2 * read.count(16) <= len(read)  # tombstones are read whole, postings by their tokens
     spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     with pytest.raises(ValueError, match="no index"):
         store.generation(spark, "nowhere")
