@@ -124,3 +124,16 @@ def events_since(raw: DataFrame, ms: int) -> DataFrame:
 def sessions_list(sessions: DataFrame, limit: int | None = None) -> DataFrame:
     out = sessions.orderBy(F.desc_nulls_last("last_seen"), "session_id")
     return out.limit(limit) if limit else out
+
+
+def size_words(n: Column) -> Column:
+    """A number of bytes in the units that a person reads; halves go to the even digit."""
+    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for power, unit, digits in ((1, "KiB", 1), (2, "MiB", 1)):
+        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.{digits}f {unit}", F.bround(n / 1024**power, digits)))
+    return out.otherwise(F.format_string("%.2f GiB", F.bround(n / 1024**3, 2)))
+
+
+def start_of_day(ms: Column, offset_ms: int = 0) -> Column:
+    """The last local midnight at or before a time, for a zone so far east of UTC."""
+    return ms - F.pmod(ms + offset_ms, F.lit(DAY))

@@ -227,9 +227,9 @@ def retries(calls: DataFrame) -> DataFrame:
 
 
 def enriched(calls: DataFrame, sessions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Calls with session_cwd, project_path, mode_changed, is_first_in_session and is_retry. First calls come from a
+    """Calls with session_cwd, project_path (and git_branch if the sessions have it), mode_changed, is_first_in_session and is_retry. First calls come from a
     grouped minimum that is combined before the shuffle, so a session with very many calls is no window partition."""
-    s = sessions.select("session_id", F.col("cwd").alias("session_cwd"), "project_path")
+    s = sessions.select("session_id", F.col("cwd").alias("session_cwd"), "project_path", *[c for c in ("git_branch",) if c in sessions.columns])
     changed = changes.filter("from_mode IS NOT NULL").select("session_id").distinct().withColumn("mode_changed", F.lit(True))
     first = (
         calls.filter("session_id IS NOT NULL")

@@ -19,7 +19,7 @@ def timeline_rows(frame: DataFrame, lens: Lens, changes: DataFrame | None = None
     if lens.rules is not None:
         found = rules.matched_rules(found, list(lens.rules), set(lens.dismissed))
     if lens.filter.text:
-        found = found.withColumn("snippet", F.coalesce(*[search.snippet(F.col(f), lens.filter.text) for f in reversed(search.CALL_FIELDS)]))
+        found = found.withColumn("snippet", F.coalesce(*[search.fragment(F.col(f), lens.filter.text) for f in reversed(search.CALL_FIELDS)]))
     if changes is not None:
         sums = changes.groupBy("tool_use_id").agg(F.sum("lines_added").alias("lines_added"), F.sum("lines_removed").alias("lines_removed"))
         found = found.join(sums, "tool_use_id", "left")

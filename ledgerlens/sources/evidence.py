@@ -64,3 +64,19 @@ def source_record(stored: DataFrame, message_uuid: str | None, tool_use_id: str)
     by_uuid = F.col("body").contains(f'"uuid":"{message_uuid}"') if message_uuid else F.lit(False)
     found = rows.filter(by_uuid | F.col("body").contains(tool_use_id)).withColumn("rank", F.when(by_uuid, 0).otherwise(1))
     return found.orderBy("rank", "id").limit(1).drop("rank")
+
+
+def source_records(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """wanted(tool_use_id, message_uuid) -> (tool_use_id, evidence_id) for all calls at once: the lowest transcript row with
+    the message's uuid, else the lowest that has the call's id as a whole JSON text; null if none. Each body is read
+    once; of its texts only those that somebody asks for are shuffled."""
+    rows = stored.filter("lane = 'transcript'")
+    uuids = F.transform(F.regexp_extract_all("body", F.lit('"uuid":"([^"]*)"'), F.lit(1)), lambda u: F.struct(u.alias("key"), F.lit(0).alias("rank")))
+    texts = F.transform(F.regexp_extract_all("body", F.lit(r'"([^"\\]+)"'), F.lit(1)), lambda t: F.struct(t.alias("key"), F.lit(1).alias("rank")))
+    keys = rows.select("id", F.explode(F.array_distinct(F.concat(uuids, texts))).alias("k")).select("id", "k.*")
+    asks = wanted.select("tool_use_id", F.explode(F.array(
+        F.struct(F.col("message_uuid").alias("key"), F.lit(0).alias("rank")), F.struct(F.col("tool_use_id").alias("key"), F.lit(1).alias("rank")),
+    )).alias("k")).select("tool_use_id", "k.*").filter("key IS NOT NULL")
+    least = keys.join(asks.select("key", "rank").distinct(), ["key", "rank"], "left_semi").groupBy("key", "rank").agg(F.min("id").alias("id"))
+    best = asks.join(least, ["key", "rank"]).groupBy("tool_use_id").agg(F.min_by("id", "rank").alias("evidence_id"))
+    return wanted.select("tool_use_id").join(best, "tool_use_id", "left")

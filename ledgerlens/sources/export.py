@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators.verify import OTLP, TRANSCRIPT, has
 
@@ -39,12 +40,12 @@ def json_array(calls: DataFrame) -> DataFrame:
     return calls.agg(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["v"]), ","), F.lit("]")).alias("value"))
 
 
-def csv_lines(calls: DataFrame) -> DataFrame:
+def csv_lines(calls: DataFrame, *keep: str) -> DataFrame:
     """Texts always quoted, nulls too, and quotes doubled; numbers and booleans bare, nulls empty."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     value = lambda c: lanes() if c == "lanes" else F.col(c)
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in _BARE else quote(value(c)) for c in CSV_COLUMNS]
-    return calls.select(F.concat_ws(",", *cells).alias("value"))
+    return calls.select(*keep, F.concat_ws(",", *cells).alias("value"))
 
 
 def md_cell(text: Column) -> Column:
@@ -52,11 +53,37 @@ def md_cell(text: Column) -> Column:
     return F.coalesce(F.translate(escaped, "\r\n", "  "), F.lit(""))
 
 
-def markdown_lines(calls: DataFrame) -> DataFrame:
+def markdown_lines(calls: DataFrame, *keep: str) -> DataFrame:
     took = F.concat(F.col("duration_ms").cast("string"), F.lit(" ms"))
     told = F.coalesce("input_summary", "target_path")
     cells = (stamp(F.col("called_at")), md_cell(F.col("tool_name")), outcome(), took, md_cell(F.col("decision_source")), lanes(), md_cell(told))
-    return calls.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |")).alias("value"))
+    return calls.select(*keep, F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |")).alias("value"))
+
+
+# Fixed value: what a Markdown export says about lanes.
+MD_NOTE = (
+    "calls. **Lanes** is how completely each call was observed: `both` is the full record; `transcript` means no decision, duration or cost "
+    "was ever recorded for it; `otel` means no transcript body was written."
+)
+
+
+def file_lines(calls: DataFrame, kind: str, limit: int, title: str = "# export", now: int = 0) -> DataFrame:
+    """(line, value) of an export file, ``csv`` or ``markdown``: what stands before the rows has lines up to 0, the newest
+    ``limit`` calls follow in order. The calls are cut to the limit before they are numbered, so one task gets no more."""
+    newest = calls.orderBy(F.desc_nulls_last("called_at"), F.desc("row_seq")).limit(limit)
+    order = W.orderBy(F.desc_nulls_last("called_at"), F.desc("row_seq"))
+    numbered = newest.withColumn("line", F.row_number().over(order).cast("long"))
+    lines = {"csv": csv_lines, "markdown": markdown_lines}[kind]
+    rows = lines(numbered, "line")
+    spark = calls.sparkSession
+    fixed = lambda values: spark.createDataFrame([(k - len(values) + 1, v) for k, v in enumerate(values)], "line long, value string")
+    if kind == "csv":
+        return fixed([",".join(CSV_COLUMNS)]).unionByName(rows)
+    said = F.lit(now).cast("long")
+    head = fixed([title, "", "", "", *MD_HEAD]).withColumn("value", F.when(F.col("line") == -3, F.concat(F.lit("Exported "), stamp(said), F.lit("."))).otherwise(F.col("value")))
+    note = numbered.agg(F.count("*").alias("n")).select((F.col("n") + 2).alias("line"), F.concat(F.col("n").cast("string"), F.lit(f" {MD_NOTE}")).alias("value"))
+    blank = note.select((F.col("line") - 1).alias("line"), F.lit("").alias("value"))
+    return head.unionByName(rows).unionByName(blank).unionByName(note)
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
