@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import search, search_store
 from ..operators import metrics, retention, rule_ledger, rules, segments
 from ..operators.filters import CallFilter, Lens
-from ..sources import evidence, export, snapshots
+from ..sources import evidence, export, ingest, snapshots
 from ..staging import materialize, shared_dir
 from . import catalog, lanes, ledgers, reads
 from . import testviews as tv
@@ -183,3 +183,15 @@ def today(spark: SparkSession, sf: str) -> DataFrame:
     calls = tv.calls(spark, sf)
     since = calls.agg(metrics.start_of_day(F.max("called_at"), metrics.HOUR).alias("since"))
     return calls.join(F.broadcast(since), F.col("called_at") >= F.col("since")).agg(F.count("*").alias("calls"), F.first("since").alias("since"))
+
+
+@query("ingested_batches", "SELECT sha256(text) AS content_sha256, 'otlp-' || min(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END) AS batch FROM documents GROUP BY 1")
+def ingested_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents by the batch that brought them: half of the documents, then all of them, twice."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("source").alias("source_ref"), F.col("doc_id").alias("source_offset"), F.col("text").alias("body"))
+    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    ingest.create(spark, path)
+    ingest.ingest(docs.filter("doc_id % 2 = 0"), path, "otlp", 1, 0, digits=1)
+    for _ in range(2):
+        ingest.ingest(docs, path, "otlp", 2, 1, digits=1)
+    return ingest.stored(spark, path).select("content_sha256", "batch")

@@ -71,11 +71,17 @@ def merged_stream(facts: DataFrame) -> DataFrame:
     return merge_lanes(facts)
 
 
+#: Ids that one notification holds at most.
+NOTICE_IDS = 200
+
+
 def alerting(sink: str, rules: list[Rule]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over enriched calls: appends what to notify about."""
+    """A foreachBatch function over enriched calls: writes what to notify about to a folder of the batch's own, in files of at
+    most NOTICE_IDS rows. A replay overwrites that folder, so a batch's alerts are there once."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        alerts(matched_rules(batch, rules), rules).write.mode("append").parquet(sink)
+        told = alerts(matched_rules(batch, rules), rules).withColumn("batch", F.lit(batch_id))
+        told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", NOTICE_IDS).partitionBy("batch").parquet(sink)
 
     return run
 

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import rules
+from ledgerlens.sources import ingest
 from ledgerlens.streaming import live
 
 STORE = "id long, lane string, source_ref string, source_offset long, content_sha256 string, ingested_at long, body string, chain_sha256 string"
@@ -69,9 +70,31 @@ def test_alert_sink_touched_and_carried(spark, tmp_path):
     from test_operators import frame
 
     enriched, calls = frame(spark, [{"decision": "reject"}, {"tool_name": "Read", "target_path": "/x/.env"}, {}])
-    live.alerting(str(tmp_path / "alerts"), rules.load_rules())(enriched, 0)
+    for batch in (0, 1, 1):  # the second one is replayed
+        live.alerting(str(tmp_path / "alerts"), rules.load_rules())(enriched.filter(f"(row_seq = 1) = ({batch} = 0)"), batch)
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 2
     assert live.touched(calls.filter("row_seq = 1"), calls, "tool_use_id").count() == 1
     before = spark.createDataFrame([("s", "plan")], "session_id string, mode string")
     seen = spark.createDataFrame([(1, "s", "default"), (2, "z", "auto")], "id long, session_id string, mode string")
     assert sorted(tuple(r) for r in live.carried_modes(seen, before).collect()) == [("s", "default"), ("z", "auto")]
+
+
+def test_ingest_replays_to_the_same_rows(spark, tmp_path):
+    landing, path, seen = tmp_path / "in", str(tmp_path / "store"), []
+    landing.mkdir()
+    ingest.create(spark, path)
+    write = ingest.ingesting(path, "transcript", lambda: 5, lambda rows, i: seen.append((i, sorted(r["body"] for r in rows.collect()))))
+    (landing / "a.jsonl").write_text('{"a":1}\n{"a":2}\n{"a":2}\n')
+    run(live.transcript_stream(spark, str(landing)), str(tmp_path / "c"), write)
+    batch = spark.createDataFrame([("f", '{"a":2}'), ("f", '{"a":3}'), ("g", '{"a":3}')], "source_ref string, body string")
+    before = None
+    for _ in range(2):
+        write(batch, 1)
+        rows = sorted((r["id"], r["body"]) for r in ingest.stored(spark, path).collect())
+        assert before in (None, rows)
+        before = rows
+    assert [b for _, b in before] == ['{"a":1}', '{"a":2}', '{"a":3}'] and [i for i, _ in before] == [1, 2, 3]
+    assert seen[-1] == seen[-2] == (1, ['{"a":3}'])
+    plan = ingest.digests(spark, path, ["ab", "cd"])._jdf.queryExecution().toString()
+    assert "prefix" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert ingest.ingest(batch.limit(0), path, "otlp", 6, 2).count() == 0
