@@ -20,10 +20,10 @@ def transcript_stream(spark: SparkSession, root: str, files_per_trigger: int = 1
     return rows.select(F.col("_metadata.file_path").alias("source_ref"), F.col("value").alias("body")).filter(F.trim("body") != "")
 
 
-def tail_stream(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def tail_stream(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES, suffix: str = ".jsonl") -> DataFrame:
     """Lines of files that grow below ``root``, with their byte offsets: each trigger reads what has been completed since."""
     spark.dataSource.register(LineSource)
-    return spark.readStream.format("byte_ranges").option("rangeBytes", range_bytes).load(root)
+    return spark.readStream.format("byte_ranges").option("rangeBytes", range_bytes).option("suffix", suffix).load(root)
 
 
 def telemetry_stream(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
