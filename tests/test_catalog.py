@@ -3,7 +3,7 @@
 import pytest
 from compare import rows, views
 
-from ledgerlens.plans import catalog, lanes, ledgers, lives, upkeep  # noqa: F401
+from ledgerlens.plans import catalog, lanes, ledgers, lives, more, upkeep  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
