@@ -34,7 +34,7 @@ PIECE, PLACE_BITS = 1 << 17, 20
 #: Different runs of a gram from which it is dealt window by window.
 HOT = 4096
 #: Words of a shard, unless one gram has more.
-SHARD = 1 << 18
+SHARD = 1 << 16
 NULL_ID = -(1 << 63)
 
 Arrays = list[np.ndarray]
