@@ -97,6 +97,16 @@ def mode_at_record(records: DataFrame) -> DataFrame:
     return records.withColumn("mode_now", F.when(F.col("session_id").isNotNull(), F.last("mode", ignorenulls=True).over(w)))
 
 
+def mode_at_use(seen: DataFrame, uses: DataFrame) -> DataFrame:
+    """seen(id, session_id, mode), uses(id, session_id, tool_use_id) -> facts (id, tool_use_id, bit, permission_mode): the last
+    mode that the session's records up to the call's own name. Calls without one have no such fact."""
+    marks = seen.filter("session_id IS NOT NULL AND mode IS NOT NULL").select("session_id", "id", F.lit(0).alias("is_use"), F.lit(None).cast("string").alias("tool_use_id"), "mode")
+    asked = uses.filter("session_id IS NOT NULL").select("session_id", "id", F.lit(1).alias("is_use"), "tool_use_id", F.lit(None).cast("string").alias("mode"))
+    w = W.partitionBy("session_id").orderBy("id", "is_use").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = marks.unionByName(asked).withColumn("permission_mode", F.last("mode", ignorenulls=True).over(w))
+    return found.filter("is_use = 1 AND permission_mode IS NOT NULL").select("id", "tool_use_id", F.lit(1).alias("bit"), "permission_mode")
+
+
 def last_known_mode(changes: DataFrame, calls: DataFrame) -> DataFrame:
     """(session_id, mode): the newest change's, else the newest call's."""
     change = changes.filter("to_mode IS NOT NULL").groupBy("session_id").agg(F.max_by("to_mode", F.struct("ts", "id")).alias("a"))

@@ -53,40 +53,55 @@ def transcript_facts(records: DataFrame) -> dict[str, DataFrame]:
     return {"sessions": sessions, "modes": seen, "uses": uses, "results": results}
 
 
-def project(evidence: DataFrame, patterns: list[Pattern] | None = None) -> dict[str, DataFrame]:
-    """All derived tables of the evidence, from both lanes, with secrets redacted where ``patterns`` are given."""
+def facts_of(evidence: DataFrame, patterns: list[Pattern] | None = None) -> dict[str, DataFrame]:
+    """What each record states, row by row, with secrets redacted where ``patterns`` are given: no fact looks at another
+    record, so facts of a part of the evidence are that part of the facts."""
     text = (lambda c: redacted(F.col(c), patterns)) if patterns else F.col
     body = (lambda c: redacted_json(F.col(c), patterns)) if patterns else F.col
-    records = envelopes(evidence)
-    t = transcript_facts(records)
+    t = transcript_facts(envelopes(evidence))
     events = T.common(telemetry_source.parsed(evidence)).withColumn("class", T.event_class())
-
-    uses = t["uses"].withColumn("input_json", body("input_json")).withColumn("input_summary", text("input_summary")).withColumn("target_path", text("target_path"))
+    clean = lambda df: df.withColumn("input_json", body("input_json")).withColumn("input_summary", text("input_summary")).withColumn("target_path", text("target_path"))
     results = t["results"].withColumn("result_json", body("result_json")).withColumn("result_text", text("result_text"))
     results = results.withColumn("result_size", F.octet_length("result_json").cast("long")).withColumn("result_json", N.by_reference(F.col("result_json")))
-    asked = T.call_facts(events)
-    asked = asked.withColumn("input_json", body("input_json")).withColumn("input_summary", text("input_summary")).withColumn("target_path", text("target_path"))
-    facts = M.union_facts(uses.drop("subagent_type"), results.drop("spawned_agent", "result"), asked)
-
-    changes = M.mode_changes(t["modes"])
-    told = T.mode_facts(events)
-    changes = changes.unionByName(told)
-    sessions = M.merge_sessions(M.union_facts(t["sessions"], T.session_facts(events)))
-    spawned = t["uses"].filter("tool_kind = 'agent'").select("id", "tool_use_id", "subagent_type")
-    answers = t["results"].select("tool_use_id", F.col("spawned_agent").alias("agent_id"))
-    named = t["uses"].select("id", "agent_id", F.col("agent_name").alias("agent_type"))
-    calls = M.name_agents(M.merge_lanes(facts), M.agent_types(spawned, answers, named))
-    calls = M.inherit_modes(calls, changes)
+    changes = N.file_changes(t["results"].select(F.struct("session_id", "tool_use_id").alias("ref"), "result"), "ref")
+    return {
+        "session": M.union_facts(t["sessions"], T.session_facts(events)),
+        "mode": t["modes"],
+        "told_mode": T.mode_facts(events),
+        "use": clean(t["uses"].drop("permission_mode")),
+        "result": results.drop("result"),
+        "asked": clean(T.call_facts(events)),
+        "change": changes.select("tool_use_id.session_id", "tool_use_id.tool_use_id", *[c for c in changes.columns if c != "tool_use_id"]),
+        "request": T.request_facts(events),
+        "prompt": T.prompt_facts(events),
+    }
+
+
+def tables_of(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The derived tables of these facts."""
+    uses, results = facts["use"], facts["result"]
+    # The mode at a call's record is one more fact of the record, so bodies take part in one grouping only.
+    moded = M.mode_at_use(facts["mode"], uses)
+    merged = M.merge_lanes(M.union_facts(uses.drop("subagent_type"), moded, results.drop("spawned_agent"), facts["asked"]))
+    changes = M.mode_changes(facts["mode"]).unionByName(facts["told_mode"])
+    spawned = uses.filter("tool_kind = 'agent'").select("id", "tool_use_id", "subagent_type")
+    answers = results.select("tool_use_id", F.col("spawned_agent").alias("agent_id"))
+    named = uses.select("id", "agent_id", F.col("agent_name").alias("agent_type"))
     return {
-        "session": sessions,
-        "tool_call": calls,
-        "file_change": N.file_changes(t["results"].select("tool_use_id", "result")),
-        "api_request": M.merge_requests(T.request_facts(events)),
-        "prompt": M.merge_prompts(T.prompt_facts(events)),
+        "session": M.merge_sessions(facts["session"]),
+        "tool_call": M.inherit_modes(M.name_agents(merged, M.agent_types(spawned, answers, named)), changes),
+        "file_change": facts["change"].drop("session_id"),
+        "api_request": M.merge_requests(facts["request"]),
+        "prompt": M.merge_prompts(facts["prompt"]),
         "permission_mode_change": changes,
     }
 
 
+def project(evidence: DataFrame, patterns: list[Pattern] | None = None) -> dict[str, DataFrame]:
+    """All derived tables of the evidence, from both lanes, with secrets redacted where ``patterns`` are given."""
+    return tables_of(facts_of(evidence, patterns))
+
+
 def transcript_counters(evidence: DataFrame) -> DataFrame:
     """records, sessions, tool uses and results, unknown and unparsable records."""
     records = envelopes(evidence)

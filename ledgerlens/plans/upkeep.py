@@ -14,7 +14,7 @@ from ..operators import metrics, retention, rule_ledger, rules, segments
 from ..operators.filters import CallFilter, Lens
 from ..sources import evidence, export, ingest, snapshots
 from ..staging import materialize, shared_dir
-from . import catalog, lanes, ledgers, reads
+from . import catalog, lanes, ledgers, reads, reproject
 from . import testviews as tv
 from .catalog import query
 
@@ -195,3 +195,18 @@ def ingested_batches(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         ingest.ingest(docs, path, "otlp", 2, 1, digits=1)
     return ingest.stored(spark, path).select("content_sha256", "batch")
+
+
+# --- tables kept in step with the evidence
+
+
+@query("reprojected_calls", catalog.ORACLE_SQL["projected_calls"])
+def reprojected_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of both lanes whose evidence came in two batches that split most sessions and calls."""
+    path = f"{shared_dir(spark)}/projected-{uuid.uuid4().hex}"
+    reproject.create(spark, path, 8)
+    both = lanes.transcript(spark, sf).unionByName(lanes.telemetry_calls(spark, sf))
+    for k in range(2):
+        reproject.apply(both.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k), path, str(k))
+    found = reproject.read(spark, path, "tool_call")
+    return found.select("tool_use_id", "provenance", "tool_name", "success", "decision", "duration_ms", "result_text", "input_summary", "agent_name", "row_seq")

@@ -17,6 +17,8 @@ from ..operators import retention
 PARTS = 16
 #: What a table is dealt by.
 KEYS = {"session": "session_id", "tool_call": "session_id", "permission_mode_change": "session_id", "api_request": "session_id", "prompt": "session_id", "raw_event": "source_ref", "file_change": "tool_use_id"}
+#: Tables kept in step with the evidence have a column that says whose they are.
+KEYS |= {f"projected_{t}": "owner" for t in ("session", "tool_call", "file_change", "api_request", "prompt", "permission_mode_change")}
 
 
 def part_of(table: str, parts: int) -> Column:
