@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,12 +310,10 @@ def test_mined_rules(spark):
 
 
 def test_mining_is_brute_force(spark):
-    from itertools import combinations
-
     rng = random.Random(14)
     tokens = [f"t{k}" for k in range(8)]
     rows = [(t := rng.sample(tokens, rng.randrange(1, 6)), ("t1" in t and "t2" in t) or rng.random() < 0.2) for _ in range(160)]
-    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, block boolean"), 0.02, 0.6)
+    table = spark.createDataFrame(rows, "tokens array<string>, block boolean")
     share, want = sum(b for _, b in rows) / len(rows), {}
     for n in range(1, 6):
         for part in combinations(tokens, n):
@@ -323,9 +322,34 @@ def test_mining_is_brute_force(spark):
                 want[frozenset(part)] = sum(own) / len(own)
     plain = {k: v for k, v in want.items() if not any(x < k and want[x] >= v for x in want)}
     assert len(plain) < len(want)
-    assert {frozenset(r["antecedent"]): round(r["confidence"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in plain.items()}
+    for longest, fp_items in ((5, 16), (3, 16), (3, 2), (1, 16)):
+        got = url_filter.mine(table, 0.02, 0.6, rule_items=longest, fp_items=fp_items)
+        got = {frozenset(r["antecedent"]): round(r["confidence"], 9) for r in got.collect()}
+        assert got == {k: round(v, 9) for k, v in plain.items() if len(k) <= longest}, (longest, fp_items)
     few = spark.createDataFrame([(["a", "b"], True)] * 4 + [(["c"], False)] * 8, "tokens array<string>, block boolean")
-    assert url_filter.mine(few).count() == 0 and url_filter.mine(few, least_rows=4).count() == 2
+    assert url_filter.mine(few).count() == 0
+    assert [(r["antecedent"], r["confidence"]) for r in url_filter.mine(few, least_rows=4).collect()] == [(["a", "b"], 1.0)]
+    assert url_filter.mine(few.limit(0)).count() == 0
+
+
+def test_mining_ends_on_long_repeated_urls(spark):
+    # 2,500 rows of one URL of 60 words, six rows of another, and 30 near copies that each miss one of their 30 words.
+    long, other = [f"w{k}" for k in range(60)], [f"v{k}" for k in range(40)]
+    near = [[f"x{k:02}" for k in range(30) if k != miss] for miss in range(30)]
+    rows = [(long, k < 2000) for k in range(2500)] + [(other, True)] * 6 + [(x, i % 3 > 0) for i, x in enumerate(near)]
+    rows += [([f"y{k}"], False) for k in range(3000)]
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, block boolean"))
+    got = {tuple(r["antecedent"]): (r["confidence"], r["support"]) for r in got.collect()}
+    assert got[tuple(sorted(long))] == (0.8, 2000 / len(rows)) and got[tuple(sorted(other))] == (1.0, 6 / len(rows))
+    # The words of the near copies: one word misses one copy; two or three raise the confidence where they miss clean copies.
+    bad, want = [i % 3 > 0 for i in range(30)], {}
+    for n in (1, 2, 3):
+        for part in combinations(range(30), n):
+            own = [bad[i] for i in range(30) if i not in part]
+            if not any(q in want and want[q] >= sum(own) / len(own) for m in range(1, n) for q in combinations(part, m)):
+                want[part] = sum(own) / len(own)
+    want = {tuple(f"x{k:02}" for k in part): v for part, v in want.items() if v >= 0.6}
+    assert {k: round(v[0], 9) for k, v in got.items() if k[0][0] == "x"} == {k: round(v, 9) for k, v in want.items()}
 
 
 def test_rules_match_as_brute_force(spark):
