@@ -136,7 +136,8 @@ def identify(
 ) -> DataFrame:
     """``docs``' columns and language (string), confidence (double), text_language (string), kept (boolean).
 
-    A document is rejected (kept is false) when ``und`` is the most probable. A null or letterless text has no
+    A document is rejected (kept is false) when ``und`` is the most probable, but not where its declared language has too few
+    documents for a class (LEAST_DOCS): no class could have explained its text. A null or letterless text has no
     evidence of its own: its metadata decide, and without any its language is the corpus's most frequent. Null
     declarations and hosts are values of their own. Ties go to the language that is first by name. Added columns that clash
     get underscores in front. Without a labelled document every language is ``und`` and all documents with letters are
@@ -198,7 +199,7 @@ def identify(
         .withColumn(language, best_of(F.col(fused)))
         .withColumn(confidence, 1.0 / total)
         .withColumn(text_language, best_of(F.col(s)))
-        .withColumn(kept, F.col(language) != UNKNOWN)
+        .withColumn(kept, (F.col(language) != UNKNOWN) | ((F.col(d) != "") & ~F.array_contains(names, F.col(d))))
         .select(*docs.columns, language, confidence, text_language, kept)
     )
 

@@ -250,6 +250,53 @@ def test_every_label_of_the_table_has_a_class(spark):
     assert (known.max(axis=1) > known.min(axis=1)).all()  # each has seen a text
 
 
+def test_documents_of_rare_languages_stay(spark):
+    """A declared language without a class does not reject its documents; junk that is declared otherwise goes."""
+    rng = random.Random(4)
+    junk = lambda: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(900))  # noqa: E731  no trigram twice
+    rows = [(i, f"the words of document {i} are plain enough to tell " * 6, "en", None) for i in range(200)]
+    rows += [(300 + i, junk(), "Zz", None) for i in range(language.LEAST_DOCS - 1)] + [(400, junk(), "en", None), (401, junk(), None, None), (402, junk(), "", None), (403, junk(), "und", None)]
+    found = language.identify(docs(spark, rows))
+    got = {r["doc_id"]: (r["language"], r["_kept"]) for r in found.collect()}
+    assert all(got[300 + i] == ("und", True) for i in range(language.LEAST_DOCS - 1))
+    assert all(got[i] == ("und", False) for i in (400, 401, 402, 403)) and all(got[i] == ("en", True) for i in range(200))
+    assert {r["doc_id"] for r in language.keep_known(docs(spark, rows)).collect()} == {*range(200), *range(300, 299 + language.LEAST_DOCS)}
+
+
+def test_fusion_is_brute_force(spark):
+    """Priors, confusion and posterior again, from the text model's scores; ties, nulls and a text over a block."""
+    rng = random.Random(8)
+    words = {"aa": "lorem dolor amet sit".split(), "bb": "kaksi yksi seitse kolme".split(), "cc": "lorem yksi amet kolme".split()}
+    hosts, rows = [None, "a.xx", "B.xx", "c.yy", "plain", "d.e.yy"], []
+    for i in range(300):
+        own = rng.choice(list(words))
+        text = rng.choice([None, "", "12 34", *[" ".join(rng.choices(words[own], k=rng.randrange(1, 9)))] * 6])
+        rows.append((i, text, rng.choice([own, own.upper(), own, None, "aa"]), rng.choice(hosts)))
+    rows += [(1000, "lorem yksi " * (language.BLOCK // 8), "bb", "a.xx"), (7, rows[7][1], rows[7][2], rows[7][3])]
+    table = docs(spark, rows)
+    model = language.fit_text_model(table, F.col("text"), F.lower("lang"))
+    names, low = model.languages, lambda x: (x or "").lower()
+    scores = [model.scores(t) for _, t, _, _ in rows]
+    best = [names[s.index(max(s))] for s in scores]
+    suffix = lambda h: h.rsplit(".", 1)[1] if "." in h else ""
+
+    def shared(keys, at, weight, up):
+        own = Counter(b for k, b in zip(keys, best, strict=True) if k == at)
+        return {x: (own[x] + weight * up[x]) / (sum(own.values()) + weight) for x in names}
+
+    declared, of_host = [low(d) for _, _, d, _ in rows], [low(h) for _, _, _, h in rows]
+    corpus = shared([0] * len(rows), 0, len(names), dict.fromkeys(names, 1 / len(names)))
+    got = {}
+    for r in language.identify(table).collect():
+        got[r["doc_id"]] = (r["language"], round(r["confidence"], 9), r["text_language"])
+    for (i, _, _, _), d, h, s, b in zip(rows, declared, of_host, scores, best, strict=True):
+        prior = shared(of_host, h, 20, shared([suffix(x) for x in of_host], suffix(h), 20, corpus))
+        told = {x: (sum(e == d and c == x for e, c in zip(declared, best, strict=True)) + 1) / (best.count(x) + len(set(declared))) for x in names}
+        logs = [math.log(told[x]) + math.log(prior[x]) + v for x, v in zip(names, s, strict=True)]
+        sure = 1 / sum(math.exp(v - max(logs)) for v in logs)
+        assert got[i] == (names[logs.index(max(logs))], round(sure, 9), b), i
+
+
 def test_metadata_decide_for_short_texts(spark, small):
     given = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", F.concat(F.lit("h."), F.col("lang")).alias("source"))
     short = spark.createDataFrame([(9001, "7.", "fr", "h.fr"), (9002, "7.", "de", "new.de")], given.schema)
