@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -76,33 +77,40 @@ def snippet(text: Column, query: str, around: int = 5) -> Column:
 FRAGMENT = 10
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def fragment(text: Column, query: str, width: int = FRAGMENT) -> Column:
     """The best ``width`` tokens of a text: those that hold most different terms, then most matching tokens, then the first;
     matching tokens are marked, and ``…`` stands where tokens are left out. Null without a match."""
     wanted = [w for t in terms(query) for w in t]
     if not wanted:
         return F.lit(None).cast("string")
-    tokens = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
-    def term(token: Column) -> Column:
-        low = folded_native(token)
+    def term(low: Column) -> Column:
         found = F.when(low.startswith(wanted[-1]), len(wanted) - 1)
         for k in range(len(wanted) - 2, -1, -1):
             found = F.when(low == wanted[k], k).otherwise(found)
         return found
 
-    # Only windows that begin at a match can be best: moving a window up to its first match loses nothing.
-    marks = F.transform(tokens, lambda x: F.struct(x.alias("x"), term(x).alias("t")))
-    spots = F.filter(F.transform(marks, lambda m, i: F.when(m["t"].isNotNull(), i)), lambda i: i.isNotNull())
-
-    def score(i: Column) -> Column:
+    def score(marks: Column, i: Column) -> Column:
         near = F.filter(F.transform(F.slice(marks, i + 1, F.lit(width)), lambda m: m["t"]), lambda t: t.isNotNull())
-        return F.struct(F.size(F.array_distinct(near)).alias("d"), F.size(near).alias("n"), (-i).alias("i"))
+        return _once(near, lambda near: F.struct(F.size(F.array_distinct(near)).alias("d"), F.size(near).alias("n"), (-i).alias("i")))
 
-    best = -F.array_max(F.transform(spots, score))["i"]
-    shown = F.transform(F.slice(marks, best + 1, F.lit(width)), lambda m: F.when(m["t"].isNotNull(), F.concat(F.lit(MARK_OPEN), m["x"], F.lit(MARK_CLOSE))).otherwise(m["x"]))
-    body = F.concat(F.when(best > 0, MORE).otherwise(""), F.array_join(shown, " "), F.when(best + width < F.size(marks), MORE).otherwise(""))
-    return F.when(F.size(spots) > 0, body)
+    def shown(marks: Column, best: Column) -> Column:
+        window = F.transform(F.slice(marks, best + 1, F.lit(width)), lambda m: F.when(m["t"].isNotNull(), F.concat(F.lit(MARK_OPEN), m["x"], F.lit(MARK_CLOSE))).otherwise(m["x"]))
+        return F.concat(F.when(best > 0, MORE).otherwise(""), F.array_join(window, " "), F.when(best + width < F.size(marks), MORE).otherwise(""))
+
+    def found(marks: Column) -> Column:
+        # Only windows that begin at a match can be best: moving a window up to its first match loses nothing.
+        spots = F.filter(F.transform(marks, lambda m, i: F.when(m["t"].isNotNull(), i)), lambda i: i.isNotNull())
+        return _once(-F.array_max(F.transform(spots, lambda i: score(marks, i)))["i"], lambda best: F.when(best.isNotNull(), shown(marks, best)))
+
+    tokens = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    marks = F.transform(tokens, lambda x: F.struct(x.alias("x"), _once(folded_native(x), term).alias("t")))
+    return _once(marks, found)
 
 
 #: Latin letters with marks and what they are without, in the same order.
