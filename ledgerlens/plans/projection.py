@@ -11,6 +11,7 @@ from ..functions.redact import Pattern, redacted, redacted_json
 from ..operators import merge as M
 from ..schemas import ENVELOPE
 from ..sources import telemetry as telemetry_source
+from ..staging import materialize
 
 KNOWN_RECORDS = ("assistant", "user", "agent-name", "relocated", "permission-mode")
 
@@ -55,11 +56,12 @@ def transcript_facts(records: DataFrame) -> dict[str, DataFrame]:
 
 def facts_of(evidence: DataFrame, patterns: list[Pattern] | None = None) -> dict[str, DataFrame]:
     """What each record states, row by row, with secrets redacted where ``patterns`` are given: no fact looks at another
-    record, so facts of a part of the evidence are that part of the facts."""
+    record, so facts of a part of the evidence are that part of the facts. Each lane's records are parsed once and written:
+    nine tables of facts are read from them."""
     text = (lambda c: redacted(F.col(c), patterns)) if patterns else F.col
     body = (lambda c: redacted_json(F.col(c), patterns)) if patterns else F.col
-    t = transcript_facts(envelopes(evidence))
-    events = T.common(telemetry_source.parsed(evidence)).withColumn("class", T.event_class())
+    t = transcript_facts(materialize(envelopes(evidence), "projection-records"))
+    events = materialize(T.common(telemetry_source.parsed(evidence)).withColumn("class", T.event_class()), "projection-events")
     clean = lambda df: df.withColumn("input_json", body("input_json")).withColumn("input_summary", text("input_summary")).withColumn("target_path", text("target_path"))
     results = t["results"].withColumn("result_json", body("result_json")).withColumn("result_text", text("result_text"))
     results = results.withColumn("result_size", F.octet_length("result_json").cast("long")).withColumn("result_json", N.by_reference(F.col("result_json")))
@@ -98,8 +100,11 @@ def tables_of(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def project(evidence: DataFrame, patterns: list[Pattern] | None = None) -> dict[str, DataFrame]:
-    """All derived tables of the evidence, from both lanes, with secrets redacted where ``patterns`` are given."""
-    return tables_of(facts_of(evidence, patterns))
+    """All derived tables of the evidence, from both lanes, with secrets redacted where ``patterns`` are given. Facts that
+    several tables, or several steps of one, are derived from are written first."""
+    facts = facts_of(evidence, patterns)
+    shared = ("mode", "told_mode", "use", "result")
+    return tables_of(facts | {k: materialize(facts[k], f"projection-{k}") for k in shared})
 
 
 def transcript_counters(evidence: DataFrame) -> DataFrame:

@@ -58,3 +58,14 @@ def test_no_file_of_a_stream_holds_a_half_of_the_table(spark):
     assert sum(n for n, _ in of.values()) == 8000
     assert max(n for n, _ in of.values()) < 1500
     assert found.select("batch").distinct().count() == 2
+
+
+def test_records_of_one_file_are_the_work_of_many_tasks(spark, tmp_path):
+    made = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).cast("timestamp_ntz").alias("ts"), (F.col("id") % 1500).alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.5).alias("value"), F.concat(F.lit('{"k": '), (F.col("id") % 100).cast("string"), F.lit("}")).alias("props"),
+    )
+    made.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = [r["count"] for r in lanes._base(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000
+    assert max(sizes) < 30_000
