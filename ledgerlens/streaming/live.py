@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import merge_lanes
+from ..operators.merge import inherit_modes, last_known, merge_lanes, mode_changes
 from ..operators.rules import Rule, alerts, matched_rules
 from ..sources import evidence, telemetry
 from ..sources.ranges import RANGE_BYTES, LineSource
@@ -71,6 +71,30 @@ def merged_stream(facts: DataFrame) -> DataFrame:
     return merge_lanes(facts)
 
 
+#: What ``answering_modes`` takes: a call's fact (mode is its own), or a record that shows its session's mode.
+MODE_MESSAGE = "what string, id long, session_id string, tool_use_id string, at long, mode string"
+
+
+def answering_modes(spark: SparkSession, store: str, out: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over MODE_MESSAGE rows: the mode of each call as of its time, as the batch operators give it over all
+    messages so far. A trigger stores its messages and answers the sessions that it touched again, by shuffles and with no state of
+    single keys, into a folder of its own: (tool_use_id, permission_mode), where a call's newest batch holds. A replay overwrites both."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        every = spark.read.schema(f"{MODE_MESSAGE}, batch long").option("basePath", store).parquet(store)
+        facts = every.filter("what = 'call'").select("id", "tool_use_id", "session_id", F.col("at").alias("called_at"), F.col("mode").alias("permission_mode"), "batch")
+        calls = facts.groupBy("tool_use_id").agg(*[last_known(c) for c in ("session_id", "called_at", "permission_mode")], F.min("id").alias("row_seq"), F.max("batch").alias("batch"))
+        seen = every.filter("what = 'seen'").select("id", "session_id", "mode", F.lit("").alias("trigger"), F.col("at").alias("ts"), "batch")
+        sessions = calls.union(seen.select(F.lit(None), "session_id", F.lit(None), F.lit(None), F.lit(None), "batch")).filter(F.col("batch") == batch_id)
+        sessions = sessions.filter("session_id IS NOT NULL").select("session_id").distinct()
+        mine = lambda df: df.drop("batch").join(sessions, "session_id", "left_semi")
+        told = inherit_modes(mine(calls), mode_changes(mine(seen)))
+        told.select("tool_use_id", "permission_mode").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return run
+
+
 #: Ids that one notification holds at most.
 NOTICE_IDS = 200
 

@@ -79,6 +79,27 @@ def test_any_order_with_restarts(spark, rocksdb, tmp_path, seed):
     assert {k: v for k, v in got.items() if k in want} == want
 
 
+def test_modes_by_touched_sessions(spark, tmp_path):
+    """Stored messages and touched sessions, in any order and with a replay, against the batch operators."""
+    rng = random.Random(5)
+    facts = [(k, f"t{rng.randrange(20)}", rng.choice(["s0", "s1", "s2", None]), rng.choice([None, rng.randrange(50)]), rng.choice([None, None, "plan"])) for k in range(1, 60)]
+    marks = [(k, rng.choice(["s0", "s1", None]), rng.choice(MODES), rng.choice([None, rng.randrange(50)])) for k in range(100, 130)]
+    df = spark.createDataFrame([(k, t, 1, s, None, at, mode, None) for k, t, s, at, mode in facts], CALLS).withColumns({c: F.lit(None).cast("string") for c in M.INPUTS})
+    seen = spark.createDataFrame(marks, "id long, session_id string, mode string, ts long").withColumn("trigger", F.lit(""))
+    want = {r["tool_use_id"]: r["permission_mode"] for r in M.inherit_modes(M.merge_lanes(df), M.mode_changes(seen)).collect() if r["session_id"]}
+    rows = [("call", k, s, t, at, mode) for k, t, s, at, mode in facts] + [("seen", k, s, None, at, mode) for k, s, mode, at in marks]
+    rng.shuffle(rows)
+    write = live.answering_modes(spark, str(tmp_path / "store"), str(tmp_path / "out"))
+    for n, part in ((0, rows[:40]), (1, rows[40:41]), (2, rows[41:]), (2, rows[41:])):  # the last one is replayed
+        write(spark.createDataFrame(part, live.MODE_MESSAGE), n)
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect():
+        got[r["tool_use_id"]] = r["permission_mode"]
+    assert {k: got[k] for k in want} == want
+    touched = {r["tool_use_id"] for r in spark.read.parquet(str(tmp_path / "out")).filter("batch = 1").collect()}
+    assert len(touched) < 20
+
+
 def test_initial_state(spark, rocksdb, tmp_path):
     """What batch jobs know decides for the rows that stream in."""
     known = marks_of(spark, [(1, "s0", "plan", 5)], [], [], [(2, "a0", "explorer")])
