@@ -1,5 +1,6 @@
 """Rules, search, redaction, chains, retention and verdicts on small frames."""
 
+import hashlib
 import json
 
 import pytest
@@ -191,6 +192,28 @@ def test_chain(spark, mode):
     assert chain.verdict(chain.verify(hole, log, mode)).first()["verdict"] == "accounted for"
 
 
+@pytest.mark.parametrize(("mode", "block"), [("source", 20), ("global", 30)])
+def test_long_chains_go_in_rounds(spark, mode, block):
+    """A long chain beside short ones, partly sealed before, with gaps in its ids: sealed and checked part by part."""
+    rows = [(i, "otlp" if i % 3 else "transcript", "hot" if i % 3 else f"f{i % 12}", None if i % 3 else i, f"b{i}", 1) for i in range(1, 90) if i % 7 or i > 60]
+    rows += [(i, "otlp", "hot", None, f"b{i}", 1) for i in range(5_000, 5_004)]
+    df = spark.createDataFrame(rows, "id long, lane string, source_ref string, source_offset long, body string, ingested_at long")
+    df = df.withColumn("content_sha256", chain.content_sha256(F.col("body"))).withColumn("chain_sha256", F.lit(None).cast("string"))
+    want, heads = {}, {}
+    for i, lane, source, offset, body, at in rows:
+        digest = hashlib.sha256("\n".join([lane, source, "-" if offset is None else str(offset), str(at), hashlib.sha256(body.encode()).hexdigest()]).encode()).hexdigest()
+        of = (lane, source) if mode == "source" else ()
+        heads[of] = want[i] = hashlib.sha256(f"{heads.get(of, chain.GENESIS)}\n{digest}".encode()).hexdigest()
+    sealed = chain.seal(df, mode, block=block).cache()
+    assert {r["id"]: r["chain_sha256"] for r in sealed.collect()} == want
+    half = sealed.withColumn("chain_sha256", F.when(F.col("id") < 20, F.col("chain_sha256")))
+    assert {r["id"]: r["chain_sha256"] for r in chain.seal(half, mode, block=block).collect()} == want
+    none = spark.createDataFrame([], "chain_before string")
+    assert chain.verify(sealed, none, mode, span=10).count() == 0
+    edited = sealed.withColumn("chain_sha256", F.when(F.col("id") == 40, "x").otherwise(F.col("chain_sha256")))
+    assert [(r["id"], r["kind"]) for r in chain.verify(edited, none, mode, span=10).collect()] == [(40, "chain"), (41, "chain")]
+
+
 def test_retention(spark):
     day = 86_400_000
     sessions = spark.createDataFrame([("a", "/p", "fa", day * 10, day * 10), ("b", "/q", "fb", day * 50, day * 50), ("c", "/p", "fc", day * 90, day * 90)], "session_id string, project_path string, transcript_path string, first_seen long, last_seen long")
