@@ -97,3 +97,18 @@ def test_purge_swaps_a_snapshot(spark, small, tmp_path):
     snapshots._write(tables["session"].limit(1), root, 99, "session", 8)
     assert snapshots.current(spark, root)["version"] == after["version"]
     assert snapshots.clear(spark, root) and snapshots.read(spark, root, "tool_call").count() == want["tool_call"].count()
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    """Most of the evidence has one source: its part is split, and a purge still finds all of it."""
+    rows = spark.range(0, 40_000, numPartitions=8).select("id", F.when(F.col("id") % 100 == 0, F.concat(F.lit("s"), F.col("id") % 700)).otherwise("otlp").alias("source_ref"), F.sha2(F.col("id").cast("string"), 256).alias("body"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(1 << 19))
+    try:
+        snapshots.create(spark, str(tmp_path), {"raw_event": rows}, 4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    read = snapshots.read(spark, str(tmp_path), "raw_event")
+    assert read.count() == read.distinct().count() == 40_000 and read.exceptAll(rows).count() == 0
+    files = [f.split("part=")[1].split("/")[0] for f in read.inputFiles()]
+    assert max(map(files.count, files)) > 2
