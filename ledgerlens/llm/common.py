@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import materialize, release, shared_dir  # noqa: F401  the operators take them from here
+from ..staging import materialize, release, shared_dir, text_batches  # noqa: F401  the operators take them from here
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -15,17 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Arrow batches of texts have so many rows at most, since texts may be long.
-BATCH_ROWS = 500
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches for functions that take whole texts; a lower bound of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 #: What is broadcast has so many bytes at most, counted as JSON.
 MOST_BYTES = 32 << 20
 
