@@ -8,12 +8,16 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import text_batches
+
 CALL_FIELDS = ("tool_name", "input_summary", "target_path", "result_text")
 MARK_OPEN, MARK_CLOSE, MORE = "\x01", "\x02", "…"
+#: Letters beyond those that folded_native() folds as fold_text() does.
+_NOT_NATIVE = r"[^\u0000-\u00ff\u2010-\u205e]"
 _WORD = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -28,9 +32,13 @@ def _fold(texts: pd.Series) -> pd.Series:
 
 
 def folded(text: Column) -> Column:
-    """Case and diacritics folded. A UDF is evaluated for every row, so ASCII texts, the usual, go to it as nulls."""
+    """Case and diacritics folded. A UDF is evaluated for every row, so texts of ASCII, Latin-1 and general punctuation, the usual,
+    go to it as nulls."""
+    text_batches(SparkSession.active())
     ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(_fold(F.when(~ascii_only, text)))
+    other = ~ascii_only & text.rlike(_NOT_NATIVE)
+    native = F.when(ascii_only, F.lower(text)).when(~other, folded_native(text))
+    return F.when(other, _fold(F.when(other, text))).otherwise(native)
 
 
 def token_text(text: Column, fold: bool = True) -> Column:
@@ -147,7 +155,9 @@ def search_index(index: DataFrame, query: str) -> DataFrame:
         for n, token in enumerate(tokens):
             prefix = k == len(wanted) - 1 and n == len(tokens) - 1
             test = F.startswith("token", F.lit(token)) if prefix else F.col("token") == token
-            rows = index.filter(test).select("id", "field", (F.col("pos") - n).alias("at")).distinct()
+            rows = index.filter(test)
+            # The place matters within a phrase only: of a frequent word, ids are far fewer than places.
+            rows = rows.select("id").distinct() if len(tokens) == 1 else rows.select("id", "field", (F.col("pos") - n).alias("at")).distinct()
             part = rows if part is None else part.join(rows, ["id", "field", "at"], "left_semi")
         ids = part.select("id").distinct()
         found = ids if found is None else found.join(ids, "id", "left_semi")

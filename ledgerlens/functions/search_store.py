@@ -35,9 +35,10 @@ def generation(spark: SparkSession, name: str) -> int:
 
 
 def _save(rows: DataFrame, table: str, by: str, buckets: int, mode: str = "error") -> None:
-    # One task for each bucket, so a bucket is one file for each write.
+    # A task has rows of one bucket, or of some small ones; one that is large, since a token is frequent, is written by several.
     path = f"{shared_dir(rows.sparkSession)}/{table}-{uuid.uuid4().hex}"
-    writer = rows.repartition(buckets, by).write.mode(mode).bucketBy(buckets, by).sortBy(by)
+    dealt = rows.withColumn("bucket", F.pmod(F.hash(by), F.lit(buckets))).hint("rebalance", "bucket").drop("bucket")
+    writer = dealt.write.mode(mode).bucketBy(buckets, by).sortBy(by)
     (writer if mode == "append" and rows.sparkSession.catalog.tableExists(table) else writer.option("path", path)).saveAsTable(table)
 
 

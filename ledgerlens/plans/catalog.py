@@ -185,7 +185,7 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
 def search_index_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     index = search.inverted_index(docs, "doc_id", ("text",))
-    return search.search_index(materialize(index.repartition("token").sortWithinPartitions("token"), "search-index"), "was-is th")
+    return search.search_index(materialize(index.hint("rebalance", "token").sortWithinPartitions("token"), "search-index"), "was-is th")
 
 
 @query("snippets")

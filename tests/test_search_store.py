@@ -2,8 +2,10 @@
 
 import random
 import re
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.functions import search
 from ledgerlens.functions import search_store as store
@@ -58,3 +60,17 @@ def test_a_search_reads_its_buckets(spark):
     spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     with pytest.raises(ValueError, match="no index"):
         store.generation(spark, "nowhere")
+
+
+def test_a_frequent_token_is_written_by_several_tasks(spark):
+    name, key = f"hot_{uuid.uuid4().hex}", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 18))
+    try:
+        rows = spark.range(0, 4_000, numPartitions=8).select("id", F.concat(F.lit("the " * 20), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+        store.create(rows, name, "id", ("text",), 4)
+    finally:
+        spark.conf.set(key, before)
+    held = spark.table(store._table(name, 0, "postings"))
+    assert held.filter("token = 'the'").select(F.input_file_name()).distinct().count() > 1
+    assert store.find(spark, name, "the").count() == 4_000
