@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_checked, join_groups, materialize, text_batches
+from .common import fresh, join_checked, join_groups, materialize, release, text_batches
 from .components import components
 from .golay import keys as golay_keys
 from .words import shingle_hashes, word_hashes, words_of
@@ -234,22 +234,20 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _printed_sets(docs: DataFrame, size: int, fingerprints: bool) -> DataFrame:
-    """docs(id, text) -> (node, fp, cut, shingles): word fingerprint (null unless asked for), the distinct hashes of the
-    shingles, and those cut to 16 bits, sorted, repeats included."""
+def _cut_sets(docs: DataFrame, size: int) -> DataFrame:
+    """docs(id, text) -> (node, cut, shingles): the distinct hashes of the shingles, and those cut to 16 bits, sorted,
+    repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                words = [words_of(t.as_py()) for t in part.column(1)]
-                fps = pa.array([words_fingerprint(w) if fingerprints else None for w in words], pa.int64())
-                sets = [np.unique(shingle_hashes(w, size)) for w in words]
+                sets = [np.unique(shingle_hashes(words_of(t.as_py()), size)) for t in part.column(1)]
                 cuts = pa.array([np.sort(x.astype(np.uint16)).tobytes() for x in sets], pa.binary())
                 whole = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), fps, cuts, whole], ["node", "fp", "cut", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), cuts, whole], ["node", "cut", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "node long, fp long, cut binary, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(run, "node long, cut binary, shingles array<long>")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -259,10 +257,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """docs(id, text) -> (node, n, same, prefix): how many distinct shingles a text has, a digest of them all, and so many of
-    the first in a fixed order that two texts of the similarity have one of them in common: their first common shingle
-    leaves no more than the dissimilar part before it. The order is by hash, with the common shingles last. A text
-    without words has the one shingle 0."""
+    """docs(id, text) -> (node, n, same, fp, prefix): how many distinct shingles a text has, a digest of them all, its word
+    fingerprint, and so many of the first shingles in a fixed order that two texts of the similarity have one of them in
+    common: their first common shingle leaves no more than the dissimilar part before it. The order is by hash, with the
+    common shingles last. A text without words has the one shingle 0."""
     n = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(int(SAMPLE_DOCS / max(n, 1) * (1 << 30)), 1 << 30))
     often = shingle_sets(some, size).select(F.explode("shingles").alias("h")).groupBy("h").count().filter(f"count >= {COMMON}")
@@ -272,20 +270,22 @@ def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
-            counts, same, prefix = [], [], []
+            counts, same, fps, prefix = [], [], [], []
             for t in b.column(1):
-                hashes = np.unique(shingle_hashes(words_of(t.as_py()), size))
+                words = words_of(t.as_py())
+                hashes = np.unique(shingle_hashes(words, size))
                 counts.append(len(hashes))
+                fps.append(words_fingerprint(words))
                 same.append(hashlib.md5(hashes.tobytes()).digest())
                 last = np.isin(hashes, common, assume_unique=True) if len(common) else np.zeros(len(hashes), bool)
                 # The small number keeps a product just above a whole one from cutting a shingle off.
                 most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
                 ordered = np.concatenate((hashes[~last], hashes[last]))[:most] if len(hashes) else np.zeros(1, np.uint64)
                 prefix.append(ordered.view(np.int64))
-            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(same, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "same", "prefix"])
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "same", "fp", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(run, "node long, n long, same binary, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, "node long, n long, same binary, fp long, prefix array<long>")
 
 
 def _block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -367,14 +367,21 @@ def _some_partner(similarity: float) -> Column:
     return F.col("n") - F.col("pos") >= similarity / (1 + similarity) * (F.col("n") + F.col("least_n")) - 1e-6
 
 
+def _of_roots(rows: DataFrame) -> DataFrame:
+    """(h, size, least_n) for rows(h, root, n): the groups whose texts are not all joined yet."""
+    groups = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.min("root").alias("r"), F.max("root").alias("s"))
+    return groups.filter("r <> s").drop("r", "s")
+
+
 def _by_size(rows: DataFrame, similarity: float) -> DataFrame:
-    """(h, node, n, pos, size, least_n) for rows(h, node, n, pos): the groups split by size. Near copies' sizes are at most
-    one class apart, so each row goes to its class and the next, where it meets all that it can be a near copy of."""
+    """(h, node, root, n, pos, size, least_n) for rows(h, node, root, n, pos): the groups split by size. Near copies' sizes are
+    at most one class apart, so each row goes to its class and the next, where it meets all that it can be a near copy of.
+    Groups of one root are left out."""
     width = math.log(1 / similarity) + 1e-6
     own = F.floor(F.ln("n") / width)
-    dealt = rows.filter("n > 0").select("node", "n", "pos", F.col("h").alias("h0"), F.explode(F.array(own, own + 1)).alias("c"))
-    dealt = dealt.select(F.xxhash64("h0", "c").alias("h"), "node", "n", "pos")
-    groups = dealt.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1")
+    dealt = rows.filter("n > 0").select("node", "root", "n", "pos", F.col("h").alias("h0"), F.explode(F.array(own, own + 1)).alias("c"))
+    dealt = dealt.select(F.xxhash64("h0", "c").alias("h"), "node", "root", "n", "pos")
+    groups = _of_roots(dealt)
     held = join_groups(dealt, materialize(groups, "near-sizes"), "h", "size", ["size", "least_n"], ["node"])
     return held.filter(_some_partner(similarity))
 
@@ -393,32 +400,26 @@ def _rare_first(base: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return each.select(F.col("x.h").alias("h"), "node", "n", (F.col("alone") + F.col("at")).cast("long").alias("pos"))
 
 
-def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
-    """(a, b) for crowd(node), the texts of large groups: links that join all that near copies among them join.
+def _crowd_links(crowd: DataFrame, sure: DataFrame, base: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) for crowd(node, root), the texts of large groups: links that join all that near copies among them join.
 
     The texts get new prefixes, rarest shingles first. A copy of a text that was edited apart from others begins with
     shingles of its own, so what groups are left hold texts that differ little. Each group's hub, the text with
-    the fewest rarer shingles, is compared with the others, and so are texts whose word fingerprints lie within
-    ``radius`` bits. In groups of up to LISTED the pairs of texts that are not joined by then are listed; larger ones are
-    dealt out in blocks, by components of shared shingles, and every two blocks of a component are compared together.
+    the fewest rarer shingles, is compared with the others of other roots. In groups of up to LISTED the pairs of texts
+    that are not joined by then are listed; larger ones are dealt out in blocks, by components of shared shingles, and
+    every two blocks of a component are compared together.
     """
     texts = join_checked(base, crowd.select(F.col("node").alias("id")), ["id"], "left_semi", "near-crowd-nodes")
-    sets = materialize(_printed_sets(texts, shingle, True), "near-crowd-shingles")
-    printed = sets.select("node", "fp")
-    rows = materialize(_rare_first(base, sets, similarity), "near-rare")
-    groups = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.min(F.struct("pos", "node", "n")).alias("hub")).filter("size > 1")
-    groups = materialize(groups, "near-rare-shared")
+    sets = materialize(_cut_sets(texts, shingle), "near-crowd-shingles")
+    rows = materialize(join_checked(_rare_first(base, sets, similarity), crowd, ["node"], "inner", "near-crowd-roots"), "near-rare")
+    hub = F.min(F.struct("pos", "node", "n", "root")).alias("hub")
+    groups = materialize(_of_roots(rows).join(rows.groupBy("h").agg(hub), "h"), "near-rare-shared")
     rows = join_groups(rows, groups, "h", "size", ["least_n", "hub"], ["node"]).filter(_some_partner(similarity))
     rows = materialize(rows, "near-rare-held")
     left = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
-    enough = (F.col("node") != F.col("hub.node")) & (left >= similarity / (1 + similarity) * (F.col("n") + F.col("hub.n")) - 1e-6)
+    enough = (F.col("root") != F.col("hub.root")) & (left >= similarity / (1 + similarity) * (F.col("n") + F.col("hub.n")) - 1e-6)
     hubs = rows.filter(enough).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    # Equal fingerprints are one node, however many texts have them.
-    nodes = materialize(printed.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "near-points")
-    met = links(nodes.select(F.col("least").alias("node"), "fp"), radius)
-    alike = join_groups(printed, nodes.filter("size > 1"), "fp", "size", ["least"], ["node"]).filter("node <> least")
-    pairs = hubs.union(met).union(alike.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
-    found = materialize(_verified(pairs, sets, similarity), "near-hubs")
+    found = materialize(_verified(hubs.distinct(), sets, similarity), "near-hubs")
     joined = components(sure.union(found))
 
     rows = rows.select("h", "node", "n", "pos").join(joined, "node", "left")
@@ -467,28 +468,49 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, C
     raise ValueError("no seed tells all rows apart")
 
 
+def _print_links(points: DataFrame, base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b) for points(node, n, fp), all texts: near copies among those that Golay keys of the word fingerprints link within
+    ``radius`` bits. Equal fingerprints are one node, however many texts have them, and each of these is compared with the
+    first. Pairs that cannot be near copies by their numbers of shingles are passed over."""
+    nodes = materialize(points.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "near-points")
+    met = links(nodes.select(F.col("least").alias("node"), "fp"), radius)
+    alike = join_groups(points.select("node", "fp"), nodes.filter("size > 1"), "fp", "size", ["least"], ["node"]).filter("node <> least")
+    pairs = met.union(alike.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    one, two = points.select(F.col("node").alias("a"), F.col("n").alias("n1")), points.select(F.col("node").alias("b"), F.col("n").alias("n2"))
+    sized = pairs.join(one, "a").join(two, "b").filter(F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6)
+    pairs = materialize(sized.select("a", "b"), "near-printed")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = materialize(_cut_sets(join_checked(base, ends, ["id"], "left_semi", "near-printed-ends"), shingle), "near-printed-shingles")
+    found = materialize(_verified(pairs, sets, similarity), "near-print-links")
+    release(sets)
+    return found
+
+
 def _near_links(base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
-    """(a, b) for base(id, text) with distinct ids: links that join all that near copies join."""
+    """(a, b) for base(id, text) with distinct ids: links that join all that near copies join. The fingerprints of all texts
+    link first (_print_links()); shared shingles of the prefixes then find the pairs that those left apart."""
     points = materialize(_prefixes(base, shingle, similarity), "near-prefixes")
     groups = points.groupBy("same").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
     equal = join_groups(points.select("node", "same"), materialize(groups, "near-same"), "same", "size", ["least"], ["node"])
     equal = materialize(equal.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")), "near-equal")
     single = join_checked(points.drop("same"), equal.select(F.col("a").alias("node")), ["node"], "left_anti", "near-others")
-    each = single.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1")
-    held = join_groups(each, materialize(shared, "near-shared"), "h", "size", ["size", "least_n"], ["node"])
+    printed = _print_links(single.select("node", "n", "fp"), base, shingle, similarity, radius)
+    rooted = join_checked(single.drop("fp"), components(printed), ["node"], "left", "near-roots")
+    each = rooted.select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("prefix").alias("pos", "h"))
+    held = join_groups(each, materialize(_of_roots(each), "near-shared"), "h", "size", ["size", "least_n"], ["node"])
     held = materialize(held.filter(_some_partner(similarity)), "near-held")
     sized = materialize(_by_size(held.filter(F.col("size") > SMALL), similarity), "near-sized")
-    small = held.filter(F.col("size") <= SMALL).select("h", "node", "n", "pos").union(sized.filter(F.col("size") <= SMALL).select("h", "node", "n", "pos"))
-    pairs = materialize(_near_pairs(small.withColumn("root", F.col("node")), similarity).distinct(), "near-pairs")
+    columns = ["h", "node", "root", "n", "pos"]
+    small = held.filter(F.col("size") <= SMALL).select(columns).union(sized.filter(F.col("size") <= SMALL).select(columns))
+    pairs = materialize(_near_pairs(small, similarity).distinct(), "near-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = join_checked(base, ends, ["id"], "left_semi", "near-ends")
-    sets = materialize(_printed_sets(texts, shingle, False), "near-shingles")
-    sure = materialize(_verified(pairs, sets, similarity).union(equal), "near-sure")
-    crowd = materialize(sized.filter(F.col("size") > SMALL).select("node").distinct(), "near-crowded")
+    sets = materialize(_cut_sets(texts, shingle), "near-shingles")
+    sure = materialize(_verified(pairs, sets, similarity).union(printed).union(equal), "near-sure")
+    crowd = materialize(sized.filter(F.col("size") > SMALL).select("node", "root").distinct(), "near-crowded")
     if crowd.isEmpty():
         return sure
-    return sure.union(_crowd_links(crowd, sure, base, shingle, similarity, radius))
+    return sure.union(_crowd_links(crowd, sure, base, shingle, similarity))
 
 
 def _members(base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:

@@ -416,6 +416,27 @@ def test_near_copies_far_apart_in_bits(spark):
     assert {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()} == want
 
 
+def test_fingerprints_of_all_texts_link(spark, monkeypatch):
+    """Every text's fingerprint is dealt to Golay keys, not those of crowds only, and a family that they join is no crowd."""
+    rng = random.Random(21)
+    text = lambda: [f"{rng.choice(['er', 'tion', 'an', 'in'])}{rng.randrange(10**6)}" for _ in range(300)]
+    base, pairs = text(), [(i, " ".join(text())) for i in range(30)]
+    for i in range(40):
+        words = list(base)
+        words[7 * i] = f"changed{i}"
+        pairs.append((100 + i, " ".join(words)))
+    dealt, links = [], simhash.links
+
+    def spy(points, radius):
+        dealt.append({r["fp"] for r in points.collect()})
+        return links(points, radius)
+
+    monkeypatch.setattr(simhash, "links", spy)
+    monkeypatch.setattr(simhash, "_crowd_links", None)
+    assert {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()} == {100 + i: 100 for i in range(1, 40)}
+    assert dealt == [{simhash.word_print(t) for _, t in pairs}]
+
+
 def test_repeated_ids_and_clean_rows(spark):
     """A row goes for its own text only, not for another text under its id; copies of both id and text are one row."""
     rng = random.Random(5)
