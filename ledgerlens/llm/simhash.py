@@ -33,6 +33,8 @@ SMALL, LISTED, CROWD_BLOCK = 16, 256, 128
 #: Shingles in COMMON or more of a sample of about SAMPLE_DOCS texts come last in the order that prefixes are cut from.
 #: Any order finds every pair, so the sample changes the work and not the result.
 SAMPLE_DOCS, COMMON = 20_000, 3
+#: Bits of the table that marks crowded shingles, whose size is fixed. Others that share a bit with one are marked too.
+SLOTS = 1 << 25
 #: Columns of shingles multiplied at once when a block is compared.
 COLUMNS = 8192
 #: Larger groups of fingerprints are cut further before their links are sought.
@@ -256,19 +258,38 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole == 0, 1.0).otherwise(both / whole)
 
 
-def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """docs(id, text) -> (node, n, same, fp, prefix): how many distinct shingles a text has, a digest of them all, its word
-    fingerprint, and so many of the first shingles in a fixed order that two texts of the similarity have one of them in
-    common: their first common shingle leaves no more than the dissimilar part before it. The order is by hash, with the
-    common shingles last. A text without words has the one shingle 0."""
+def _common(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles in COMMON or more of a sample of docs(id, text)."""
     n = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(int(SAMPLE_DOCS / max(n, 1) * (1 << 30)), 1 << 30))
     often = shingle_sets(some, size).select(F.explode("shingles").alias("h")).groupBy("h").count().filter(f"count >= {COMMON}")
-    found = np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _slots(rows: DataFrame) -> np.ndarray:
+    """A table of SLOTS bits with those of rows(h) set."""
+    slot = rows.select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    bit = F.expr("bit_or(shiftleft(1L, cast(slot & 63L AS int)))")
+    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(bit.alias("bits")).toArrow()
+    table = np.zeros(SLOTS >> 6, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return table
+
+
+def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(SLOTS - 1)
+    return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """docs(id, text) -> (node, n, same, fp, prefix): how many distinct shingles a text has, a digest of them all, its word
+    fingerprint, and so many of the first shingles in a fixed order that two texts of the similarity have one of them in
+    common: their first common shingle leaves no more than the dissimilar part before it. The order is by hash, with the
+    common shingles and those of the table ``crowded`` last. A text without words has the one shingle 0."""
+    shared = docs.sparkSession.sparkContext.broadcast((common, crowded if crowded.any() else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        common, crowded = shared.value
         for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
             counts, same, fps, prefix = [], [], [], []
             for t in b.column(1):
@@ -278,6 +299,8 @@ def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 fps.append(words_fingerprint(words))
                 same.append(hashlib.md5(hashes.tobytes()).digest())
                 last = np.isin(hashes, common, assume_unique=True) if len(common) else np.zeros(len(hashes), bool)
+                if crowded is not None:
+                    last |= _marked(crowded, hashes)
                 # The small number keeps a product just above a whole one from cutting a shingle off.
                 most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
                 ordered = np.concatenate((hashes[~last], hashes[last]))[:most] if len(hashes) else np.zeros(1, np.uint64)
@@ -486,29 +509,51 @@ def _print_links(points: DataFrame, base: DataFrame, shingle: int, similarity: f
     return found
 
 
+def _shared(rooted: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rooted(node, root, n, prefix): the pairs (a, b) of groups of up to SMALL texts that share a shingle, the rows of
+    larger groups, and the shingles (h) that over SMALL texts share. Groups whose texts are all joined are left out."""
+    each = rooted.select("node", "root", "n", F.posexplode("prefix").alias("pos", "h"))
+    held = join_groups(each, materialize(_of_roots(each), "near-shared"), "h", "size", ["size", "least_n"], ["node"])
+    held = materialize(held.filter(_some_partner(similarity)), "near-held")
+    large = held.filter(F.col("size") > SMALL)
+    sized = materialize(_by_size(large, similarity), "near-sized")
+    columns = ["h", "node", "root", "n", "pos"]
+    small = held.filter(F.col("size") <= SMALL).select(columns).union(sized.filter(F.col("size") <= SMALL).select(columns))
+    return _near_pairs(small, similarity), sized.filter(F.col("size") > SMALL), large.select("h").distinct()
+
+
 def _near_links(base: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """(a, b) for base(id, text) with distinct ids: links that join all that near copies join. The fingerprints of all texts
     link first (_print_links()); shared shingles of the prefixes then find the pairs that those left apart."""
-    points = materialize(_prefixes(base, shingle, similarity), "near-prefixes")
+    common, crowded = _common(base, shingle), np.zeros(SLOTS >> 6, np.uint64)
+    points = materialize(_prefixes(base, shingle, similarity, common, crowded), "near-prefixes")
     groups = points.groupBy("same").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
     equal = join_groups(points.select("node", "same"), materialize(groups, "near-same"), "same", "size", ["least"], ["node"])
     equal = materialize(equal.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")), "near-equal")
     single = join_checked(points.drop("same"), equal.select(F.col("a").alias("node")), ["node"], "left_anti", "near-others")
     printed = _print_links(single.select("node", "n", "fp"), base, shingle, similarity, radius)
     rooted = join_checked(single.drop("fp"), components(printed), ["node"], "left", "near-roots")
-    each = rooted.select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("prefix").alias("pos", "h"))
-    held = join_groups(each, materialize(_of_roots(each), "near-shared"), "h", "size", ["size", "least_n"], ["node"])
-    held = materialize(held.filter(_some_partner(similarity)), "near-held")
-    sized = materialize(_by_size(held.filter(F.col("size") > SMALL), similarity), "near-sized")
-    columns = ["h", "node", "root", "n", "pos"]
-    small = held.filter(F.col("size") <= SMALL).select(columns).union(sized.filter(F.col("size") <= SMALL).select(columns))
-    pairs = materialize(_near_pairs(small, similarity).distinct(), "near-pairs")
+    rooted = rooted.select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
+    # Two near copies meet in a small group, or both are in the crowd of large ones: only the crowd needs another order,
+    # in which the shingles of its groups come last. It ends when the crowd is no longer halved.
+    pairs, before = None, None
+    while True:
+        small, sized, large = _shared(rooted, similarity)
+        pairs = small if pairs is None else pairs.union(small)
+        crowd = materialize(sized.select("node", "root").distinct(), "near-crowded")
+        texts = crowd.count()
+        if not texts or (before is not None and 2 * texts > before):
+            break
+        before = texts
+        crowded = crowded | _slots(large)
+        again = join_checked(base, crowd.select(F.col("node").alias("id")), ["id"], "left_semi", "near-crowd-texts")
+        again = _prefixes(again, shingle, similarity, common, crowded).select("node", "n", "prefix")
+        rooted = materialize(join_checked(again, crowd, ["node"], "inner", "near-crowd-roots").select("node", "root", "n", "prefix"), "near-again")
+    pairs = materialize(pairs.distinct(), "near-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = join_checked(base, ends, ["id"], "left_semi", "near-ends")
-    sets = materialize(_cut_sets(texts, shingle), "near-shingles")
+    sets = materialize(_cut_sets(join_checked(base, ends, ["id"], "left_semi", "near-ends"), shingle), "near-shingles")
     sure = materialize(_verified(pairs, sets, similarity).union(printed).union(equal), "near-sure")
-    crowd = materialize(sized.filter(F.col("size") > SMALL).select("node", "root").distinct(), "near-crowded")
-    if crowd.isEmpty():
+    if not texts:
         return sure
     return sure.union(_crowd_links(crowd, sure, base, shingle, similarity))
 

@@ -437,6 +437,34 @@ def test_fingerprints_of_all_texts_link(spark, monkeypatch):
     assert dealt == [{simhash.word_print(t) for _, t in pairs}]
 
 
+def test_unlike_texts_of_a_shared_passage_are_no_crowd(spark, monkeypatch):
+    """Shingles that the sample does not show to be common make a crowd at first; counted, they come last in the crowd's
+    prefixes, and no text is left whose shingles are all counted."""
+    monkeypatch.setattr(simhash, "COMMON", 10**6)
+    monkeypatch.setattr(simhash, "_crowd_links", None)
+    monkeypatch.setattr(simhash, "_print_links", lambda points, *_: points.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    rng = random.Random(22)
+    text = lambda n: [f"{rng.choice(['er', 'tion', 'an', 'in'])}{rng.randrange(10**6)}" for _ in range(n)]
+    shared, pairs = text(40), []
+    for i in range(60):
+        own = text(200)
+        pairs.append((i, " ".join(own + shared)))
+        if i % 3 == 0:
+            own[rng.randrange(200)] = "changed"
+            pairs.append((100 + i, " ".join(own + shared)))
+    want = brute_near(pairs)
+    assert want == {100 + i: i for i in range(0, 60, 3)}
+    assert {r["node"]: r["root"] for r in simhash.near_groups(docs(spark, pairs)).collect()} == want
+
+
+def test_slots_mark_whole_hashes(spark):
+    hashes = np.array([0, 1, 63, 64, -1, -(2**63), 2**63 - 1, 123456789012345], np.int64)
+    table = simhash._slots(spark.createDataFrame([(int(h),) for h in hashes], "h long"))
+    assert simhash._marked(table, hashes.view(np.uint64)).all()
+    assert int(np.bitwise_count(table).sum()) == len({int(h) & (simhash.SLOTS - 1) for h in hashes})
+    assert not simhash._slots(spark.createDataFrame([], "h long")).any()
+
+
 def test_repeated_ids_and_clean_rows(spark):
     """A row goes for its own text only, not for another text under its id; copies of both id and text are one row."""
     rng = random.Random(5)
