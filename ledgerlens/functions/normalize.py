@@ -40,7 +40,8 @@ def timestamp_ms(text: Column) -> Column:
 
 def truncated(text: Column, most: int = MOST_SUMMARY) -> Column:
     clean = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(F.char_length(clean) > most, F.concat(F.left(clean, F.lit(most)), F.lit("…"))).otherwise(clean)
+    cut = lambda c: F.when(F.char_length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit("…"))).otherwise(c)
+    return F.get(F.transform(F.array(clean), cut), F.lit(0))  # the text is computed once
 
 
 def tool_kind(name: Column) -> Column:
@@ -60,11 +61,15 @@ def mcp_tool(name: Column) -> Column:
     return F.nullif(F.when(name.startswith("mcp__"), F.regexp_extract(name, r"(?s)^mcp__.*?__(.*)$", 1)), F.lit(""))
 
 
-def generic_summary(v: Column) -> Column:
-    """The first likely key that is a string; a bare string itself; else the JSON; null for null."""
+def _generic_text(v: Column) -> Column:
     found = F.coalesce(*[string_at(v, f"$.{k}") for k in LIKELY])
     whole = F.when(variant_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(variant_kind(v) != "VOID", F.to_json(v))
-    return truncated(F.coalesce(found, whole))
+    return F.coalesce(found, whole)
+
+
+def generic_summary(v: Column) -> Column:
+    """The first likely key that is a string; a bare string itself; else the JSON; null for null."""
+    return truncated(_generic_text(v))
 
 
 def generic_target(v: Column) -> Column:
@@ -96,7 +101,7 @@ def input_summary(tool: Column, v: Column) -> Column:
         ("Agent", "Task"): s("description", "prompt"),
         ("Skill",): s("skill", "command"),
     }
-    return _by_tool(tool, {k: truncated(x) for k, x in cases.items()}, generic_summary(v))
+    return truncated(_by_tool(tool, cases, _generic_text(v)))
 
 
 def target_path(tool: Column, v: Column) -> Column:
@@ -174,11 +179,9 @@ def error_type(text: Column) -> Column:
 
 def result_text(v: Column) -> Column:
     kind = variant_kind(v)
-    parts = [
-        F.when(F.coalesce(string_at(v, f"$.{k}"), F.lit("")) != "", F.concat(string_at(v, f"$.{k}"), F.lit("\n"))).otherwise("")
-        for k in RESULT_TEXT_KEYS
-    ]
-    whole = F.concat(*parts, F.coalesce(string_at(v, "$.file.content"), F.lit("")), blocks_text(F.try_variant_get(v, "$.content", "variant")))
+    parts = F.filter(F.array(*[string_at(v, f"$.{k}") for k in RESULT_TEXT_KEYS]), lambda x: F.coalesce(x, F.lit("")) != "")
+    lines = F.array_join(F.transform(parts, lambda x: F.concat(x, F.lit("\n"))), "")
+    whole = F.concat(lines, F.coalesce(string_at(v, "$.file.content"), F.lit("")), blocks_text(F.try_variant_get(v, "$.content", "variant")))
     return (
         F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
         .when(kind.startswith("ARRAY"), blocks_text(v))
@@ -216,9 +219,14 @@ def _elide(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False, separators=(",", ":")))
 
 
+def elidable(text: Column) -> Column:
+    """Whether JSON may hold a long string under ``data``."""
+    return (F.octet_length(text) > INLINE_BINARY) & text.contains('"data"')
+
+
 def elided(text: Column) -> Column:
     """JSON with long strings under ``data`` described; rows that can't hold one go to the UDF as nulls."""
-    return F.coalesce(_elide(F.when((F.octet_length(text) > INLINE_BINARY) & text.contains('"data"'), text)), text)
+    return F.coalesce(_elide(F.when(elidable(text), text)), text)
 
 
 def by_reference(text: Column) -> Column:

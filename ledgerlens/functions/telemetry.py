@@ -15,7 +15,7 @@ PARAMETER_KEYS = ("full_command", "bash_command", "skill_name", "subagent_type",
 
 def attribute(key: str, attributes: str = "attributes") -> Column:
     """The value struct of the first attribute with this key."""
-    return F.get(F.filter(attributes, lambda a: a["key"] == key), F.lit(0))["value"]
+    return F.get(attributes, (F.array_position(F.col(f"{attributes}.key"), key) - 1).cast("int"))["value"]
 
 
 def string(key: str) -> Column:
@@ -85,17 +85,19 @@ def event_class() -> Column:
 
 def call_facts(events: DataFrame) -> DataFrame:
     """Facts of results and decisions: who decided, how it ended, what was asked for."""
-    params, raw = json_value("tool_parameters"), string("tool_input")
+    params, raw, given = F.col("params"), F.col("raw"), F.col("given")
     source = string("tool_source")
     server = F.coalesce(N.string_at(params, "$.mcp_server_name"), string("mcp_server_scope"))
     kind = F.coalesce(
         F.when(source.isin("mcp", "sdk_host_builtin_mcp"), "mcp").when(source == "builtin", "builtin"), F.when(server.isNotNull(), "mcp")
     )
-    tool, given = F.coalesce(string("tool_name"), F.lit("")), F.try_parse_json(raw)
+    tool = F.coalesce(string("tool_name"), F.lit(""))
     from_params = F.coalesce(*[N.string_at(params, f"$.{k}") for k in PARAMETER_KEYS], N.generic_summary(params))
     is_result = F.col("class") == "tool_result"
     decision = F.when(is_result, "accept").otherwise(string("decision"))
     rows = events.filter(F.col("class").isin("tool_result", "tool_decision"))
+    # Columns of their own, so that each text is parsed once for all that is read from it.
+    rows = rows.withColumn("params", json_value("tool_parameters")).withColumn("raw", string("tool_input")).withColumn("given", F.try_parse_json("raw"))
     return rows.select(
         "id", "session_id", "prompt_id", "message_uuid",
         string("tool_use_id").alias("tool_use_id"),

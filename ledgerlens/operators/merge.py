@@ -26,6 +26,8 @@ SESSION_LAST = ("project_path", "transcript_path", "cwd", "git_branch", "cc_vers
 SHARED = ("session_id", "prompt_id", "message_uuid", "tool_name", "tool_kind", "mcp_server", "mcp_tool", "called_at", "success")
 TRANSCRIPT_ONLY = ("parent_uuid", "is_sidechain", "agent_id", "agent_name", "completed_at", "result_json", "result_text", "result_size", "permission_mode")
 OTLP_ONLY = ("duration_ms", "error_type", "decision", "decision_source")
+#: What the calls' facts are merged for first, in narrow rows: who is named how, and which mode holds.
+THIN = ("id", "tool_use_id", "bit", "session_id", "called_at", "agent_id", "agent_name", "permission_mode")
 #: The transcript has them in full, so its value wins over telemetry's.
 INPUTS = ("input_json", "input_summary", "target_path")
 
@@ -44,20 +46,21 @@ def merge_sessions(facts: DataFrame) -> DataFrame:
 
 def merge_lanes(facts: DataFrame) -> DataFrame:
     """facts(id, tool_use_id, bit, tool_call columns) of both lanes -> one row for each call. One grouping of the union
-    of both lanes; never a join that could repeat rows. A lane may be absent."""
-    columns = [c for c in (*SHARED, *TRANSCRIPT_ONLY, *OTLP_ONLY) if c in facts.columns]
+    of both lanes; never a join that could repeat rows. A lane may be absent, and so may columns."""
+    columns = [c for c in (*SHARED, *TRANSCRIPT_ONLY, *OTLP_ONLY, "named") if c in facts.columns]
+    inputs = [c for c in INPUTS if c in facts.columns]
     own = lambda c, bit: F.when(F.col("bit") == bit, F.col(c))
     prepared = facts
-    for c in INPUTS:
+    for c in inputs:
         prepared = prepared.withColumn(f"{c}_t", own(c, 1)).withColumn(f"{c}_o", own(c, 2))
     merged = prepared.groupBy("tool_use_id").agg(
         *[last_known(c) for c in columns],
-        *[last_known(f"{c}_t") for c in INPUTS],
-        *[first_known(f"{c}_o") for c in INPUTS],
+        *[last_known(f"{c}_t") for c in inputs],
+        *[first_known(f"{c}_o") for c in inputs],
         F.bit_or("bit").alias("provenance"),
         F.min("id").alias("row_seq"),
     )
-    for c in INPUTS:
+    for c in inputs:
         merged = merged.withColumn(c, F.coalesce(f"{c}_t", f"{c}_o")).drop(f"{c}_t", f"{c}_o")
     return merged
 
@@ -114,20 +117,26 @@ def last_known_mode(changes: DataFrame, calls: DataFrame) -> DataFrame:
     return change.join(call, "session_id", "full").select("session_id", F.coalesce("a", "b").alias("mode"))
 
 
-def inherit_modes(calls: DataFrame, changes: DataFrame) -> DataFrame:
-    """Fills permission_mode as of each call: the latest change at or before it, else the session's first change.
+def inherited_modes(calls: DataFrame, changes: DataFrame) -> DataFrame:
+    """(tool_use_id, row_seq, inherited) of the calls without a mode whose session has changes: the latest change at or before
+    the call, else the session's first one.
 
-    The as-of join is a union of both sides and a window over (session, time) that carries the last mode on; only the
-    calls without a mode, with narrow columns, take part.
+    The as-of join is a union of both sides and a window over (session, time) that carries the last mode on; calls without
+    a time come before all changes.
     """
-    asked = calls.filter("permission_mode IS NULL AND session_id IS NOT NULL")
-    line = asked.select("session_id", F.col("called_at").alias("at"), F.lit(1).alias("is_call"), F.col("row_seq").alias("seq"), "tool_use_id", F.lit(None).cast("string").alias("mode")).filter("at IS NOT NULL")
-    marks = changes.filter("to_mode IS NOT NULL AND ts IS NOT NULL").select("session_id", F.col("ts").alias("at"), F.lit(0).alias("is_call"), F.col("id").alias("seq"), F.lit(None).cast("string").alias("tool_use_id"), F.col("to_mode").alias("mode"))
-    w = W.partitionBy("session_id").orderBy("at", "is_call", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    as_of = line.unionByName(marks).withColumn("as_of", F.last("mode", ignorenulls=True).over(w)).filter("is_call = 1").select("tool_use_id", "as_of")
+    none = F.lit(None).cast("string")
     first = changes.filter("to_mode IS NOT NULL").groupBy("session_id").agg(F.min_by("to_mode", "id").alias("first_mode"))
-    out = calls.join(as_of, "tool_use_id", "left").join(first, "session_id", "left")
-    return out.withColumn("permission_mode", F.coalesce("permission_mode", "as_of", "first_mode")).select(*calls.columns)
+    asked = calls.filter("permission_mode IS NULL AND session_id IS NOT NULL").select("session_id", F.col("called_at").alias("at"), F.lit(1).alias("is_call"), F.col("row_seq").alias("seq"), "tool_use_id", none.alias("mode"))
+    marks = changes.filter("to_mode IS NOT NULL AND ts IS NOT NULL").select("session_id", F.col("ts").alias("at"), F.lit(0).alias("is_call"), F.col("id").alias("seq"), none.alias("tool_use_id"), F.col("to_mode").alias("mode"))
+    w = W.partitionBy("session_id").orderBy(F.asc_nulls_first("at"), "is_call", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = asked.join(first, "session_id").unionByName(marks, allowMissingColumns=True).withColumn("as_of", F.last("mode", ignorenulls=True).over(w))
+    return line.filter("is_call = 1").select("tool_use_id", F.col("seq").alias("row_seq"), F.coalesce("as_of", "first_mode").alias("inherited"))
+
+
+def inherit_modes(calls: DataFrame, changes: DataFrame) -> DataFrame:
+    """Fills permission_mode as of each call."""
+    out = calls.join(inherited_modes(calls, changes).drop("row_seq"), "tool_use_id", "left")
+    return out.withColumn("permission_mode", F.coalesce("permission_mode", "inherited")).select(*calls.columns)
 
 
 def agent_types(spawned: DataFrame, results: DataFrame, named: DataFrame) -> DataFrame:
@@ -138,9 +147,30 @@ def agent_types(spawned: DataFrame, results: DataFrame, named: DataFrame) -> Dat
     return every.groupBy("agent_id").agg(F.max_by("agent_type", "id").alias("agent_type"))
 
 
+def _peers(calls: DataFrame) -> DataFrame:
+    return calls.filter("agent_id IS NOT NULL AND agent_name IS NOT NULL").groupBy("agent_id").agg(F.min_by("agent_name", "row_seq").alias("peer"))
+
+
+def agent_names(calls: DataFrame, types: DataFrame) -> DataFrame:
+    """(tool_use_id, row_seq, named) of the calls that name_agents gives another name than they have."""
+    known = types.join(_peers(calls), "agent_id", "full")
+    out = calls.filter("agent_id IS NOT NULL").join(known, "agent_id").withColumn("named", F.coalesce("agent_type", "agent_name", "peer"))
+    return out.filter(~F.col("named").eqNullSafe(F.col("agent_name"))).select("tool_use_id", "row_seq", "named")
+
+
+def complete_lanes(facts: DataFrame, thin: DataFrame, types: DataFrame, changes: DataFrame) -> DataFrame:
+    """merge_lanes, with agents named and modes inherited; ``thin`` is merge_lanes of the THIN columns, written. Names and
+    modes are told by narrow rows and come back as facts of their calls, so wide rows take part in one grouping and no join."""
+    kept = thin.filter("permission_mode IS NOT NULL").select("tool_use_id", "row_seq", "permission_mode")
+    modes = kept.unionByName(inherited_modes(thin, changes).withColumnRenamed("inherited", "permission_mode"))
+    late = union_facts(modes, agent_names(thin, types)).withColumnRenamed("row_seq", "id")
+    merged = merge_lanes(union_facts(facts.drop("permission_mode"), late))
+    return merged.withColumn("agent_name", F.coalesce("named", "agent_name")).drop("named")
+
+
 def name_agents(calls: DataFrame, types: DataFrame) -> DataFrame:
     """A known type overrides; else a missing name is taken from the agent's first named call."""
-    peers = calls.filter("agent_id IS NOT NULL AND agent_name IS NOT NULL").groupBy("agent_id").agg(F.min_by("agent_name", "row_seq").alias("peer"))
+    peers = _peers(calls)
     out = calls.join(types, "agent_id", "left").join(peers, "agent_id", "left")
     return out.withColumn("agent_name", F.coalesce("agent_type", "agent_name", "peer")).select(*calls.columns)
 

@@ -11,7 +11,7 @@ from ..functions.redact import Pattern, redacted, redacted_json
 from ..operators import merge as M
 from ..schemas import ENVELOPE
 from ..sources import telemetry as telemetry_source
-from ..staging import materialize
+from ..staging import materialize, whole_variants
 
 KNOWN_RECORDS = ("assistant", "user", "agent-name", "relocated", "permission-mode")
 
@@ -19,10 +19,15 @@ KNOWN_RECORDS = ("assistant", "user", "agent-name", "relocated", "permission-mod
 def envelopes(evidence: DataFrame) -> DataFrame:
     """Transcript rows with their envelope's fields; ``parsable`` is false for lines that aren't JSON objects."""
     rows = evidence.filter("lane = 'transcript'").select("id", "source_ref", "body")
-    v = F.try_parse_json("body")
-    good = N.variant_kind(v).startswith("OBJECT")
-    out = rows.withColumn("parsable", good).withColumn("e", F.when(good, F.from_json("body", ENVELOPE, {"mode": "PERMISSIVE"})))
-    return out.select("id", "source_ref", "parsable", "e.*").withColumn("ts", N.timestamp_ms(F.col("timestamp"))).withColumn("content", F.col("message.content"))
+    # JSON text that begins with a brace is an object: its kind as a variant would take a schema of the whole line.
+    good = F.try_parse_json("body").isNotNull() & F.ltrim("body", F.lit(" \t\r\n")).startswith("{")
+    out = rows.withColumn("parsable", F.coalesce(good, F.lit(False))).withColumn("e", F.when(F.col("parsable"), F.from_json("body", ENVELOPE, {"mode": "PERMISSIVE"})))
+    out = out.select("id", "source_ref", "parsable", "body", "e.*").withColumn("ts", N.timestamp_ms(F.col("timestamp"))).withColumn("content", F.col("message.content"))
+    answered = (F.col("type") == "user") & F.col("toolUseResult").isNotNull()
+    # What is under the key "data" in the result says so in the line, or has escapes in it.
+    named = F.col("body").contains('"data"') | F.col("body").contains("\\u")
+    elidable = F.coalesce(F.when(answered & named, N.elidable(F.to_json("toolUseResult"))), F.lit(False))
+    return out.withColumn("ref", F.when(answered, N.result_reference(F.col("content")))).withColumn("elidable", elidable).drop("body")
 
 
 def transcript_facts(records: DataFrame) -> dict[str, DataFrame]:
@@ -44,11 +49,10 @@ def transcript_facts(records: DataFrame) -> dict[str, DataFrame]:
         N.input_summary(F.col("use_name"), v).alias("input_summary"), N.target_path(F.col("use_name"), v).alias("target_path"), F.col("mode_now").alias("permission_mode"),
         N.string_at(v, "$.subagent_type").alias("subagent_type"),
     )
-    answered = good.filter("type = 'user' AND toolUseResult IS NOT NULL").withColumn("ref", N.result_reference(F.col("content"))).filter("ref IS NOT NULL")
     r, wrong = F.col("toolUseResult"), F.col("ref.is_error")
-    results = answered.select(
+    results = good.filter("ref IS NOT NULL").select(
         "id", F.col("ref.tool_use_id").alias("tool_use_id"), F.lit(1).alias("bit"), F.col("sessionId").alias("session_id"), F.col("agentId").alias("agent_id"),
-        F.col("ts").alias("completed_at"), N.elided(F.to_json(r)).alias("result_json"), N.result_text(r).alias("result_text"),
+        F.col("ts").alias("completed_at"), F.to_json(r).alias("result_json"), "elidable", N.result_text(r).alias("result_text"),
         N.result_success(r, wrong).alias("success"), N.string_at(r, "$.agentId").alias("spawned_agent"), r.alias("result"),
     )
     return {"sessions": sessions, "modes": seen, "uses": uses, "results": results}
@@ -60,10 +64,15 @@ def facts_of(evidence: DataFrame, patterns: list[Pattern] | None = None) -> dict
     nine tables of facts are read from them."""
     text = (lambda c: redacted(F.col(c), patterns)) if patterns else F.col
     body = (lambda c: redacted_json(F.col(c), patterns)) if patterns else F.col
-    t = transcript_facts(materialize(envelopes(evidence), "projection-records"))
+    # Contents are looked at for calls; what a result answers is told already.
+    records = envelopes(evidence).drop("message").withColumn("content", F.when(F.col("type") == "assistant", F.col("content")))
+    with whole_variants(evidence.sparkSession):
+        t = transcript_facts(materialize(records, "projection-records"))
     events = materialize(T.common(telemetry_source.parsed(evidence)).withColumn("class", T.event_class()), "projection-events")
     clean = lambda df: df.withColumn("input_json", body("input_json")).withColumn("input_summary", text("input_summary")).withColumn("target_path", text("target_path"))
-    results = t["results"].withColumn("result_json", body("result_json")).withColumn("result_text", text("result_text"))
+    # Only results that may hold long binary data go through Python.
+    whole, elidable = t["results"].filter("NOT elidable"), t["results"].filter("elidable").withColumn("result_json", N.elided(F.col("result_json")))
+    results = whole.unionByName(elidable).drop("elidable").withColumn("result_json", body("result_json")).withColumn("result_text", text("result_text"))
     results = results.withColumn("result_size", F.octet_length("result_json").cast("long")).withColumn("result_json", N.by_reference(F.col("result_json")))
     changes = N.file_changes(t["results"].select(F.struct("session_id", "tool_use_id").alias("ref"), "result"), "ref")
     return {
@@ -82,16 +91,16 @@ def facts_of(evidence: DataFrame, patterns: list[Pattern] | None = None) -> dict
 def tables_of(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The derived tables of these facts."""
     uses, results = facts["use"], facts["result"]
-    # The mode at a call's record is one more fact of the record, so bodies take part in one grouping only.
-    moded = M.mode_at_use(facts["mode"], uses)
-    merged = M.merge_lanes(M.union_facts(uses.drop("subagent_type"), moded, results.drop("spawned_agent"), facts["asked"]))
+    told = M.union_facts(uses.drop("subagent_type"), results.drop("spawned_agent"), facts["asked"])
+    # The mode at a call's record is one more fact of the record.
+    thin = M.merge_lanes(M.union_facts(told, M.mode_at_use(facts["mode"], uses)).select(*M.THIN))
     changes = M.mode_changes(facts["mode"]).unionByName(facts["told_mode"])
     spawned = uses.filter("tool_kind = 'agent'").select("id", "tool_use_id", "subagent_type")
     answers = results.select("tool_use_id", F.col("spawned_agent").alias("agent_id"))
     named = uses.select("id", "agent_id", F.col("agent_name").alias("agent_type"))
     return {
         "session": M.merge_sessions(facts["session"]),
-        "tool_call": M.inherit_modes(M.name_agents(merged, M.agent_types(spawned, answers, named)), changes),
+        "tool_call": M.complete_lanes(told, materialize(thin, "projection-calls"), M.agent_types(spawned, answers, named), changes),
         "file_change": facts["change"].drop("session_id"),
         "api_request": M.merge_requests(facts["request"]),
         "prompt": M.merge_prompts(facts["prompt"]),

@@ -4,7 +4,8 @@ Facts of records are stored as they come. Every fact has an owner: its session,
 share a call, an agent, a request or a prompt belong together, since their rows are merged or named by one another; a batch
 touches the owners that belong together with its own. All facts of these are merged again by the same operators that
 derive everything, and the parts of the tables that hold their rows are replaced by a new version (see ``snapshots``).
-So the evidence may come in any split and any order, and a batch may be replayed.
+So the evidence may come in any split and any order, and a batch may be replayed. Where a batch touches most owners, all are
+derived again, which needs no search for what belongs together and no join of facts with owners.
 
 Facts and links lie in parts by hash and by batch: a batch reads the parts of what it touches, and of the links two columns
 of hashes. The driver gets numbers of parts and counts.
@@ -25,6 +26,8 @@ from ..staging import materialize, release
 from .projection import facts_of, tables_of
 
 PARTS = 64
+#: From this share of the owners on, all are derived again.
+MOST = 0.5
 #: What facts are linked by, and what stands for the owner of a fact without a session.
 LINKS = {
     "use": (("call", "tool_use_id"), ("agent", "agent_id")),
@@ -65,7 +68,8 @@ def _links(facts: dict[str, DataFrame]) -> DataFrame:
 
 
 def _overwrite(df: DataFrame, path: str) -> None:
-    df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
+    # A part may hold most of a table: a large one is written by several tasks, as in ``snapshots``.
+    df.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
 
 
 def _read(spark: SparkSession, path: str, schema: str | StructType, parts: list[int]) -> DataFrame:
@@ -80,6 +84,13 @@ def _stored(df: DataFrame) -> StructType:
     return StructType(list(df.schema.fields)).add("owner", "long").add("part", "integer").add("batch", "string")
 
 
+def _owners(spark: SparkSession, path: str, schemas: dict[str, StructType], parts: int, batch: str) -> tuple[int, int]:
+    """About how many owners the batch and all facts have; none if there are none."""
+    own = [_read(spark, f"{path}/facts/{k}", s, list(range(parts))).select("owner", "batch") for k, s in schemas.items()]
+    here = F.when(F.col("batch") == batch, F.col("owner"))
+    return tuple(reduce(DataFrame.unionByName, own).agg(F.approx_count_distinct(here), F.approx_count_distinct("owner")).first())
+
+
 def create(spark: SparkSession, path: str, parts: int = PARTS) -> None:
     """An empty projection at ``path``."""
     facts = facts_of(spark.createDataFrame([], RAW_EVENT))
@@ -125,11 +136,21 @@ def apply(evidence: DataFrame, path: str, batch: str, patterns: list[Pattern] |
     links = materialize(_links(facts).withColumn("batch", F.lit(batch)), "reproject-links")
     _overwrite(links.withColumn("part", _part("owner", parts)), f"{path}/by_owner")
     _overwrite(links.withColumn("part", _part("key", parts)), f"{path}/by_key")
-    owners = touched(spark, path, reduce(DataFrame.unionByName, [df.select("owner") for df in facts.values()]), parts)
-    held = _held(owners, _part("owner", parts))
-    if not held:
+    release(links)
+    # Both lanes' records, which the modes are read from, were for the facts.
+    release(fresh["mode"])
+    release(fresh["told_mode"])
+    here, known = _owners(spark, path, schemas, parts, batch)
+    if not here:
         return manifest
-    every = {k: _read(spark, f"{path}/facts/{k}", s, held).join(owners, "owner", "left_semi") for k, s in schemas.items()}
+    owners = None
+    if here < MOST * known:
+        owners = touched(spark, path, reduce(DataFrame.unionByName, [df.select("owner") for df in facts.values()]), parts)
+        owners = owners if owners.count() < MOST * known else None
+    held = list(range(parts)) if owners is None else _held(owners, _part("owner", parts))
+    every = {k: _read(spark, f"{path}/facts/{k}", s, held) for k, s in schemas.items()}
+    if owners is not None:
+        every = {k: df.join(owners, "owner", "left_semi") for k, df in every.items()}
     # Derived tables say whose they are by their own session; a changed file by its fact's.
     plain = {k: df.drop("owner", "part", "batch") for k, df in every.items()}
     derived = {k: df.withColumn("owner", owner_of(TABLE_OWN[k])) for k, df in tables_of(plain).items() if k != "file_change"}
@@ -137,12 +158,10 @@ def apply(evidence: DataFrame, path: str, batch: str, patterns: list[Pattern] |
     changed = {}
     for name, df in derived.items():
         table = f"projected_{name}"
-        old = snapshots.read(spark, f"{path}/tables", table, set(held), manifest).join(owners, "owner", "left_anti")
-        changed[table] = materialize(old.unionByName(df.select(*old.columns)), table), set(held)
-    after = snapshots.replace(spark, f"{path}/tables", manifest, changed)
-    for df in (links, *[rows for rows, _ in changed.values()]):
-        release(df)
-    return after
+        old = snapshots.read(spark, f"{path}/tables", table, set(held), manifest)
+        rows = df.select(*old.columns)
+        changed[table] = rows if owners is None else old.join(owners, "owner", "left_anti").unionByName(rows), set(held)
+    return snapshots.replace(spark, f"{path}/tables", manifest, changed)
 
 
 def applying(path: str, patterns: list[Pattern] | None = None):

@@ -205,8 +205,8 @@ def reprojected_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Calls of both lanes whose evidence came in two batches that split most sessions and calls."""
     path = f"{shared_dir(spark)}/projected-{uuid.uuid4().hex}"
     reproject.create(spark, path, 8)
-    both = lanes.transcript(spark, sf).unionByName(lanes.telemetry_calls(spark, sf))
     for k in range(2):
-        reproject.apply(both.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k), path, str(k))
+        own = lambda n: F.pmod(F.xxhash64(n), F.lit(2)) == k  # noqa: B023,E731
+        reproject.apply(lanes.transcript(spark, sf, own).unionByName(lanes.telemetry_calls(spark, sf, own)), path, str(k))
     found = reproject.read(spark, path, "tool_call")
     return found.select("tool_use_id", "provenance", "tool_name", "success", "decision", "duration_ms", "result_text", "input_summary", "agent_name", "row_seq")

@@ -47,7 +47,7 @@ def _write(df: DataFrame, root: str, version: int, table: str, parts: int) -> di
     folder = f"{root}/data/{version}/{table}"
     # One key may hold most of a table: a part that is large is written by several tasks, of the session's advisory size each.
     df.withColumn("part", part_of(table, parts)).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(folder)
-    held = [r["part"] for r in df.sparkSession.read.parquet(folder).select("part").distinct().collect()] if not df.isEmpty() else []
+    held = [r["part"] for r in df.sparkSession.read.schema("part int").parquet(folder).select("part").distinct().collect()]
     return {str(p): f"{folder}/part={p}" for p in held}
 
 

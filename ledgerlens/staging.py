@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,18 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def whole_variants(spark: SparkSession) -> Iterator[None]:
+    """Variants are written as they are meanwhile: columns shredded out of them cost more than they save where variants are read whole."""
+    key = "spark.sql.variant.writeShredding.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, so a lost executor costs
     a reread and not the work before it, and two consumers share one computation."""

@@ -69,3 +69,14 @@ def test_records_of_one_file_are_the_work_of_many_tasks(spark, tmp_path):
     sizes = [r["count"] for r in lanes._base(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 60_000
     assert max(sizes) < 30_000
+
+
+def test_wanted_lines_are_all_that_are_made(spark, small):
+    for made in (lanes.transcript, lanes.telemetry_calls):
+        every, parts = made(spark, small).collect(), []
+        for k in range(2):
+            own = lambda n: F.pmod(F.xxhash64(n), F.lit(2)) == k  # noqa: B023,E731
+            part = made(spark, small, own)
+            assert part.filter(~own(F.col("id"))).count() == 0
+            parts += part.collect()
+        assert sorted(map(str, parts)) == sorted(map(str, every)) and every

@@ -4,8 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import normalize as N
 from ledgerlens.functions import redact
 from ledgerlens.operators import chain
+from ledgerlens.operators import merge as M
 from ledgerlens.plans import backfill, projection
 from ledgerlens.sources import evidence, telemetry, transcripts
 
@@ -192,3 +194,47 @@ def test_backfill_and_rebuild(spark, tmp_path):
     assert kept.count() == 7 and chain.verify(kept, none).count() == 0 and chain.heads(kept).first()["unsealed"] == 0
     backfill.rebuild(spark, store_at, str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables/tool_call")).count() == 3
+
+
+def test_calls_are_completed_by_narrow_rows(spark):
+    """Names and modes come back as facts: the same calls as by joins with all columns."""
+    again = use("t7", "Bash", {"command": "x"}, agentId="a1", isSidechain=True, attributionAgent="other")
+    more = [again, use("n1", "Bash", {"command": "y"}, agentId="a2", attributionAgent="first"), use("n2", "Bash", {"command": "y"}, agentId="a3")]
+    more += [t.replace('"s1"', '"s2"') for t in (use("m1", "Bash", {}, ts="none"), use("m2", "Bash", {}), use("m3", "Bash", {}, ts="2026-01-01T00:00:09Z"), line("permission-mode", permissionMode="late", timestamp="2026-01-01T00:00:05Z"))]
+    bodies = [("transcript", t) for t in [*TRANSCRIPT, *more]] + [("otlp", json.dumps(r)) for r in OTLP]
+    rows = spark.createDataFrame([(i, lane, lane, body) for i, (lane, body) in enumerate(bodies, 1)], "id long, lane string, source_ref string, body string")
+    facts = projection.facts_of(rows)
+    uses, results = facts["use"], facts["result"]
+    changes = M.mode_changes(facts["mode"]).unionByName(facts["told_mode"])
+    types = M.agent_types(
+        uses.filter("tool_kind = 'agent'").select("id", "tool_use_id", "subagent_type"), results.select("tool_use_id", F.col("spawned_agent").alias("agent_id")),
+        uses.select("id", "agent_id", F.col("agent_name").alias("agent_type")),
+    )
+    merged = M.merge_lanes(M.union_facts(uses.drop("subagent_type"), M.mode_at_use(facts["mode"], uses), results.drop("spawned_agent"), facts["asked"]))
+    want = M.inherit_modes(M.name_agents(merged, types), changes)
+    got = projection.tables_of(facts)["tool_call"]
+    assert set(got.columns) == set(want.columns)
+    listed = lambda df: sorted(str([r[c] for c in sorted(want.columns)]) for r in df.collect())
+    assert listed(got) == listed(want)
+    modes = {r["tool_use_id"]: r["permission_mode"] for r in got.collect()}
+    assert modes["m1"] == modes["m2"] == modes["m3"] == "late"
+
+
+def test_lines_that_are_objects(spark):
+    """The line's first character and its parse tell what its kind as a variant would."""
+    lines = ["{}", " {}", "\t{}", "\n\r {}", "\x0b{}", "\xa0{}", "﻿{}", "{}x", "[1]", "null", "", " ", '{"a":1,"a":2}', "/*c*/{}", "{'a':1}", '{"a":1', "5", '"{"', None]
+    rows = spark.createDataFrame([(i, "transcript", "f", t) for i, t in enumerate(lines)], "id long, lane string, source_ref string, body string")
+    kind = N.variant_kind(F.try_parse_json("body")).startswith("OBJECT")
+    want = {r["id"]: r["good"] for r in rows.select("id", kind.alias("good")).collect()}
+    assert {r["id"]: r["parsable"] for r in projection.envelopes(rows).collect()} == want
+
+
+def test_only_results_with_long_data_go_to_python(spark):
+    whole = {"t1": {"stdout": "x"}, "t2": {"data": "Z" * 2000}, "t3": {"data": "short"}, "t4": {"stdout": "y" * 2000}}
+    bodies = [result(k, v) for k, v in whole.items()]
+    bodies.append(result("t5", {"data": "Z" * 2000}).replace('"data"', '"d\\u0061ta"'))
+    rows = spark.createDataFrame([(i, "transcript", "f", t) for i, t in enumerate(bodies)], "id long, lane string, source_ref string, body string")
+    assert {r["ref"]["tool_use_id"] for r in projection.envelopes(rows).filter("elidable").collect()} == {"t2", "t5"}
+    got = {r["tool_use_id"]: r["result_json"] for r in projection.facts_of(rows)["result"].collect()}
+    assert got["t1"] == '{"stdout":"x"}' and got["t3"] == '{"data":"short"}' and got["t4"] == json.dumps(whole["t4"], separators=(",", ":"))
+    assert got["t2"] == got["t5"] == '{"data":"[elided: 2000 bytes of base64]"}'

@@ -1,6 +1,7 @@
 """Tables kept in step by batches, against all tables derived at once."""
 
 import json
+import os
 import random
 
 import pytest
@@ -92,3 +93,42 @@ def test_an_interrupted_batch_is_unseen_until_it_is_replayed(spark, tmp_path, mo
     assert reproject.read(spark, path, "tool_call").count() == 0
     reproject.apply(rows, path, "0")
     assert reproject.read(spark, path, "tool_call").count() == 1
+
+
+def test_a_batch_that_touches_most_owners_derives_all(spark, tmp_path, monkeypatch):
+    """No search for what belongs together and no join of the facts with owners; the tables are the same."""
+
+    def fails(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(reproject, "touched", fails)
+    every, path = some_evidence(), str(tmp_path / "kept")
+    reproject.create(spark, path, 4)
+    for k in range(2):
+        reproject.apply(spark.createDataFrame([r for i, r in enumerate(every) if i % 2 == k], EVIDENCE), path, str(k))
+    whole = projection.project(spark.createDataFrame(every, EVIDENCE))
+    assert {t: listed(reproject.read(spark, path, t)) for t in TABLES} == {t: listed(whole[t]) for t in TABLES}
+
+
+def test_facts_of_one_session_are_written_by_several_tasks(spark, tmp_path):
+    path, key = str(tmp_path / "kept"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.createDataFrame([(k, "transcript", "f", use(f"t{k}", "Bash", {"command": f"ls {hash((k, 'x'))}"})) for k in range(4000)], EVIDENCE).repartition(8)
+    reproject.create(spark, path, 4)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        reproject.apply(rows, path, "0")
+    finally:
+        spark.conf.set(key, before)
+    stored = spark.read.parquet(f"{path}/facts/use")
+    assert stored.select("part").distinct().count() == 1 and stored.select("tool_use_id").distinct().count() == stored.count() == 4000
+    assert len(stored.inputFiles()) > 2
+    assert reproject.read(spark, path, "tool_call").count() == 4000
+
+
+def test_records_are_not_kept_once_their_facts_are(spark, tmp_path):
+    path, shared = str(tmp_path / "kept"), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    reproject.create(spark, path, 4)
+    before = set(os.listdir(shared))
+    reproject.apply(spark.createDataFrame(some_evidence(), EVIDENCE), path, "0")
+    assert not [n for n in set(os.listdir(shared)) - before if n.startswith(("projection-records", "projection-events"))]
