@@ -125,8 +125,8 @@ _BLOCKS = "array<variant>"
 
 
 def blocks_of(v: Column) -> Column:
-    """A variant array as array<variant>; null for anything else."""
-    return F.when(variant_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", _BLOCKS))
+    """A variant array as array<variant>; null for anything else, since nothing else can be cast to one."""
+    return F.try_variant_get(v, "$", _BLOCKS)
 
 
 def tool_uses(records: DataFrame, content: str = "content") -> DataFrame:
@@ -177,8 +177,9 @@ def error_type(text: Column) -> Column:
     return F.left(F.array_join(F.slice(words, 1, 3), " "), F.lit(64))
 
 
-def result_text(v: Column) -> Column:
-    kind = variant_kind(v)
+def result_text(v: Column, kind: Column | None = None) -> Column:
+    """``kind`` may be a column that has the variant's kind already: it takes a schema of the whole value."""
+    kind = variant_kind(v) if kind is None else kind
     parts = F.filter(F.array(*[string_at(v, f"$.{k}") for k in RESULT_TEXT_KEYS]), lambda x: F.coalesce(x, F.lit("")) != "")
     lines = F.array_join(F.transform(parts, lambda x: F.concat(x, F.lit("\n"))), "")
     whole = F.concat(lines, F.coalesce(string_at(v, "$.file.content"), F.lit("")), blocks_text(F.try_variant_get(v, "$.content", "variant")))
@@ -190,8 +191,8 @@ def result_text(v: Column) -> Column:
     )
 
 
-def result_success(v: Column, is_error: Column) -> Column:
-    kind = variant_kind(v)
+def result_success(v: Column, is_error: Column, kind: Column | None = None) -> Column:
+    kind = variant_kind(v) if kind is None else kind
     interrupted = F.coalesce(bool_at(v, "$.interrupted"), F.lit(False))
     own = F.when(kind == "STRING", F.lit(False)).when(kind.startswith("OBJECT"), ~interrupted)
     return F.when(is_error, F.lit(False)).when(~is_error & own.isNull(), F.lit(True)).otherwise(own)
@@ -243,7 +244,7 @@ def file_changes(results: DataFrame, id_col: str = "tool_use_id", result_col: st
     patch = F.try_variant_get(v, "$.structuredPatch", "variant")
     lines = F.flatten(F.transform(blocks_of(patch), lambda h: F.coalesce(blocks_of(F.try_variant_get(h, "$.lines", "variant")), F.array().cast(_BLOCKS))))
     counted = lambda sign: F.coalesce(F.size(F.filter(lines, lambda x: F.startswith(string_at(x, "$"), F.lit(sign)))), F.lit(0)).cast("long")
-    named = results.filter(variant_kind(v).startswith("OBJECT")).withColumn("file_path", string_at(v, "$.filePath")).filter("file_path IS NOT NULL")
+    named = results.withColumn("file_path", string_at(v, "$.filePath")).filter("file_path IS NOT NULL")  # only objects have a key
     return named.select(
         F.col(id_col).alias("tool_use_id"),
         "file_path",

@@ -49,11 +49,11 @@ def transcript_facts(records: DataFrame) -> dict[str, DataFrame]:
         N.input_summary(F.col("use_name"), v).alias("input_summary"), N.target_path(F.col("use_name"), v).alias("target_path"), F.col("mode_now").alias("permission_mode"),
         N.string_at(v, "$.subagent_type").alias("subagent_type"),
     )
-    r, wrong = F.col("toolUseResult"), F.col("ref.is_error")
-    results = good.filter("ref IS NOT NULL").select(
+    r, wrong, kind = F.col("toolUseResult"), F.col("ref.is_error"), F.col("kind")
+    results = good.filter("ref IS NOT NULL").withColumn("kind", N.variant_kind(r)).select(
         "id", F.col("ref.tool_use_id").alias("tool_use_id"), F.lit(1).alias("bit"), F.col("sessionId").alias("session_id"), F.col("agentId").alias("agent_id"),
-        F.col("ts").alias("completed_at"), F.to_json(r).alias("result_json"), "elidable", N.result_text(r).alias("result_text"),
-        N.result_success(r, wrong).alias("success"), N.string_at(r, "$.agentId").alias("spawned_agent"), r.alias("result"),
+        F.col("ts").alias("completed_at"), F.to_json(r).alias("result_json"), "elidable", N.result_text(r, kind).alias("result_text"),
+        N.result_success(r, wrong, kind).alias("success"), N.string_at(r, "$.agentId").alias("spawned_agent"), r.alias("result"),
     )
     return {"sessions": sessions, "modes": seen, "uses": uses, "results": results}
 
