@@ -132,3 +132,14 @@ def test_records_are_not_kept_once_their_facts_are(spark, tmp_path):
     before = set(os.listdir(shared))
     reproject.apply(spark.createDataFrame(some_evidence(), EVIDENCE), path, "0")
     assert not [n for n in set(os.listdir(shared)) - before if n.startswith(("projection-records", "projection-events"))]
+
+
+def test_any_split_equals_deriving_all_by_search(spark, tmp_path, monkeypatch):
+    """The same where no batch counts as touching most: what belongs together is searched for."""
+    monkeypatch.setattr(reproject, "MOST", 2)
+    every, path = some_evidence(), str(tmp_path / "kept")
+    reproject.create(spark, path, 4)
+    for k in range(2):
+        reproject.apply(spark.createDataFrame([r for i, r in enumerate(every) if random.Random(i).randrange(2) == k], EVIDENCE), path, str(k))
+    whole = projection.project(spark.createDataFrame(every, EVIDENCE))
+    assert {t: listed(reproject.read(spark, path, t)) for t in TABLES} == {t: listed(whole[t]) for t in TABLES}
